@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from treefuse.llm import bpe, chat_format, decontaminate, url_filter
+from treefuse.llm import bpe, chat_format, decontaminate, licenses, quality, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
+    "op6_licenses": licenses.op6_licenses,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE = {
     "op4_url_filter": url_filter.SQL,
