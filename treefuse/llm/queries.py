@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from treefuse.llm import bpe, chat_format, decontaminate, licenses, quality, url_filter
+from treefuse.llm import bpe, chat_format, decontaminate, licenses, near_dedup, quality, url_filter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
     "op6_licenses": licenses.op6_licenses,
