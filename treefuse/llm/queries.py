@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from treefuse.llm import bpe, chat_format, decontaminate, licenses, near_dedup, quality, url_filter, warc
+from treefuse.llm import bpe, chat_format, decontaminate, licenses, near_dedup, nearest, quality, suffix_dedup, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
     "op6_licenses": licenses.op6_licenses,
+    "op7_nearest": nearest.op7_nearest,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
 }
 ORACLE = {
     "op4_url_filter": url_filter.SQL,
+    "op7_nearest": nearest.op7_nearest,
     "op8_chat_format": chat_format.SQL,
+    "op7_nearest": nearest.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
