@@ -170,14 +170,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_byte
     return fit([(r["text"] or "").encode() for r in rows], [r["y"] for r in rows], share=given.agg(F.avg("y")).first()[0], **options)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and ``score``: the probability of label 1. Null and empty texts are scored as empty;
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """The kept columns and ``out``: the probability of label 1. Null and empty texts are scored as empty;
     repeated rows stay, each with the same score; an empty table gives none."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType(), False)])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in parts(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(probabilities(model, data, at), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(probabilities(model, data, at), pa.float64())], names=[*keep, out])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
