@@ -15,14 +15,15 @@ string, and the run's smallest doc_id is the string's.
 
 What is brought together is cut down first, without loss: minimizers that occur in one document only are
 found from their hashes, and equal segments of a chunk of documents are sent once. A minimizer that a third
-of all documents have is thus one row a chunk. Texts stay in compressed chunks in the shared folder and are
-read in order.
+of all documents have is thus one row a chunk. Texts stay in compressed chunks in a bucketed table in the
+warehouse, which each pass reads in order and joins without moving.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,9 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 PLACE = 17  # low bits of a key hold the place in a run of 2**16 bytes, so that ties go to the left
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
 def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -59,7 +60,7 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(_A, n, 2**64))
 
 
-@cache
+@lru_cache(2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_A to the 0 .. n, and its inverses."""
     up, down = np.full(n + 1, _A, np.uint64), np.full(n + 1, pow(_A, -1, 2**64), np.uint64)
@@ -133,7 +134,7 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             data = data[np.repeat(at[order] - np.concatenate(([0], np.cumsum(lens[order])[:-1])), lens[order]) + np.arange(len(data))] if len(data) else data
             name = (TaskContext.get().partitionId() << 32) + made
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(ids[order], np.concatenate(([0], np.cumsum(lens[order]))), data)], pa.binary())], names=["chunk", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(ids[order], np.concatenate(([0], np.cumsum(lens[order]))), data, level=3)], pa.binary())], names=["chunk", "texts"])
 
         for part, data, at in parts(batches, "__text", chunk_bytes):
             rows.append((part.column("doc_id").to_numpy(), data.copy(), np.diff(at)))
@@ -148,6 +149,13 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("__text")).mapInArrow(run, "chunk bigint, texts binary")
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The same rows as a table in the warehouse, dealt by the key once: later joins on it leave these rows in place."""
+    name = f"texts_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "none").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 class Chunk:
     """A chunk's texts and its distinct minimizers, in the order in which all passes number them."""
 
@@ -214,24 +222,28 @@ def send_segments(staged: DataFrame, repeated: DataFrame, buckets: int, length:
                 bits = [np.unpackbits(np.frombuffer(known[b], np.uint8), count=c.cuts[b + 1] - c.cuts[b]) for b in range(buckets) if c.cuts[b] < c.cuts[b + 1]]
                 mask = np.concatenate(bits).astype(bool)[c.which] if bits else np.zeros(0, bool)
                 first, end, place, row, bucket = c.first[mask], c.last[mask] + length, c.place[mask], c.row[mask], c.bucket[c.which[mask]]
-                up, down = powers(1 << max(len(c.data) - 1, 1).bit_length())
+                up, down = powers(-(-len(c.data) // (1 << 19)) << 19)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[c.data] * up[: len(c.data)])))
                 content = (sums[end] - sums[first]) * down[first] + (place - first).astype(np.uint64) * _MIX + (end - first).astype(np.uint64)
                 content ^= content >> np.uint64(29)
                 order = np.lexsort((content, bucket))
                 new = np.concatenate(([True], (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))) if len(order) else np.zeros(0, bool)
-                segment = np.empty(len(order), np.int64)
-                segment[order] = np.cumsum(new) - 1
                 lead = order[new]  # lexsort is stable: a segment's first occurrence, in its smallest document
+                turn = np.lexsort((lead, bucket[lead]))  # in the order of documents, so that neighbours look alike
+                number = np.empty(len(lead), np.int64)
+                number[turn] = np.arange(len(lead))
+                segment = np.empty(len(order), np.int64)
+                segment[order] = number[np.cumsum(new) - 1]
+                lead = lead[turn]
                 edges = np.searchsorted(bucket[lead], np.arange(buckets + 1))
                 full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-                blobs = [pack(segment.astype(np.uint32), first.astype(np.uint32))]
+                blobs = [pack(segment.astype(np.uint32), np.diff(first, prepend=0).astype(np.int32))]
                 for b in full:
                     s = lead[edges[b] : edges[b + 1]]
                     size = end[s] - first[s]
                     begin = np.cumsum(size) - size
                     text = c.data[np.repeat(first[s] - begin, size) + np.arange(int(size.sum()))]
-                    blobs.append(pack((place[s] - first[s]).astype(np.uint8), size.astype(np.uint8), c.ids[row[s]], text))
+                    blobs.append(pack((place[s] - first[s]).astype(np.uint8), size.astype(np.uint8), np.diff(c.ids[row[s]], prepend=0), text, level=3))
                 names = [-1, *full]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
@@ -301,7 +313,8 @@ def judge(sent: DataFrame, length: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         found = [unpack(b, np.uint8, np.uint8, np.int64, np.uint8) for b in table.column("blob").to_pylist()]
-        left, size, doc, text = (np.concatenate([f[i] for f in found]) for i in range(4))
+        left, size, text = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3))
+        doc = np.concatenate([np.cumsum(f[2]) for f in found])
         left, size = left.astype(np.int64), size.astype(np.int64)
         ids, rank = np.unique(doc, return_inverse=True)
         ranks = smallest_documents(left, size, rank.astype(np.int32), text, length)
@@ -333,7 +346,7 @@ def removed_mask(c_ids: np.ndarray, at: np.ndarray, n: int, segment: np.ndarray,
     return np.cumsum(change[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (binary), text.
 
     A byte of a text (UTF-8) goes if a string of ``length`` bytes covers it that also starts in a document
@@ -347,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20
         docs = cut(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
-    staged = cut(chunks(docs, chunk_bytes))
+    staged = bucketed(chunks(docs, chunk_bytes), "chunk", max(8, -(-total // (16 * chunk_bytes))))
     repeated = find_repeated(send_minimizers(staged, buckets, length))
     sent = cut(send_segments(staged, repeated, buckets, length))
     verdicts = judge(sent.where("bucket >= 0"), length).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "blob"))).alias("verdicts"))
@@ -357,8 +370,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20
         for batch in batches:
             for texts, where, found in zip(batch.column("texts").to_pylist(), batch.column("places").to_pylist(), batch.column("verdicts").to_pylist(), strict=True):
                 ids, at, data = unpack(texts, np.int64, np.int64, np.uint8)
-                segment, first = unpack(where, np.uint32, np.uint32)
-                gone = removed_mask(ids, at, len(data), segment.astype(np.int64), first.astype(np.int64), [unpack(v["blob"], np.uint32, np.int64, np.uint8) for v in found or []], length)
+                segment, steps = unpack(where, np.uint32, np.int32)
+                first = np.cumsum(steps, dtype=np.int64)
+                gone = removed_mask(ids, at, len(data), segment.astype(np.int64), first, [unpack(v["blob"], np.uint32, np.int64, np.uint8) for v in found or []], length)
                 lead = (data & 0xC0) != 0x80
                 letter = np.cumsum(lead) - 1
                 whole = gone.copy()
