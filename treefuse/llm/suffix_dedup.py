@@ -210,45 +210,56 @@ def find_repeated(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "bucket int, chunk bigint, flags binary")
 
 
-def send_segments(staged: DataFrame, repeated: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Rows with a bucket hold a chunk's distinct segments of repeated minimizers: bytes left of the
-    minimizer, size, smallest doc_id, bytes. The row with bucket -1 says where they occur in the chunk."""
+class Segments:
+    """A chunk's segments of repeated minimizers, each distinct one numbered once, by bucket and then by document."""
+
+    def __init__(self, c: Chunk, flags: list, buckets: int, length: int):
+        known = {f["bucket"]: f["flags"] for f in flags or []}
+        bits = [np.unpackbits(np.frombuffer(known[b], np.uint8), count=c.cuts[b + 1] - c.cuts[b]) for b in range(buckets) if c.cuts[b] < c.cuts[b + 1]]
+        mask = np.concatenate(bits).astype(bool)[c.which] if bits else np.zeros(0, bool)
+        self.first, self.end, self.place, self.row = c.first[mask], c.last[mask] + length, c.place[mask], c.row[mask]
+        bucket = c.bucket[c.which[mask]]
+        up, down = powers(-(-len(c.data) // (1 << 19)) << 19)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[c.data] * up[: len(c.data)])))
+        content = (sums[self.end] - sums[self.first]) * down[self.first] + (self.place - self.first).astype(np.uint64) * _MIX + (self.end - self.first).astype(np.uint64)
+        content ^= content >> np.uint64(29)
+        order = np.lexsort((content, bucket))
+        new = np.concatenate(([True], (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))) if len(order) else np.zeros(0, bool)
+        lead = order[new]  # lexsort is stable: a segment's first occurrence, in its smallest document
+        turn = np.lexsort((lead, bucket[lead]))  # in the order of documents, so that neighbours look alike
+        number = np.empty(len(lead), np.int64)
+        number[turn] = np.arange(len(lead))
+        self.number = np.empty(len(order), np.int64)  # of each occurrence
+        self.number[order] = number[np.cumsum(new) - 1]
+        self.lead = lead[turn]
+        self.edges = np.searchsorted(bucket[self.lead], np.arange(buckets + 1))
+
+
+def with_flags(staged: DataFrame, repeated: DataFrame) -> DataFrame:
+    flags = repeated.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
+    return staged.join(flags, "chunk", "left")
+
+
+def send_segments(flagged: DataFrame, buckets: int, length: int) -> DataFrame:
+    """A chunk's distinct segments, by bucket: bytes left of the minimizer, size, smallest doc_id, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, texts, flags in zip(batch.column("chunk").to_pylist(), batch.column("texts").to_pylist(), batch.column("flags").to_pylist(), strict=True):
                 c = Chunk(texts, buckets, length)
-                known = {f["bucket"]: f["flags"] for f in flags or []}
-                bits = [np.unpackbits(np.frombuffer(known[b], np.uint8), count=c.cuts[b + 1] - c.cuts[b]) for b in range(buckets) if c.cuts[b] < c.cuts[b + 1]]
-                mask = np.concatenate(bits).astype(bool)[c.which] if bits else np.zeros(0, bool)
-                first, end, place, row, bucket = c.first[mask], c.last[mask] + length, c.place[mask], c.row[mask], c.bucket[c.which[mask]]
-                up, down = powers(-(-len(c.data) // (1 << 19)) << 19)
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[c.data] * up[: len(c.data)])))
-                content = (sums[end] - sums[first]) * down[first] + (place - first).astype(np.uint64) * _MIX + (end - first).astype(np.uint64)
-                content ^= content >> np.uint64(29)
-                order = np.lexsort((content, bucket))
-                new = np.concatenate(([True], (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))) if len(order) else np.zeros(0, bool)
-                lead = order[new]  # lexsort is stable: a segment's first occurrence, in its smallest document
-                turn = np.lexsort((lead, bucket[lead]))  # in the order of documents, so that neighbours look alike
-                number = np.empty(len(lead), np.int64)
-                number[turn] = np.arange(len(lead))
-                segment = np.empty(len(order), np.int64)
-                segment[order] = number[np.cumsum(new) - 1]
-                lead = lead[turn]
-                edges = np.searchsorted(bucket[lead], np.arange(buckets + 1))
-                full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-                blobs = [pack(segment.astype(np.uint32), np.diff(first, prepend=0).astype(np.int32))]
-                for b in full:
-                    s = lead[edges[b] : edges[b + 1]]
-                    size = end[s] - first[s]
-                    begin = np.cumsum(size) - size
-                    text = c.data[np.repeat(first[s] - begin, size) + np.arange(int(size.sum()))]
-                    blobs.append(pack((place[s] - first[s]).astype(np.uint8), size.astype(np.uint8), np.diff(c.ids[row[s]], prepend=0), text, level=3))
-                names = [-1, *full]
+                found = Segments(c, flags, buckets, length)
+                names, blobs = [], []
+                for b in range(buckets):
+                    s = found.lead[found.edges[b] : found.edges[b + 1]]
+                    if len(s):
+                        size = found.end[s] - found.first[s]
+                        begin = np.cumsum(size) - size
+                        text = c.data[np.repeat(found.first[s] - begin, size) + np.arange(int(size.sum()))]
+                        names.append(b)
+                        blobs.append(pack((found.place[s] - found.first[s]).astype(np.uint8), size.astype(np.uint8), np.diff(c.ids[found.row[s]], prepend=0), text, level=3))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
-    flags = repeated.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
-    return staged.join(flags, "chunk", "left").select("chunk", "texts", "flags").mapInArrow(run, "bucket int, chunk bigint, blob binary")
+    return flagged.select("chunk", "texts", "flags").mapInArrow(run, "bucket int, chunk bigint, blob binary")
 
 
 def range_minima(values: np.ndarray) -> list[np.ndarray]:
@@ -360,19 +371,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20
         docs = cut(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
-    staged = bucketed(chunks(docs, chunk_bytes), "chunk", max(8, -(-total // (16 * chunk_bytes))))
-    repeated = find_repeated(send_minimizers(staged, buckets, length))
-    sent = cut(send_segments(staged, repeated, buckets, length))
-    verdicts = judge(sent.where("bucket >= 0"), length).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "blob"))).alias("verdicts"))
-    places = sent.where("bucket = -1").select("chunk", F.col("blob").alias("places"))
+    # As many buckets as shuffles have partitions at least, else Spark would deal the texts out anew to join them.
+    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = bucketed(chunks(docs, chunk_bytes), "chunk", max(parallel, -(-total // (16 * chunk_bytes))))
+    repeated = cut(find_repeated(send_minimizers(staged, buckets, length)))
+    sent = send_segments(with_flags(staged, repeated), buckets, length)
+    verdicts = judge(sent, length).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "blob"))).alias("verdicts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, where, found in zip(batch.column("texts").to_pylist(), batch.column("places").to_pylist(), batch.column("verdicts").to_pylist(), strict=True):
-                ids, at, data = unpack(texts, np.int64, np.int64, np.uint8)
-                segment, steps = unpack(where, np.uint32, np.int32)
-                first = np.cumsum(steps, dtype=np.int64)
-                gone = removed_mask(ids, at, len(data), segment.astype(np.int64), first, [unpack(v["blob"], np.uint32, np.int64, np.uint8) for v in found or []], length)
+            for texts, flags, found in zip(batch.column("texts").to_pylist(), batch.column("flags").to_pylist(), batch.column("verdicts").to_pylist(), strict=True):
+                c = Chunk(texts, buckets, length)
+                ids, at, data = c.ids, c.at, c.data
+                places = Segments(c, flags, buckets, length)
+                gone = removed_mask(ids, at, len(data), places.number, places.first, [unpack(v["blob"], np.uint32, np.int64, np.uint8) for v in found or []], length)
+                del c, places
                 lead = (data & 0xC0) != 0x80
                 letter = np.cumsum(lead) - 1
                 whole = gone.copy()
@@ -389,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20
                 columns[4], columns[5] = columns[4].cast(pa.binary()), columns[5].cast(pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"])
 
-    joined = staged.join(places, "chunk").join(verdicts, "chunk", "left").select("texts", "places", "verdicts")
+    joined = with_flags(staged, repeated).join(verdicts, "chunk", "left").select("texts", "flags", "verdicts")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text string")
 
 
