@@ -278,8 +278,11 @@ def smallest_documents(left: np.ndarray, size: np.ndarray, doc: np.ndarray, text
     begin = np.cumsum(size) - size
     start, stop = most - left, most - left + size  # columns; minimizers begin in column ``most``
     columns = np.zeros((2 * length - GRAM, len(size)), np.uint8)
-    within = np.arange(len(text)) - np.repeat(begin, size)
-    columns[np.repeat(start, size) + within, np.repeat(np.arange(len(size)), size)] = text
+    for a in range(0, len(size), 1 << 14):  # in parts, since the index is many times the text
+        part = slice(a, a + (1 << 14))
+        own = size[part]
+        within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        columns[np.repeat(start[part], own) + within, np.repeat(np.arange(a, a + len(own)), own)] = text[begin[a] : begin[a] + len(within)]
     out = np.full((most + 1, len(size)), -1, doc.dtype)
     enter = [np.flatnonzero(stop == c + 1) for c in range(len(columns))]
     order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
