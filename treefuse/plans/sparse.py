@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def column_shrink(columns: DataFrame, lam: float, most: int = 100) -> DataFrame:
     ``values`` shrunk. Only the norm decides; the recursion runs on one number a column."""
 
     @F.pandas_udf("double")
-    def factor(norm):
+    def factor(norm: pd.Series) -> pd.Series:
         return norm.map(lambda v: shrink_factor(float(v), lam, most))
 
     norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v))
@@ -47,6 +48,23 @@ def sparse_objective(rows: DataFrame, lam: float, gamma: float) -> DataFrame:
     return rows.groupBy("g").agg(F.sum(0.5 * error + lam * pair_sum(F.col("u")) + gamma * norm).alias("loss"))
 
 
+def alternations(steps: int, lam: float, gamma: float, most: int):
+    """A task's work: ``steps`` alternations on one block of features, all of them handed back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        tree, _ = fusion.tree_of(table)
+        u, p, q = (fusion.matrix_of(table.column(c), table.num_rows) for c in ("u", "p", "q"))
+        out = []
+        for i in range(steps):
+            u, p, q = sparse_step(tree, u, p, q, lam, gamma, most)
+            same = table.drop_columns(["u", "p", "q"])
+            out.append(same.append_column("u", fusion.lists(u)).append_column("p", fusion.lists(p)).append_column("q", fusion.lists(q)).append_column("step", pa.array([i + 1] * len(u), pa.int32())))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 100, threshold: float = 1e-5, feature_block: int = 64, batch: int = 10) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) of one data set -> the same rows with u."""
     kind = nodes.schema["g"].dataType.simpleString()
@@ -60,19 +78,8 @@ def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 100, thresho
     while True:
         steps = min(batch, most - done)
 
-        def run(table: pa.Table, steps=steps) -> pa.Table:
-            table = table.sort_by("node_id")
-            tree, _ = fusion.tree_of(table)
-            u, p, q = (fusion.matrix_of(table.column(c), table.num_rows) for c in ("u", "p", "q"))
-            out = []
-            for i in range(steps):
-                u, p, q = sparse_step(tree, u, p, q, lam, gamma, most)
-                same = table.drop_columns(["u", "p", "q"])
-                out.append(same.append_column("u", fusion.lists(u)).append_column("p", fusion.lists(p)).append_column("q", fusion.lists(q)).append_column("step", pa.array([i + 1] * len(u), pa.int32())))
-            return pa.concat_tables(out)
-
         fields = f"g {kind}, node_id bigint, parent_id bigint, edge_weight double, node_weight double, fb int, u array<double>, p array<double>, q array<double>, step int"
-        tried = cut(state.groupBy("g", "fb").applyInArrow(run, fields))
+        tried = cut(state.groupBy("g", "fb").applyInArrow(alternations(steps, lam, gamma, most), fields))
         whole = tried.groupBy("g", "node_id", "step").agg(F.array_sort(F.collect_list(F.struct("fb", "u"))).alias("b")).select("g", "node_id", "step", F.flatten("b.u").alias("u"))
         scored = whole.join(base, ["g", "node_id"]).withColumn("g", F.col("step"))
         losses = [r["loss"] for r in sparse_objective(scored, lam, gamma).orderBy("g").collect()]  # one number a step

@@ -1,10 +1,600 @@
-"""The library's registered queries: QUERIES by name, ORACLE with their DuckDB SQL."""
+"""The library's registered queries: QUERIES by name, ORACLE with their DuckDB SQL.
+
+Many run on the hierarchy tree: a root, the regions, the nations and the customers, with ids -1, 1000000 +
+region, 2000000 + nation and the customer's key, so that plain joins give what the tree operators must return.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from treefuse.functions import evaluate, matrices, weights
+from treefuse.operators import fusion, hierarchy, rooted_tree
+from treefuse.operators.spanning_tree import spanning_tree, spanning_tree_of_features
+from treefuse.plans import bicluster, path, sparse
+from treefuse.shared import cut, rounded
+from treefuse.sources.matrix import Fit, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Inputs.
+
+TREE_SQL = """
+nodes AS (
+  SELECT -1::BIGINT AS id, NULL::BIGINT AS up, NULL::DOUBLE AS x
+  UNION ALL SELECT 1000000 + r_regionkey, -1, r_regionkey * 100.0 FROM region
+  UNION ALL SELECT 2000000 + n_nationkey, 1000000 + n_regionkey, n_nationkey * 10.0 FROM nation
+  UNION ALL SELECT c_custkey, 2000000 + c_nationkey, c_acctbal FROM customer
+), e AS (
+  SELECT least(id, up) AS u, greatest(id, up) AS v, id, up, 1 + (abs(id) % 7) AS dist FROM nodes WHERE up IS NOT NULL
+)
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, node_id, parent_id, x (a number) of the hierarchy tree."""
+    root = spark.range(1).select(F.lit(-1).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("double").alias("x"))
+    region = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000000).cast("bigint"), F.lit(-1).cast("bigint"), (F.col("r_regionkey") * 100.0).cast("double"))
+    nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000000).cast("bigint"), (F.col("n_regionkey") + 1000000).cast("bigint"), (F.col("n_nationkey") * 10.0).cast("double"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint"), (F.col("c_nationkey") + 2000000).cast("bigint"), F.col("c_acctbal").cast("double"))
+    return root.union(region).union(nation).union(customer).select(F.lit(0).alias("g"), "node_id", "parent_id", "x")
+
+
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tree_nodes(spark, sf_dir).where("parent_id is not null")
+    return rows.select("g", F.least("node_id", "parent_id").alias("u"), F.greatest("node_id", "parent_id").alias("v"), (1.0 + F.abs("node_id") % 7).cast("double").alias("dist"))
+
+
+def weighted_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rooted_tree.with_shape(rooted_tree.rooted(weights.gaussian(tree_edges(spark, sf_dir), 10.0)))
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance and revenue of each supplier, both standardised."""
+    spend = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("spend"))
+    rows = table(spark, sf_dir, "supplier").join(spend, F.col("s_suppkey") == F.col("k"), "left").select("s_suppkey", F.col("s_acctbal").alias("a"), F.coalesce("spend", F.lit(0.0)).alias("b"))
+    m = rows.agg(*(f(c).alias(n + c) for c in "ab" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    scaled = rows.crossJoin(F.broadcast(m)).select("s_suppkey", *(F.coalesce((F.col(c) - F.col("m" + c)) / F.nullif("s" + c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in "ab"))
+    return samples(scaled, "s_suppkey", ["a", "b"])
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"))
+
+
+# Matrices.
+
+
+@query("SELECT i - 1 AS feature_idx, sum(embedding[i]::DOUBLE * (vec_id + 1))::DECIMAL(30, 4)::DOUBLE AS checksum, count(*) AS n FROM embeddings, range(1, 65) t(i) GROUP BY i")
+def matrix_transpose(spark, sf_dir):
+    rows = matrices.transpose(vectors(spark, sf_dir))
+    total = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select(F.col("feature_idx").cast("bigint").alias("feature_idx"), total.cast("decimal(30,4)").cast("double").alias("checksum"), F.size("values").cast("bigint").alias("n"))
+
+
+@query("""
+WITH v AS (SELECT unnest([l_quantity, l_discount, l_tax]) AS x FROM lineitem)
+SELECT p, round(value, 6) AS value FROM (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS p, unnest(quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0])) AS value FROM v)
+""")
+def matrix_quantiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    found = matrices.quantiles(samples(rows, "id", ["l_quantity", "l_discount", "l_tax"]), (0.0, 0.25, 0.5, 0.75, 1.0))
+    return found.select("p", rounded("value").alias("value"))
+
+
+@query("SELECT i, round(lo + (hi - lo) * i / 10, 6) AS value FROM (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), range(0, 11) t(i)")
+def matrix_breaks(spark, sf_dir):
+    rows = matrices.breaks(samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"]), 11)
+    return rows.select(F.col("i").cast("bigint").alias("i"), rounded("value").alias("value"))
+
+
+@query()
+def sample_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return matrices.sample_rows(rows.select("id", "l_extendedprice"), "id", 1000, seed=1)
+
+
+@query("SELECT row_number() OVER (ORDER BY label, vec_id) AS pos, vec_id, label FROM embeddings")
+def ordered_rows(spark, sf_dir):
+    # zipWithIndex of a sorted table: positions without one task that holds all rows.
+    rows = matrices.ordered_by_label(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id")
+    return rows.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0]["vec_id"], r[0]["label"])).toDF("pos bigint, vec_id bigint, label int")
+
+
+# Spanning trees.
+
+
+@query("""
+WITH RECURSIVE pts AS (
+  SELECT s_suppkey AS id, s_acctbal AS x, coalesce(s, 0) AS y FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS s FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey
+), z AS (
+  SELECT id, coalesce((x - avg(x) OVER ()) / nullif(stddev_pop(x) OVER (), 0), 0) AS x, coalesce((y - avg(y) OVER ()) / nullif(stddev_pop(y) OVER (), 0), 0) AS y FROM pts
+), prim AS (
+  SELECT 0 AS step, [min(id)] AS seen, NULL::DOUBLE AS d2 FROM z
+  UNION ALL
+  SELECT step + 1, list_append(seen, best.id), best.d2 FROM (
+    SELECT p.step, p.seen, (SELECT min(struct_pack(d2 := (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), id := b.id)) FROM z a, z b WHERE list_contains(p.seen, a.id) AND NOT list_contains(p.seen, b.id)) AS best FROM prim p
+  ) WHERE best IS NOT NULL
+)
+SELECT row_number() OVER (ORDER BY d2) AS rank, round(sqrt(d2), 6) AS dist FROM prim WHERE d2 IS NOT NULL
+""")
+def mst_rows(spark, sf_dir):
+    return ranked_lengths(spanning_tree(suppliers(spark, sf_dir), block_rows=40))
+
+
+def ranked_lengths(edges: DataFrame) -> DataFrame:
+    rows = edges.select("dist").orderBy("dist").rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0]["dist"]))
+    return rows.toDF("rank bigint, dist double").select("rank", rounded("dist").alias("dist"))
+
+
+ONE_D = "SELECT c_custkey AS id, c_acctbal AS x FROM customer"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY d) AS rank, round(d, 6) AS dist FROM (SELECT x - lag(x) OVER (ORDER BY x, id) AS d FROM ({ONE_D})) WHERE d IS NOT NULL")
+def mst_rows_1d(spark, sf_dir):
+    return ranked_lengths(spanning_tree(samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"]), block_rows=400))
+
+
+@query("SELECT 0::BIGINT AS differing")
+def mst_pruned_equals_naive(spark, sf_dir):
+    points = samples(table(spark, sf_dir, "part"), "p_partkey", ["p_retailprice", "p_size"])
+    a, b = (cut(spanning_tree(points, block_rows=500, prune=p).select("u", "v")) for p in (True, False))
+    return a.subtract(b).unionByName(b.subtract(a)).agg(F.count(F.lit(1)).alias("differing"))
+
+
+@query("""
+WITH RECURSIVE cells AS (SELECT vec_id, i AS f, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
+d AS (SELECT a.f AS fa, b.f AS fb, sum((a.v - b.v) * (a.v - b.v)) AS d2 FROM cells a JOIN cells b USING (vec_id) WHERE a.f != b.f GROUP BY ALL),
+prim AS (
+  SELECT 0 AS step, [1::BIGINT] AS seen, NULL::DOUBLE AS d2
+  UNION ALL
+  SELECT step + 1, list_append(seen, best.f), best.d2 FROM (
+    SELECT p.step, p.seen, (SELECT min(struct_pack(d2 := d.d2, f := d.fb)) FROM d WHERE list_contains(p.seen, fa) AND NOT list_contains(p.seen, fb)) AS best FROM prim p
+  ) WHERE best IS NOT NULL
+)
+SELECT row_number() OVER (ORDER BY d2) AS rank, round(sqrt(d2), 6) AS dist FROM prim WHERE d2 IS NOT NULL
+""")
+def mst_columns(spark, sf_dir):
+    return ranked_lengths(spanning_tree_of_features(vectors(spark, sf_dir), block_rows=32))
+
+
+# Weights and rooted trees.
+
+
+@query(f"WITH {TREE_SQL} SELECT u, v, round(sqrt(dist * dist / avg(dist * dist) OVER ()), 6) AS dist FROM e")
+def edge_normalise(spark, sf_dir):
+    return weights.normalise(tree_edges(spark, sf_dir)).select("u", "v", rounded("dist").alias("dist"))
+
+
+@query(f"WITH {TREE_SQL} SELECT median(dist * dist)::DOUBLE AS bandwidth FROM e")
+def bandwidth_median(spark, sf_dir):
+    return weights.bandwidth(tree_edges(spark, sf_dir)).select("bandwidth")
+
+
+@query(f"WITH {TREE_SQL} SELECT u, v, round(exp(-dist * dist / 10.0::DOUBLE), 6) AS weight FROM e")
+def edge_weights(spark, sf_dir):
+    return weights.gaussian(tree_edges(spark, sf_dir), 10.0).select("u", "v", rounded("weight").alias("weight"))
+
+
+@query(f"WITH {TREE_SQL} SELECT node, count(*) AS n, min(nbr) AS low, max(nbr) AS high, sum(dist)::DOUBLE AS total FROM (SELECT u AS node, v AS nbr, dist FROM e UNION ALL SELECT v, u, dist FROM e) GROUP BY node")
+def adjacency(spark, sf_dir):
+    rows = weights.adjacency_lists(tree_edges(spark, sf_dir))
+    total = F.aggregate("neighbours.dist", F.lit(0.0), lambda s, v: s + v)
+    return rows.select("node", F.size("neighbours").cast("bigint").alias("n"), F.array_min("neighbours.nbr").alias("low"), F.array_max("neighbours.nbr").alias("high"), total.alias("total"))
+
+
+SHAPE_SQL = f"""
+WITH RECURSIVE {TREE_SQL}, anc AS (SELECT id, id AS a FROM nodes UNION ALL SELECT anc.id, n.up FROM anc JOIN nodes n ON anc.a = n.id WHERE n.up IS NOT NULL),
+size AS (SELECT a AS id, count(*) AS subtree_size FROM anc GROUP BY a),
+dep AS (SELECT id, count(*) - 1 AS depth FROM anc GROUP BY id),
+kids AS (SELECT up AS id, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+near AS (SELECT e.up AS id, arg_min(s.subtree_size, (e.dist, e.id)) AS nearest FROM e JOIN size s USING (id) GROUP BY e.up),
+shape AS (
+  SELECT n.id AS node_id, n.up AS parent_id, coalesce(n_children, 0) AS n_children, subtree_size, depth, coalesce(e.dist, 0)::DOUBLE AS dist,
+    CASE WHEN n.up IS NULL THEN CASE WHEN n_children = 1 THEN 3 ELSE 4 END ELSE least(coalesce(n_children, 0), 2) END::INTEGER AS node_type,
+    CASE WHEN n.up IS NULL THEN CASE WHEN n_children <= 1 THEN 1 ELSE 1 + nearest END ELSE subtree_size END AS side,
+    CASE WHEN n.up IS NULL THEN 0 ELSE exp(-e.dist * e.dist / 10.0::DOUBLE) END AS edge_weight, (SELECT count(*) FROM nodes) AS n
+  FROM nodes n JOIN size USING (id) JOIN dep USING (id) LEFT JOIN kids USING (id) LEFT JOIN near USING (id) LEFT JOIN e ON e.id = n.id
+)
+"""
+
+
+@query(SHAPE_SQL + "SELECT node_id, parent_id, depth, subtree_size FROM shape")
+def rooted_tree_rows(spark, sf_dir):
+    tree = rooted_tree.with_depth(weighted_tree(spark, sf_dir))
+    return tree.select("node_id", "parent_id", F.col("depth").cast("bigint").alias("depth"), "subtree_size")
+
+
+@query(SHAPE_SQL + "SELECT node_id, n_children, node_type FROM shape")
+def node_types(spark, sf_dir):
+    return weighted_tree(spark, sf_dir).select("node_id", "n_children", "node_type")
+
+
+@query(SHAPE_SQL + "SELECT node_id, subtree_size, least(side, n - side) AS balance FROM shape")
+def subtree_balance(spark, sf_dir):
+    return weighted_tree(spark, sf_dir).select("node_id", "subtree_size", "balance")
+
+
+@query(SHAPE_SQL + """, q AS (SELECT quantile_cont(edge_weight, 0.1) AS f FROM shape WHERE least(side, n - side) < 10)
+SELECT node_id, round(CASE WHEN least(side, n - side) < 10 AND parent_id IS NOT NULL THEN greatest(edge_weight, f) ELSE edge_weight END, 6) AS edge_weight FROM shape, q""")
+def outlier_floor(spark, sf_dir):
+    return weights.outlier_floor(weighted_tree(spark, sf_dir)).select("node_id", rounded("edge_weight").alias("edge_weight"))
+
+
+# Solving and contracting.
+
+
+def solve_nodes(spark, sf_dir):
+    rows = tree_nodes(spark, sf_dir)
+    return rows.select("g", "node_id", "parent_id", F.when(F.col("parent_id").isNull(), 0.0).otherwise(1.0).alias("edge_weight"), F.lit(1.0).alias("node_weight"), F.array(F.coalesce("x", F.lit(0.0))).alias("x"))
+
+
+@query(f"""
+WITH RECURSIVE {TREE_SQL}, p AS (SELECT id, up, coalesce(x, 0) AS x FROM nodes), lam AS (SELECT 500.0::DOUBLE AS l),
+nb AS (  -- bounds of each nation, by bisection on its derivative with its customers' clipped ones
+  SELECT id * 2 + s AS k, id, up, x, CASE s WHEN 0 THEN -l ELSE l END AS target, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step FROM p, lam, (VALUES (0), (1)) v(s) WHERE id >= 2000000
+  UNION ALL
+  SELECT b.k, any_value(b.id), any_value(b.up), any_value(b.x), any_value(b.target),
+    CASE WHEN any_value((lo + hi) / 2 - b.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0) < any_value(b.target) THEN any_value((lo + hi) / 2) ELSE any_value(lo) END,
+    CASE WHEN any_value((lo + hi) / 2 - b.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0) < any_value(b.target) THEN any_value(hi) ELSE any_value((lo + hi) / 2) END, any_value(step) + 1
+  FROM nb b CROSS JOIN lam LEFT JOIN p c ON c.up = b.id WHERE step < 70 GROUP BY b.k
+),
+nation_b AS (SELECT id, any_value(up) AS up, any_value(x) AS x, min(lo) FILTER (target < 0) AS lb, max(lo) FILTER (target > 0) AS ub FROM nb WHERE step = 70 GROUP BY id),
+rb AS (
+  SELECT id * 2 + s AS k, id, x, CASE s WHEN 0 THEN -l ELSE l END AS target, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step FROM p, lam, (VALUES (0), (1)) v(s) WHERE id >= 1000000 AND id < 2000000
+  UNION ALL
+  SELECT k, any_value(id), any_value(x), any_value(target), CASE WHEN any_value(mid - x) + coalesce(sum(m), 0) < any_value(target) THEN any_value(mid) ELSE any_value(lo) END,
+    CASE WHEN any_value(mid - x) + coalesce(sum(m), 0) < any_value(target) THEN any_value(hi) ELSE any_value(mid) END, any_value(step) + 1
+  FROM (
+    SELECT b.k, n.id AS nid, any_value(b.id) AS id, any_value(b.x) AS x, any_value(target) AS target, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(step) AS step,
+      CASE WHEN n.id IS NULL THEN 0 ELSE greatest(-any_value(l), least(any_value(l), any_value((lo + hi) / 2 - n.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0))) END AS m
+    FROM rb b CROSS JOIN lam LEFT JOIN p n ON n.up = b.id LEFT JOIN p c ON c.up = n.id WHERE step < 70 GROUP BY b.k, n.id
+  ) GROUP BY k
+),
+region_b AS (SELECT id, any_value(x) AS x, min(lo) FILTER (target < 0) AS lb, max(lo) FILTER (target > 0) AS ub FROM rb WHERE step = 70 GROUP BY id),
+root AS (
+  SELECT -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step
+  UNION ALL
+  SELECT CASE WHEN d < 0 THEN mid ELSE lo END, CASE WHEN d < 0 THEN hi ELSE mid END, step + 1 FROM (
+    SELECT any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(step) AS step, any_value(mid) + sum(greatest(-l, least(l, own + inner_))) AS d FROM (
+      SELECT r.id, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(step) AS step, any_value(l) AS l, any_value(mid - r.x) AS own, sum(m) AS inner_ FROM (
+        SELECT r.id, n.id AS nid, any_value(r.x) AS x, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(step) AS step, any_value(l) AS l,
+          CASE WHEN n.id IS NULL THEN 0 ELSE greatest(-any_value(l), least(any_value(l), any_value((lo + hi) / 2 - n.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0))) END AS m
+        FROM root CROSS JOIN lam CROSS JOIN (SELECT * FROM p WHERE id >= 1000000 AND id < 2000000) r LEFT JOIN p n ON n.up = r.id LEFT JOIN p c ON c.up = n.id WHERE step < 70 GROUP BY r.id, n.id
+      ) r GROUP BY r.id
+    )
+  ) WHERE step IS NOT NULL
+),
+t0 AS (SELECT lo AS t FROM root WHERE step = 70),
+t1 AS (SELECT id, greatest(lb, least(ub, t)) AS t FROM region_b, t0),
+t2 AS (SELECT n.id, greatest(lb, least(ub, t1.t)) AS t FROM nation_b n JOIN t1 ON t1.id = n.up),
+t3 AS (SELECT c.id, greatest(c.x - l, least(c.x + l, t2.t)) AS t FROM p c JOIN t2 ON t2.id = c.up, lam WHERE c.id < 1000000 AND c.id >= 0)
+SELECT id AS node_id, round(t + 0.00123, 2) + 0.0 AS theta FROM (SELECT -1 AS id, t FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)
+""")
+def tree_solve(spark, sf_dir):
+    return fusion.solve(solve_nodes(spark, sf_dir), 500.0).select("node_id", rounded(F.get("theta", F.lit(0)) + 0.00123, 2).alias("theta"))  # no mean of cents ends there
+
+
+@query("SELECT (i - 1)::INTEGER AS feature_idx, 0::BIGINT AS violations FROM range(1, 65) t(i)")
+def tree_solve_certificate(spark, sf_dir):
+    nodes = path.start_nodes(vectors(spark, sf_dir))
+    return fusion.certificate(cut(fusion.solve(nodes, 0.02)), nodes, 0.02).select("feature_idx", "violations")
+
+
+def fused_tree(spark, sf_dir):
+    """Customers with a negative balance are fused with their nations, even nations with their regions."""
+    fused = F.when(F.col("node_id") < 0, False).when(F.col("node_id") < 1000000, F.col("x") < 0).when(F.col("node_id") >= 2000000, F.col("node_id") % 2 == 0).otherwise(False)
+    return tree_nodes(spark, sf_dir).withColumn("x", F.coalesce("x", F.lit(0.0))).withColumn("fused", fused)
+
+
+FUSED_SQL = f"""
+WITH {TREE_SQL}, f AS (
+  SELECT id, up, coalesce(x, 0) AS x, CASE WHEN id < 0 THEN false WHEN id < 1000000 THEN coalesce(x, 0) < 0 WHEN id >= 2000000 THEN id % 2 = 0 ELSE false END AS fused FROM nodes
+), r AS (SELECT f.id, f.up, f.x, CASE WHEN NOT f.fused THEN f.id WHEN p.fused THEN p.up ELSE p.id END AS rep FROM f LEFT JOIN f p ON p.id = f.up)
+"""
+
+
+@query(FUSED_SQL + "SELECT a.id AS node_id, coalesce(abs(a.x - b.x) <= 100, false) AS fused FROM f a LEFT JOIN f b ON b.id = a.up")
+def fused_edges(spark, sf_dir):
+    rows = fused_tree(spark, sf_dir).select("g", "node_id", "parent_id", F.array("x").alias("theta"))
+    return fusion.fused_edges(rows, 100.0).select("node_id", "fused")
+
+
+@query(FUSED_SQL + "SELECT id AS node_id, rep AS rep_id FROM r")
+def representatives(spark, sf_dir):
+    return fusion.representatives(fused_tree(spark, sf_dir)).select("node_id", "rep_id")
+
+
+@query(FUSED_SQL + "SELECT rep AS rep_id, sum(1 + abs(id) % 3)::DOUBLE AS weight, round(sum(x * (1 + abs(id) % 3)) / sum(1 + abs(id) % 3), 4) + 0.0 AS x FROM r GROUP BY rep")
+def contract_nodes(spark, sf_dir):
+    rows = fused_tree(spark, sf_dir)
+    nodes = rows.select("g", "node_id", (1.0 + F.abs("node_id") % 3).alias("node_weight"), F.array("x").alias("x"))
+    return fusion.contract_nodes(nodes, fusion.representatives(rows)).select("rep_id", "weight", rounded(F.get("x", F.lit(0)), 4).alias("x"))
+
+
+@query(FUSED_SQL + """, k AS (SELECT a.id AS node_id, b.rep AS parent_id, a.x AS edge_weight FROM r a LEFT JOIN r b ON b.id = a.up WHERE a.id = a.rep),
+c AS (SELECT parent_id AS node_id, count(*) AS n FROM k WHERE parent_id IS NOT NULL GROUP BY parent_id)
+SELECT node_id, k.parent_id, edge_weight, coalesce(n, 0) AS n_children, (CASE WHEN k.parent_id IS NULL THEN CASE WHEN n = 1 THEN 3 ELSE 4 END ELSE least(coalesce(n, 0), 2) END)::INTEGER AS node_type FROM k LEFT JOIN c USING (node_id)""")
+def contract_tree(spark, sf_dir):
+    rows = fused_tree(spark, sf_dir)
+    tree = rows.select("g", "node_id", "parent_id", F.col("x").alias("edge_weight"))
+    return fusion.contract_tree(tree, fusion.representatives(rows)).drop("g")
+
+
+# Paths.
+
+LAMBDAS = [0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4, 12.8, 25.6, 51.2, 102.4, 1e6]
+
+
+def supplier_fit(spark, sf_dir) -> tuple[DataFrame, Fit]:
+    points = suppliers(spark, sf_dir)
+    return points, path.fit_path(points, LAMBDAS)
+
+
+@query()
+def level_counts(spark, sf_dir):
+    return path.level_counts(supplier_fit(spark, sf_dir)[1])
+
+
+@query()
+def path_pointers(spark, sf_dir):
+    return path.fit_path(vectors(spark, sf_dir), [0.001, 0.01, 0.1, 1.0, 10.0]).pointers.drop("g")
+
+
+@query("SELECT count(*) AS samples, round(avg(c_acctbal), 4) AS centre FROM customer")
+def path_end(spark, sf_dir):
+    points = samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"])
+    fit = path.fit_path(points, [1.0, 100.0, 1e12], bandwidth=1e6)  # so wide that no weight vanishes
+    end = fit.levels.agg(F.max("level")).first()[0]
+    rows = path.expand(points, fit, [end])
+    return rows.groupBy(F.round(F.get("theta", F.lit(0)), 4).alias("centre")).agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query()
+def path_expand(spark, sf_dir):
+    points, fit = supplier_fit(spark, sf_dir)
+    return path.expand(points, fit, [1, 5, 9]).select("level", "sample_id", *(rounded(F.get("theta", F.lit(i))).alias(f"theta{i}") for i in (0, 1)))
+
+
+@query("SELECT count(DISTINCT c_acctbal) AS labels, count(*) AS n FROM customer")
+def single_lambda_labels(spark, sf_dir):
+    return path.fit_one(samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"]), 0.0).agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def lambda_search(spark, sf_dir):
+    best, tried = path.search_lambda(suppliers(spark, sf_dir), step=20.0, least_step=2.0)
+    return spark.createDataFrame([(best, lam, n) for lam, n in tried], "lambda_max double, lambda double, clusters bigint")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_in FROM events GROUP BY event_type")
+def fit_per_group(spark, sf_dir):
+    per_user = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("v"))
+    fit = path.group_fits(per_user, "user_id", ["n", "v"], "event_type", [0.5, 5.0, 50.0])
+    return fit.levels.where("level = 1").select(F.col("g").alias("event_type"), "n_in")
+
+
+# Sparse and two-sided fits.
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT i - 1 AS feature_idx, sqrt(sum(embedding[i]::DOUBLE * embedding[i])) AS y FROM embeddings, range(1, 65) t(i) GROUP BY i),
+s AS (
+  SELECT feature_idx, y, 0 AS i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v, 1e308::DOUBLE AS low, 0 AS idle FROM c
+  UNION ALL
+  SELECT feature_idx, y, i + 1, CASE WHEN idle2 >= 10 THEN x ELSE new_x END, x + (u - x) / t, least(low, loss), idle2 FROM (
+    SELECT *, CASE WHEN loss < low THEN u ELSE x END AS new_x, CASE WHEN loss < low THEN 0 ELSE idle + 1 END AS idle2 FROM (
+      SELECT *, ((1 - u) * y) ** 2 / 2 + 0.5 * abs(u) * y AS loss FROM (
+        SELECT *, step * greatest(0, 1 - 0.5 / (abs(step) * y)) AS u FROM (SELECT *, 2.0::DOUBLE / (i + 2) AS t, ((1 - 2.0::DOUBLE / (i + 2)) * x + 2.0::DOUBLE / (i + 2) * v + 1) / 2 AS step FROM s WHERE i < 100 AND idle < 10)
+      )
+    )
+  )
+)
+SELECT feature_idx, round(arg_max(x, i), 6) + 0.0 AS factor FROM s GROUP BY feature_idx
+""")
+def column_shrink(spark, sf_dir):
+    return sparse.column_shrink(matrices.transpose(vectors(spark, sf_dir)), 0.5).select(F.col("feature_idx").cast("bigint").alias("feature_idx"), rounded("factor").alias("factor"))
+
+
+HALVED = "WITH r AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, list_transform(embedding, lambda v: v::DOUBLE / 2) AS u FROM embeddings), f AS (SELECT range AS i FROM range(1, 65))"
+
+
+def halved(spark, sf_dir):
+    return vectors(spark, sf_dir).withColumnRenamed("sample_id", "node_id").withColumn("u", F.transform("x", lambda v: v / 2))
+
+
+@query(HALVED + """, a AS (SELECT vec_id, sum((x[i] - u[i]) ** 2) / 2 AS e, sqrt(sum(u[i] ** 2)) AS n FROM r, f GROUP BY vec_id),
+b AS (SELECT vec_id, sum(abs(u[f.i] - u[g.i])) AS d FROM r, f, f g WHERE f.i < g.i GROUP BY vec_id)
+SELECT round(sum(e + 2 * d + 3 * n), 4) AS loss FROM a JOIN b USING (vec_id)""")
+def sparse_loss(spark, sf_dir):
+    return sparse.sparse_objective(halved(spark, sf_dir), 2.0, 3.0).select(F.round("loss", 4).alias("loss"))
+
+
+@query(HALVED + """, a AS (SELECT sum((x[i] - u[i]) ** 2) / 2 AS e FROM r, f), b AS (SELECT sum(abs(u[f.i] - u[g.i])) AS d FROM r, f, f g WHERE f.i < g.i),
+c AS (SELECT sum(abs(r.u[i] - s.u[i])) AS d FROM r, r s, f WHERE r.vec_id < s.vec_id)
+SELECT round(a.e + 2 * b.d + 3 * c.d, 3) AS loss FROM a, b, c""")
+def bi_loss(spark, sf_dir):
+    return bicluster.bi_objective(halved(spark, sf_dir), 2.0, 3.0).select(F.round("loss", 3).alias("loss"))
+
+
+@query("SELECT (i - 1)::INTEGER AS feature_idx FROM embeddings, range(1, 65) t(i) GROUP BY i HAVING sum(CASE WHEN i % 3 = 0 THEN 0 ELSE embedding[i]::DOUBLE END) != 0")
+def nonzero_features(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("u", F.transform("x", lambda v, i: F.when((i + 1) % 3 == 0, 0.0).otherwise(v)))
+    return sparse.nonzero_features(rows)
+
+
+@query()
+def sparse_path(spark, sf_dir):
+    return sparse.fit_sparse(vectors(spark, sf_dir), [0.01, 0.1, 1.0], [0.2, 0.4, 0.8], most=20).levels.drop("g")
+
+
+@query()
+def sparse_features(spark, sf_dir):
+    points = vectors(spark, sf_dir)
+    fit = sparse.fit_sparse(points, [0.01, 0.1], [0.3, 0.45], most=20)
+    wide = sparse.expand_features(path.expand(points, fit, [1, 2]), fit.features, 64)
+    return wide.groupBy("level").agg(F.max(F.size(F.filter("theta", lambda v: v.isNotNull()))).alias("features"), F.count(F.lit(1)).alias("samples"))
+
+
+@query()
+def bi_path(spark, sf_dir):
+    return bicluster.fit_bi(vectors(spark, sf_dir), [0.1, 1.0], [0.1, 1.0], most=10).levels.drop("g")
+
+
+@query()
+def bi_expand(spark, sf_dir):
+    points = vectors(spark, sf_dir)
+    fit = bicluster.fit_bi(points, [0.5], [0.5], most=10)
+    return bicluster.expand_blocks(points, fit, 1).groupBy(rounded("theta").alias("theta")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+# Labels and hierarchies, on pointers that follow the hierarchy tree: customers to nations to regions to the root.
+
+
+def tree_fit(spark, sf_dir) -> Fit:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), F.col("c_nationkey").alias("n")).join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r")), "n")
+    by_n, by_r = c.groupBy("n").agg(F.min("k").alias("kn"), F.min("r").alias("r")), c.groupBy("r").agg(F.min("k").alias("kr"))
+    top = c.agg(F.min("k").alias("k0"))
+    g, level = F.lit(0).alias("g"), lambda i: F.lit(i).alias("level")
+    p1 = c.join(by_n.drop("r"), "n").select(g, level(1), F.col("k").alias("node_id"), F.col("kn").alias("rep_id"))
+    p2 = by_n.join(by_r, "r").select(g, level(2), F.col("kn").alias("node_id"), F.col("kr").alias("rep_id"))
+    p3 = by_r.join(top).select(g, level(3), F.col("kr").alias("node_id"), F.col("k0").alias("rep_id"))
+    pointers = cut(p1.unionByName(p2).unionByName(p3))
+    counts = pointers.groupBy("g", "level").agg(F.count(F.lit(1)).alias("n_in"), F.countDistinct("rep_id").alias("n_out"))
+    levels = cut(counts.select("g", "level", (F.col("level") * 10.0).cast("double").alias("lambda"), F.lit(None).cast("double").alias("gamma"), "n_in", "n_out"))
+    return Fit(levels, pointers, None)
+
+
+CUSTOMERS = "c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r, c_mktsegment AS seg, c_acctbal AS bal FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+FIT_SQL = f"""
+WITH {CUSTOMERS}, bn AS (SELECT n, min(k) AS kn, min(r) AS r FROM c GROUP BY n), br AS (SELECT r, min(k) AS kr FROM c GROUP BY r),
+ptr AS (
+  SELECT 1 AS level, k AS node_id, kn AS rep_id FROM c JOIN bn USING (n)
+  UNION ALL SELECT 2, kn, kr FROM bn JOIN br USING (r) UNION ALL SELECT 3, kr, (SELECT min(k) FROM c) FROM br
+)
+"""
+
+
+def customers(spark, sf_dir):
+    return samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"])
+
+
+@query(FIT_SQL + "SELECT node_id, (SELECT min(kn) FROM bn) AS rep_id, 3 AS level, 40.0::DOUBLE AS height FROM (SELECT DISTINCT rep_id AS node_id FROM ptr WHERE level = 2)")
+def force_merge(spark, sf_dir):
+    fit = tree_fit(spark, sf_dir)
+    short = Fit(fit.levels.where("level <= 2"), fit.pointers.where("level <= 2"), None)
+    whole = hierarchy.force_merge(short, 2.0)
+    return whole.pointers.where("level = 3").join(whole.levels.select("level", F.col("lambda").alias("height")), "level").select("node_id", "rep_id", "level", "height")
+
+
+@query(FIT_SQL + ", l AS (SELECT level, count(*) AS n FROM ptr GROUP BY level) SELECT greatest(1, least(coalesce(min(level) FILTER (n < 100), max(level)), max(level) - 1))::INTEGER AS level FROM l")
+def start_level(spark, sf_dir):
+    return hierarchy.start_level(tree_fit(spark, sf_dir).levels).select(F.col("level").cast("int").alias("level"))
+
+
+@query(FIT_SQL + "SELECT k AS sample_id, kr AS rep_id FROM c JOIN br USING (r)")
+def compose_pointers(spark, sf_dir):
+    return path.compose(customers(spark, sf_dir), tree_fit(spark, sf_dir).pointers, 2).select("sample_id", "rep_id")
+
+
+@query(FIT_SQL + "SELECT k AS sample_id, label FROM c JOIN (SELECT r, row_number() OVER (ORDER BY kr)::INTEGER AS label FROM br) USING (r)")
+def labels_small_k(spark, sf_dir):
+    return hierarchy.labels(customers(spark, sf_dir), tree_fit(spark, sf_dir), 5).select("sample_id", "label")
+
+
+@query(FIT_SQL + "SELECT k AS sample_id, label FROM c JOIN (SELECT n, row_number() OVER (ORDER BY kn)::INTEGER AS label FROM bn) USING (n)")
+def labels_large_k(spark, sf_dir):
+    return hierarchy.many_labels(customers(spark, sf_dir), tree_fit(spark, sf_dir), 20).select("sample_id", "label")
+
+
+MERGES = FIT_SQL + """, leaf AS (SELECT kn, row_number() OVER (ORDER BY kn) AS leaf FROM bn),
+m2 AS (SELECT kr, kn, leaf, row_number() OVER (PARTITION BY kr ORDER BY kn) AS i, count(*) OVER (PARTITION BY kr) AS m FROM bn JOIN br USING (r) JOIN leaf USING (kn)),
+e2 AS (SELECT kr, m, sum(m - 1) OVER (ORDER BY kr) AS last FROM (SELECT DISTINCT kr, m FROM m2)),
+s2 AS (
+  SELECT last - m2.m + 1 + (CASE WHEN i = 1 THEN 1 ELSE i - 1 END) AS step, -leaf AS l, CASE WHEN i = 1 THEN -lead(leaf) OVER (PARTITION BY kr ORDER BY i) ELSE last - m2.m + i - 1 END AS r, 20.0::DOUBLE AS height
+  FROM m2 JOIN e2 USING (kr) QUALIFY i != 2 AND m2.m > 1
+), top AS (
+  SELECT kr, coalesce(CASE WHEN m > 1 THEN last END, -(SELECT leaf FROM leaf WHERE kn = kr)) AS name FROM e2
+), n3 AS (SELECT kr, name, name = max(name) OVER () AS base, max(name) OVER () AS big FROM top),
+s3 AS (
+  SELECT (SELECT max(step) FROM s2) + row_number() OVER (ORDER BY kr) AS step, name AS l, CASE WHEN row_number() OVER (ORDER BY kr) = 1 THEN big ELSE (SELECT max(step) FROM s2) + row_number() OVER (ORDER BY kr) - 1 END AS r, 30.0::DOUBLE AS height
+  FROM n3 WHERE NOT base
+), merges AS (SELECT * FROM s2 UNION ALL SELECT * FROM s3)
+"""
+
+
+def tree_merges(spark, sf_dir):
+    fit = tree_fit(spark, sf_dir)
+    after = fit.levels.select("g").distinct().withColumn("level", F.lit(1))
+    return hierarchy.merge_table(fit.pointers, fit.levels, after)
+
+
+@query(MERGES + "SELECT step::BIGINT AS step, l::BIGINT AS \"left\", r::BIGINT AS \"right\", height FROM merges")
+def merge_table(spark, sf_dir):
+    return tree_merges(spark, sf_dir).select("step", "left", "right", "height")
+
+
+@query(MERGES.replace("WITH c AS", "WITH RECURSIVE c AS") + """, walk AS (
+  SELECT max(step) AS node, 'a' AS way FROM merges
+  UNION ALL SELECT CASE side WHEN 'a' THEN l ELSE r END, way || side FROM walk JOIN merges ON step = node, (VALUES ('a'), ('b')) v(side)
+)
+SELECT row_number() OVER (ORDER BY way)::INTEGER AS pos, (-node)::BIGINT AS leaf FROM walk WHERE node < 0""")
+def leaf_order(spark, sf_dir):
+    return hierarchy.leaf_order(tree_merges(spark, sf_dir)).select("pos", "leaf")
+
+
+@query(MERGES.replace("WITH c AS", "WITH RECURSIVE c AS") + """, walk AS (
+  SELECT max(step) AS node, 'a' AS way FROM merges
+  UNION ALL SELECT CASE side WHEN 'a' THEN l ELSE r END, way || side FROM walk JOIN merges ON step = node, (VALUES ('a'), ('b')) v(side)
+)
+SELECT row_number() OVER (ORDER BY way)::INTEGER AS pos, r AS label FROM walk JOIN leaf ON leaf = -node JOIN bn USING (kn)""")
+def leaf_labels(spark, sf_dir):
+    names = tree_fit(spark, sf_dir).pointers.where("level = 2").select("g", "node_id")
+    region = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node_id"), F.col("n_regionkey").alias("label"))
+    leaves = names.withColumn("leaf", F.row_number().over(Window.partitionBy("g").orderBy("node_id")).cast("bigint")).join(region, "node_id")
+    return hierarchy.leaf_labels(hierarchy.leaf_order(tree_merges(spark, sf_dir)), leaves).select("pos", "label")
+
+
+@query(f"WITH {CUSTOMERS}, t AS (SELECT n, seg, count(*) AS m, min(k) AS f FROM c GROUP BY ALL) SELECT n::BIGINT AS nation, arg_min(seg, struct_pack(a := -m, b := f)) AS mode FROM t GROUP BY n")
+def cluster_mode(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("nation"), "c_mktsegment", "c_custkey")
+    return hierarchy.mode(rows, ["nation"], "c_mktsegment", "c_custkey")
+
+
+@query(FIT_SQL + """, t AS (SELECT kr, seg, count(*) AS m, min(k) AS f FROM c JOIN br USING (r) GROUP BY ALL), md AS (SELECT kr, arg_min(seg, struct_pack(a := -m, b := f)) AS mode FROM t GROUP BY kr)
+SELECT kr AS rep_id, count(*) AS n, round(avg(bal), 6) AS x, any_value(mode) AS mode FROM c JOIN br USING (r) JOIN md USING (kr) GROUP BY kr""")
+def cluster_summary(spark, sf_dir):
+    truth = table(spark, sf_dir, "customer").select(F.lit(0).alias("g"), F.col("c_custkey").cast("bigint").alias("sample_id"), F.col("c_mktsegment").alias("label"))
+    found, _ = hierarchy.summary(customers(spark, sf_dir), truth, tree_fit(spark, sf_dir))
+    return found.select("rep_id", "n", rounded(F.get("x", F.lit(0))).alias("x"), "mode")
+
+
+@query(MERGES + "SELECT step::BIGINT AS step, round(ln(height) / ln(10), 6) AS height FROM merges")
+def log_heights(spark, sf_dir):
+    return hierarchy.log_heights(tree_merges(spark, sf_dir), 10.0).select("step", rounded("height").alias("height"))
+
+
+@query("WITH t AS (SELECT label, (label * 3 + 1) % 10 AS found, vec_id % 7 = 0 AS wrong FROM embeddings) SELECT round(1 - avg(wrong::INTEGER), 6) AS accuracy FROM t")
+def label_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("g"), F.col("vec_id").alias("sample_id"), "label")
+    found = rows.withColumn("label", F.when(F.col("sample_id") % 7 == 0, F.lit(99)).otherwise((F.col("label") * 3 + 1) % 10))
+    return evaluate.accuracy(found, rows).select(F.round("accuracy", 6).alias("accuracy"))
