@@ -290,7 +290,7 @@ def smallest_documents(left: np.ndarray, size: np.ndarray, doc: np.ndarray, text
         stay = start[order] <= c
         if not stay.all():  # a row that goes out leaves its limit to the row below
             kept = np.flatnonzero(stay)
-            common = np.minimum.reduceat(common, np.concatenate(([0], kept[:-1] + 1))) if len(kept) else common[:0]
+            common = np.minimum.reduceat(common[: kept[-1] + 1], np.concatenate(([0], kept[:-1] + 1))) if len(kept) else common[:0]
             order = order[kept]
         # Suffixes that are empty so far stand before all others.
         if len(enter[c]):
