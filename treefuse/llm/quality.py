@@ -36,12 +36,13 @@ class Model:
 
 
 def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row from a new block on with at least WIDTH zero bytes behind it, and where rows' blocks begin."""
+    """Each row from a new block on behind WIDTH zero bytes, so that no filter sees two rows at once, and where
+    rows' blocks begin."""
     lens = np.diff(at)
     blocks = (lens + WIDTH + BLOCK - 1) // BLOCK
     begin = np.concatenate(([0], np.cumsum(blocks)))
     out = np.zeros(int(begin[-1]) * BLOCK + WIDTH, np.uint8)
-    out[np.repeat(begin[:-1] * BLOCK - at[:-1], lens) + np.arange(len(data))] = data
+    out[np.repeat(begin[:-1] * BLOCK + WIDTH - at[:-1], lens) + np.arange(len(data))] = data
     return out, begin
 
 
