@@ -126,3 +126,34 @@ def scan(docs: DataFrame, **options) -> DataFrame:
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _values() -> str:
+    rows = [(t, text, label, phrase) for t, (text, label, phrase) in enumerate([(*p, True) for p in PHRASES] + [(*x, False) for x in TEMPLATES])]
+    return ", ".join(f"({t}, '{text}', '{label}', {phrase})" for t, text, label, phrase in rows)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH tw AS (SELECT t, label, phrase, {_WORDS} AS w FROM (VALUES {_values()}) v(t, text, label, phrase)),
+tg AS (SELECT t, label, phrase, i - 1 AS q, w[i] || ' ' || w[i + 1] AS gram, len(w) - 1 AS grams FROM tw, unnest(range(1, len(w))) u(i)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dg AS (SELECT doc_id, i - 1 AS p, w[i] || ' ' || w[i + 1] AS gram FROM d, unnest(range(1, len(w))) u(i)),
+votes AS (
+  SELECT doc_id, t, label, phrase, grams, p - q AS diagonal, count(*) AS votes, min(p) AS first, max(p) AS last FROM dg JOIN tg USING (gram) GROUP BY ALL
+), marked AS (
+  SELECT *, phrase OR coalesce(diagonal - lag(diagonal) OVER w > 3, true) AS apart FROM votes WINDOW w AS (PARTITION BY doc_id, t ORDER BY diagonal)
+), numbered AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM marked),
+merged AS (
+  SELECT doc_id, t, label, phrase, grams, sum(votes) AS votes, min(first) AS first, max(last) + 2 AS stop FROM numbered GROUP BY doc_id, t, label, phrase, grams, span
+), fit AS (
+  SELECT *, least(votes / grams::DOUBLE, 1.0::DOUBLE) AS coverage FROM merged
+  WHERE CASE WHEN phrase THEN votes >= grams ELSE stop - first <= 2 * (grams + 2) + 3 AND votes >= 0.5 * grams END
+), found AS (
+  SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage)::DOUBLE AS score
+  FROM fit GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (doc_id)
+"""
