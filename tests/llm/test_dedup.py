@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -93,6 +94,28 @@ def test_near_duplicates_equal_brute_force(spark, k, crowd):
     assert found == brute_components(texts(), k, 80)
 
 
+def crowd_of_copies(n: int = 400):
+    """Copies of one text, most of them less similar to each other than 0.8, with few links among many."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for j in rng.sample(range(150), rng.randint(3, 5)):
+            copy[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_near_duplicates_find_far_links_in_a_crowd(spark):
+    rows = crowd_of_copies()
+    brute = brute_components(rows, 4, 80)
+    assert 10 < len({c for _, c in brute.values()}) < len(rows) - 10
+    for block in (4_000_000, 20_000):  # one block, and pairs of several
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(documents(spark, rows, repeat=False), k=4, block=block).collect()}
+        assert found == brute
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(documents(spark).where("doc_id < 0")).count() == 0
     assert near_duplicates(documents(spark).where("doc_id < 3")).where("kept").count() == 3

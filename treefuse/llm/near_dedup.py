@@ -1,15 +1,16 @@
 """Near-duplicates by an LSH forest over MinHash signatures.
 
 A text is the set of its distinct word shingles. Texts with equal sets are one class and go on as one row.
-Each of ``TREES`` trees sorts the classes by its own ``DEPTH`` minima; candidates are neighbours in that
-order with a common prefix of at least ``BASE`` minima. Where more than ``crowd`` classes share such a
-prefix, the region is sorted at full depth, and what still shares everything is spread over salts, so no
-task sorts more than a crowd. In every region each class is also a candidate with the region's smallest
-one, which ties large groups of copies together with one row a member.
-
-Candidates are confirmed on the full sets in two rounds. The first takes the nearest neighbours, and of
-each class only its most frequent partner; these links make components. The second takes more neighbours,
-but only such that still lie in different components, and confirms them all.
+Each of ``TREES`` trees sorts the classes by its own ``DEPTH`` minima; classes with a common prefix of
+``BASE`` minima are a region, and any two classes of one region are candidates.
+
+Candidates are confirmed on the full sets in two rounds. The first takes neighbours in a tree's order and the
+region's smallest class, and of each class only its most frequent partner; these links make components. Where
+more than ``crowd`` classes share a region, its neighbours are taken within branches of full depth, and what
+still shares everything is spread over salts, so no task sorts more than a crowd. The second round takes the
+regions that still hold more than one component, whatever their size, and compares all pairs of classes from
+different components; a region with more than ``block`` shingles is cut into blocks, and each pair of blocks
+is compared.
 """
 
 from __future__ import annotations
@@ -85,10 +86,10 @@ def prefix(depth: int) -> Column:
     return F.substring("branch", 1, 4 * depth)
 
 
-def candidates(classes: DataFrame, near: int, crowd: int) -> DataFrame:
-    """classes(rep, n, component, sig) -> a < b, na, nb, trees: pairs of neighbours that lie in different
-    components, their sizes, and in how many trees they are neighbours."""
-    classes = classes.withColumn("rep", F.struct("rep", "n", "component"))
+def candidates(classes: DataFrame, crowd: int) -> DataFrame:
+    """classes(rep, n, sig) -> a < b, na, nb, trees: pairs of neighbours, their sizes, and in how many trees
+    they are neighbours."""
+    classes = classes.withColumn("rep", F.struct("rep", "n"))
     branches = F.array(*(F.struct(F.lit(t).alias("t"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("branch")) for t in range(TREES)))
     rows = classes.select("rep", F.explode(branches).alias("b")).select("rep", "b.t", "b.branch")
     crowded = cut(rows.groupBy("t", prefix(BASE).alias("p")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).withColumn("deep", F.lit(True)).drop("c"))
@@ -102,14 +103,93 @@ def candidates(classes: DataFrame, near: int, crowd: int) -> DataFrame:
     else:
         rows = rows.withColumns({"region": F.col("p"), "salt": F.lit(0), "leader": F.lit(None).cast(rows.schema["rep"].dataType)})
     order = Window.partitionBy("t", "region", "salt").orderBy("branch", "rep")
-    partners = [F.lead("rep", j).over(order) for j in range(1, near + 1)] + [F.first("rep").over(order), F.col("leader")]
+    partners = [F.lead("rep").over(order), F.first("rep").over(order), F.col("leader")]
     met = rows.select("rep", F.array(*partners).alias("with"))
-    other = F.filter(F.array_distinct(F.array_compact("with")), lambda x: x["component"] != F.col("rep.component"))
+    other = F.filter(F.array_distinct(F.array_compact("with")), lambda x: x["rep"] != F.col("rep.rep"))
     pairs = met.select("rep", other.alias("with")).where(F.size("with") > 0).select("rep", F.explode("with").alias("other")).select(F.least("rep", "other").alias("x"), F.greatest("rep", "other").alias("y"))
     return pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.max("x.n").alias("na"), F.max("y.n").alias("nb"), F.count(F.lit(1)).alias("trees"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int = 6, crowd: int = 20_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def joining_links(side: np.ndarray, label: np.ndarray, begin: np.ndarray, tokens: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows (on different sides if there are two) whose sets are similar enough and that join
+    different labels; all such pairs are compared, but of several that join the same labels one is named.
+
+    Similar sets share a token among the rarest of each, in as many as may be missing from the other and one
+    more, so only rows that do are counted in full."""
+    n, rows = np.diff(begin), len(label)
+    owner = np.repeat(np.arange(rows), n)
+    _, token, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    rare = np.arange(len(token)) - begin[owner] < (n - (percent * n + 99) // 100 + 1)[owner]
+    of, by = token[rare], owner[rare]
+    order = np.argsort(of, kind="stable")
+    posted, start = by[order], np.searchsorted(of[order], np.arange(len(times) + 1))
+    first = np.searchsorted(by, np.arange(rows + 1))
+    label, two, marked, out = label.copy(), len(np.unique(side)) > 1, np.zeros(len(times), bool), []
+    for x in range(1, rows):
+        mine = of[first[x] : first[x + 1]]
+        mine = mine[start[mine + 1] - start[mine] > 1]
+        if not len(mine):
+            continue
+        y = np.unique(np.concatenate([posted[start[m] : start[m + 1]] for m in mine]))
+        y = y[(y < x) & (label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        y = y[side[y] != side[x]] if two else y
+        if not len(y):
+            continue
+        ends = np.cumsum(n[y])
+        at = np.arange(ends[-1]) + np.repeat(begin[y] - ends + n[y], n[y])
+        own = token[begin[x] : begin[x + 1]]
+        marked[own] = True
+        common = np.add.reduceat(marked[token[at]].astype(np.int64), ends - n[y])
+        marked[own] = False
+        for z in y[100 * common >= percent * (n[x] + n[y] - common)].tolist():
+            if label[z] != label[x]:
+                out.append((z, x))
+                label[label == label[z]] = label[x]
+    return out
+
+
+def region_links(classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """classes(rep, n, component, sig), sets(rep, shingles) -> a, b: links between different components of a
+    region, enough of them to join all that any of its pairs joins."""
+    regions = F.array(*(F.struct(F.lit(t).alias("t"), F.substring("sig", 4 * DEPTH * t + 1, 4 * BASE).alias("p")) for t in range(TREES)))
+    rows = classes.select("rep", "n", "component", F.explode(regions).alias("r")).select("rep", "n", "component", "r.t", "r.p")
+    digests = [F.bit_xor(F.xxhash64("rep")).alias("d1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("d2"), F.count(F.lit(1)).alias("c")]
+    mixed = rows.groupBy("t", "p").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("total"), *digests).where("low != high")
+    # Regions of several trees with the same classes in them are compared once.
+    mixed = mixed.groupBy("d1", "d2", "c", "total").agg(F.min(F.struct("t", "p")).alias("r"))
+    mixed = cut(mixed.select("r.t", "r.p", F.ceil(F.col("total") / block).cast("int").alias("blocks")))
+    n_mixed = mixed.count()
+    rows = rows.join(F.broadcast(mixed) if n_mixed <= 1_000_000 else mixed, ["t", "p"])
+    # A region's blocks meet in pairs: a row of block s goes to s's pair with each block, itself included.
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("t", "rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = cut(rows.select("rep", "n", "component", "s", F.xxhash64("t", "p", F.least("s", "o"), F.greatest("s", "o")).alias("cell")))
+    bins = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block))
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("rep", "ascending")]).combine_chunks()
+        label = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        cell, side = table.column("cell").to_numpy(), table.column("s").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        begin, tokens = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        found: list[tuple[int, int]] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = begin[a : b + 1]
+            found += [(a + x, a + y) for x, y in joining_links(side[a:b], label[a:b], at - at[0], tokens[at[0] : at[-1]], percent)]
+        reps = table.column("rep").combine_chunks()
+        pick = lambda j: reps.take(pa.array([f[j] for f in found], pa.int64()))
+        return pa.table({"a": pick(0), "b": pick(1)})
+
+    met = rows.join(sets, "rep").withColumn("bin", F.pmod("cell", F.lit(bins)))
+    return met.groupBy("bin").applyInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, crowd: int = 20_000, block: int = 4_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     Texts are linked if 100 * |intersection| >= percent * |union| of their k-word shingle sets (A-Z
@@ -122,9 +202,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
         docs = cut(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
     found = cut(signatures(docs, k))
     classes = cut(found.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    alone = classes.select("rep", "n", "sig", F.col("rep").alias("component"))
-    # Whoever has any neighbour has one at distance 1, so these are all whose full sets can be asked for.
-    pairs = cut(candidates(alone, 1, crowd))
+    # Whoever shares a region has a neighbour in it, so these are all whose full sets can be asked for.
+    pairs = cut(candidates(classes, crowd))
     some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = F.broadcast(some) if some.count() <= broadcast_rows else some
     sets = cut(full_sets(docs.join(some, "doc_id", "left_semi"), k))
@@ -139,8 +218,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
     best = pairs.where(alike).groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("minus"), "na", "nb")).alias("x"))
     edges = cut(confirmed(best.select((-F.col("x.minus")).alias("a"), "b", "x.na", "x.nb")))
     label = cut(components(edges))
-    now = classes.join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("component"))
-    more = cut(confirmed(candidates(now, near, crowd).where(alike)))
+    now = classes.join(some, F.col("rep") == F.col("doc_id"), "left_semi").join(label, F.col("rep") == F.col("node"), "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("component"))
+    more = cut(region_links(now, sets.toDF("rep", "shingles"), percent, block))
     if not more.isEmpty():
         label = components(edges.unionByName(more))
     # Every document takes its class's component.
