@@ -116,6 +116,25 @@ def test_near_duplicates_find_far_links_in_a_crowd(spark):
         assert found == brute
 
 
+@pytest.mark.parametrize("crowd", [2, 20])
+def test_near_duplicates_do_not_depend_on_the_crowd(spark, crowd):
+    rows = crowd_of_copies()
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(documents(spark, rows, repeat=False), k=4, crowd=crowd).collect()}
+    assert found == brute_components(rows, 4, 80)
+
+
+def test_near_duplicates_find_pairs_that_share_no_branch(spark):
+    rows, rng = [], random.Random(2)
+    for i in range(60):
+        words = [f"p{i}w{j}" for j in range(60)]
+        copy = [f"c{w}" if j in (8, 20, 33, 47) else w for j, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    rng.shuffle(rows)
+    docs = documents(spark, rows, repeat=False)
+    one, all_ = ({r["doc_id"]: r["component_id"] for r in near_duplicates(docs, k=4, percent=50, crowd=c).collect()} for c in (1, 20_000))
+    assert one == all_ and len(set(all_.values())) < 75
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(documents(spark).where("doc_id < 0")).count() == 0
     assert near_duplicates(documents(spark).where("doc_id < 3")).where("kept").count() == 3

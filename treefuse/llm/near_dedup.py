@@ -7,10 +7,10 @@ Each of ``TREES`` trees sorts the classes by its own ``DEPTH`` minima; classes w
 Candidates are confirmed on the full sets in two rounds. The first takes neighbours in a tree's order and the
 region's smallest class, and of each class only its most frequent partner; these links make components. Where
 more than ``crowd`` classes share a region, its neighbours are taken within branches of full depth, and what
-still shares everything is spread over salts, so no task sorts more than a crowd. The second round takes the
-regions that still hold more than one component, whatever their size, and compares all pairs of classes from
-different components; a region with more than ``block`` shingles is cut into blocks, and each pair of blocks
-is compared.
+still shares everything is spread over salts, other ones in each tree, so no task sorts more than a crowd. This
+only moves links from the first round to the second, which takes the regions that still hold more than one
+component, whatever their size, and compares all pairs of classes from different components; a region with
+more than ``block`` shingles is cut into blocks, and each pair of blocks is compared.
 """
 
 from __future__ import annotations
@@ -92,14 +92,14 @@ def candidates(classes: DataFrame, crowd: int) -> DataFrame:
     classes = classes.withColumn("rep", F.struct("rep", "n"))
     branches = F.array(*(F.struct(F.lit(t).alias("t"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("branch")) for t in range(TREES)))
     rows = classes.select("rep", F.explode(branches).alias("b")).select("rep", "b.t", "b.branch")
-    crowded = cut(rows.groupBy("t", prefix(BASE).alias("p")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).withColumn("deep", F.lit(True)).drop("c"))
+    crowded = cut(rows.groupBy("t", prefix(BASE).alias("p")).agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("leader")).where(F.col("c") > crowd).withColumn("deep", F.lit(True)).drop("c"))
     rows = rows.withColumn("p", prefix(BASE))
     n_crowded = crowded.count()
     if n_crowded:  # else no row has to be looked up, and none moves for it
         rows = rows.join(F.broadcast(crowded) if n_crowded <= 1_000_000 else crowded, ["t", "p"], "left")
         rows = rows.withColumn("region", F.when(F.col("deep"), F.col("branch")).otherwise(F.col("p")))
-        same = rows.where("deep").groupBy("t", "region").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("leader")).where(F.col("c") > crowd)
-        rows = rows.join(same, ["t", "region"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep.rep"), F.ceil(F.col("c") / crowd)), F.lit(0)))
+        same = rows.where("deep").groupBy("t", "region").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd)
+        rows = rows.join(same, ["t", "region"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("t", "rep.rep"), F.ceil(F.col("c") / crowd)), F.lit(0)))
     else:
         rows = rows.withColumns({"region": F.col("p"), "salt": F.lit(0), "leader": F.lit(None).cast(rows.schema["rep"].dataType)})
     order = Window.partitionBy("t", "region", "salt").orderBy("branch", "rep")
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, crowd: int =
         docs = cut(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
     found = cut(signatures(docs, k))
     classes = cut(found.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    # Whoever shares a region has a neighbour in it, so these are all whose full sets can be asked for.
+    # Whoever shares a region has a neighbour in it or meets its smallest class, so these are all whose full
+    # sets can be asked for.
     pairs = cut(candidates(classes, crowd))
     some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = F.broadcast(some) if some.count() <= broadcast_rows else some
