@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a
 DataFrame; ``run`` writes it as Parquet to the shared folder and reads it again for the next stage. All but
 the last return the columns of documents. Rows without a doc_id end at the second stage, where of several
-rows with one doc_id the first by text stays.
+rows with one doc_id the first by text stays, a null text last.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
     out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text")))
         out = out.withColumn("__row", first).where("__row = 1").drop("__row")
     return out
 

@@ -1,0 +1,9 @@
+import corpus_pipeline
+from tests.llm.fixtures import documents
+
+
+def test_near_duplicates_keep_the_row_that_was_judged(spark):
+    rows = [(1, None), (1, "some real text"), (1, "tail"), (2, None), (2, None), (3, "other"), (None, "no id")]
+    docs = documents(spark, rows, repeat=False)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [(1, "some real text"), (2, None), (3, "other")]
