@@ -65,7 +65,7 @@ def alternations(steps: int, lam: float, gamma: float, most: int):
     return run
 
 
-def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 100, threshold: float = 1e-5, feature_block: int = 64, batch: int = 10) -> DataFrame:
+def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 500, threshold: float = 1e-5, feature_block: int = 64, batch: int = 10) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) of one data set -> the same rows with u."""
     kind = nodes.schema["g"].dataType.simpleString()
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(x) - 1) div {feature_block} as int)")), lambda b: F.struct(b.alias("fb"), F.slice(F.col("x"), b * feature_block + 1, feature_block).alias("u")))
@@ -96,7 +96,7 @@ def nonzero_features(rows: DataFrame, column: str = "u") -> DataFrame:
     return rows.select(F.posexplode(column).alias("feature_idx", "v")).groupBy("feature_idx").agg(F.sum("v").alias("s")).where("s != 0").select("feature_idx")
 
 
-def fit_sparse(samples: DataFrame, lambdas: Sequence[float], gammas: Sequence[float], most: int = 100, threshold: float = 1e-5, **options) -> Fit:
+def fit_sparse(samples: DataFrame, lambdas: Sequence[float], gammas: Sequence[float], most: int = 500, threshold: float = 1e-5, **options) -> Fit:
     """samples of one data set -> Fit with ``features``: the indices that are left after each level."""
     values = checked(lambdas, gammas)
     live = start_nodes(samples, **options)

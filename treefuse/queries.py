@@ -444,26 +444,26 @@ def nonzero_features(spark, sf_dir):
 
 @query()
 def sparse_path(spark, sf_dir):
-    return sparse.fit_sparse(vectors(spark, sf_dir), [0.01, 0.1, 1.0], [0.2, 0.4, 0.8], most=20).levels.drop("g")
+    return sparse.fit_sparse(vectors(spark, sf_dir), [0.01, 0.1, 1.0], [0.2, 0.4, 0.8]).levels.drop("g")
 
 
 @query()
 def sparse_features(spark, sf_dir):
     points = vectors(spark, sf_dir)
-    fit = sparse.fit_sparse(points, [0.01, 0.1], [0.3, 0.45], most=20)
+    fit = sparse.fit_sparse(points, [0.01, 0.1], [0.3, 0.45])
     wide = sparse.expand_features(path.expand(points, fit, [1, 2]), fit.features, 64)
     return wide.groupBy("level").agg(F.max(F.size(F.filter("theta", lambda v: v.isNotNull()))).alias("features"), F.count(F.lit(1)).alias("samples"))
 
 
 @query()
 def bi_path(spark, sf_dir):
-    return bicluster.fit_bi(vectors(spark, sf_dir), [0.1, 1.0], [0.1, 1.0], most=10).levels.drop("g")
+    return bicluster.fit_bi(vectors(spark, sf_dir), [0.1, 1.0], [0.1, 1.0]).levels.drop("g")
 
 
 @query()
 def bi_expand(spark, sf_dir):
     points = vectors(spark, sf_dir)
-    fit = bicluster.fit_bi(points, [0.5], [0.5], most=10)
+    fit = bicluster.fit_bi(points, [0.5], [0.5])
     return bicluster.expand_blocks(points, fit, 1).groupBy(rounded("theta").alias("theta")).agg(F.count(F.lit(1)).alias("cells"))
 
 
