@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treefuse.llm.shared import ascii_lower
+from treefuse.llm.shared import ascii_lower, cut
 
 NOT_WORD = r"[\x00-/:-@\[-`{-\x7f]+"
 MARK = "\x01"  # no word: stands before a document's words and carries its word count through the join
@@ -39,7 +39,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
 
     Null and empty texts have no words, give (0, 0, empty) as documents and no windows as items. Repeated
     document rows give one row; rows of one doc_id with different texts give one each. Repeated items count
-    once, and items without an id are not reported but still hit. Other columns are ignored.
+    once, and items without an id are not reported but still hit; an id may be of any type. Other columns are ignored.
     """
     windows = item_windows(items, size).withColumn("win", F.array_join("words", " "))
     placed = windows.select("win", "words").distinct().select("win", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
@@ -56,8 +56,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
     rarest = placed.join(counts, "key", "left").groupBy("win", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "off")).alias("r"))
     probe = (
         rarest.where("r.df > 0").select("win", "n", "r.key", "r.off").join(windows.select("win", "item_id"), "win")
-        .unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("win"), F.lit(1).alias("n"), F.lit(MARK).alias("key"), F.lit(0).alias("off"), F.lit(None).cast("bigint").alias("item_id")))
+        .unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("win"), F.lit(1).alias("n"), F.lit(MARK).alias("key"), F.lit(0).alias("off"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")))
     )
+    probe = cut(probe)  # both its size and the join ask for it: the corpus is counted once
     bound = probe.agg(F.sum(F.length("win") + F.length("key") + 96).alias("b")).first()["b"]
 
     inside = F.when(
@@ -68,7 +69,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
         at = d.select("doc_id", "h", "n_words", "words", F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
         hits = at.join(F.broadcast(probe), "key").withColumn("start", F.col("pos") - F.col("off")).where(inside)
     else:
+        # Only words that some window is looked up by are shuffled: their list is far smaller than the windows'.
+        asked = cut(probe.select("key").distinct())
+        bound = asked.agg(F.sum(F.length("key") + 48).alias("b")).first()["b"]
         at = d.select("doc_id", "h", F.posexplode("words").alias("pos", "word")).select("doc_id", "h", "pos", F.lower("word").alias("key"))
+        at = at.join(F.broadcast(asked), "key", "left_semi") if bound <= broadcast_bytes else at
         may = at.join(probe, "key").select(F.struct("doc_id", "h").alias("k"), (F.col("pos") - F.col("off")).alias("start"), "win", "n", "item_id").distinct()
         hits = may.join(d.withColumn("k", F.struct("doc_id", "h")).dropDuplicates(["k"]), "k").where(inside)
     hits = hits.select("doc_id", "h", "n_words", "start", (F.col("start") + F.col("n")).alias("end"), "item_id", (F.col("win") == MARK).alias("mark"))
