@@ -3,12 +3,13 @@
 Records are ordered by page_id and url. Shards are cut from that order at exact sums of payload bytes, so
 which records stand in which shard hangs on the rows alone, not on partitions or sampling. Each shard's
 task writes gzip members one after another and starts a new file when one reaches ``roll_bytes``
-compressed. A file is written under a temporary name of the attempt and renamed to its final name, which a
-second attempt would only replace with the same bytes; a manifest, written by Spark after all files are in
-place, lists files with sizes and digests, and readers open nothing else.
+compressed. A file is written under a temporary name of the attempt and renamed to its final name; where a
+first attempt has put it in place already, it holds the same bytes and stays. A manifest, written by Spark
+after all files are in place, lists files with sizes and digests, and readers open nothing else.
 
 Of records with equal payloads the one with the largest page_id is the response; the others are revisits,
-which carry headers and digests but no payload.
+which carry headers and digests but no payload. Several rows of one page_id are several records, numbered in
+their order.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treefuse.llm.shared import cut, shared_dir
@@ -49,9 +50,9 @@ def plain(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_record(name: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     fields = [
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", plain(url)),
+        ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", plain(url)),
         ("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), ("WARC-Payload-Length", str(len(payload))), ("Content-Type", "application/http;msgtype=response"),
     ]
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -96,9 +97,10 @@ class ShardWriter:
         with self.fs.open_output_stream(temporary) as f:
             f.write(data)
         final = f"{self.root}/{self.name}"
-        if self.fs.type_name != "local" and self.fs.get_file_info(final).type != pafs.FileType.NotFound:
-            self.fs.delete_file(final)
-        self.fs.move(temporary, final)
+        if self.fs.get_file_info(final).size == len(data):  # an earlier attempt's: renamed whole, and the same
+            self.fs.delete_file(temporary)
+        else:
+            self.fs.move(temporary, final)
         self.done.append((self.shard, len(self.done), self.name, len(data), self.records, hashlib.sha256(data).hexdigest()))
         self.parts, self.size, self.records = [], 0, 0
 
@@ -114,47 +116,59 @@ def shard_starts(light: DataFrame, shard_bytes: int) -> list[int]:
     return [r["low"] for r in shards.groupBy(F.floor((F.col("inner") + F.col("offset")) / shard_bytes).alias("s")).agg(F.min("page_id").alias("low")).orderBy("s").collect()]
 
 
+def record_name(page_id: Column, k: Column) -> Column:
+    return F.concat(page_id.cast("string"), F.when(k > 0, F.concat(F.lit(":"), k.cast("string"))).otherwise(""))
+
+
 def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = 0, shard_bytes: int = 64 << 20, roll_bytes: int = 8 << 20, level: int = 6) -> DataFrame:
     """pages(page_id, url, html) -> the manifest, read back from ``out``/manifest.
 
-    Null html is an empty payload, a null url an empty one. Rows without page_id are left out; repeated rows
-    (page_id, url and html) are one record. Payloads of fewer than ``min_revisit_bytes`` bytes are always
-    responses. Of equal payloads under one page_id the last url is the response. An empty table gives a
-    manifest without files. Other columns are ignored.
+    Null html is an empty payload, a null url an empty one. Rows without page_id are left out. Every other row
+    is a record: rows of one page_id are numbered from 0 by url and payload digest, the first being named by
+    its page_id alone. Payloads of fewer than ``min_revisit_bytes`` bytes are always responses. Of equal payloads
+    under one page_id the row with the highest number is the response. An empty table gives a manifest without
+    files. Other columns are ignored.
+
+    A digest that a great many pages have is one row on its side of a join that Spark splits on the other.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.where("page_id is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    light = cut(pages.select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("bigint").alias("n")).distinct())
-    first = light.groupBy("digest", "n").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("n") >= min_revisit_bytes))
-    refs = light.join(first, ["digest", "n"]).where(F.struct("page_id", "url") != F.col("w")).select("page_id", "url", "digest", F.col("w.page_id").alias("refers_to"))
+    digest = F.sha1(F.encode("html", "UTF-8")).alias("digest")
+    light = pages.select("page_id", "url", digest, F.octet_length("html").cast("bigint").alias("n"))
+    light = cut(light.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("url", "digest")) - 1))
+    first = light.groupBy("digest", "n").agg(F.max(F.struct("page_id", "k")).alias("w"), F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("n") >= min_revisit_bytes))
+    refs = light.join(first, ["digest", "n"]).where(F.struct("page_id", "k") != F.col("w")).select("page_id", "k", record_name(F.col("w.page_id"), F.col("w.k")).alias("refers_to"))
     starts = np.asarray(shard_starts(light, shard_bytes), np.int64)
 
     @F.pandas_udf("int")
     def shard_of(page_id: pd.Series) -> pd.Series:
         return pd.Series(np.maximum(np.searchsorted(starts, page_id.to_numpy(), "right") - 1, 0).astype(np.int32))
 
-    none = F.lit(None)
-    rows = refs.select("page_id", "url", "digest", F.lit(0).alias("kind"), "refers_to", none.cast("string").alias("html")).unionByName(
-        pages.select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.lit(1).alias("kind"), none.cast(light.schema["page_id"].dataType).alias("refers_to"), "html")
+    # A page_id's references stand before its rows, which are numbered as they come.
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    rows = refs.select("page_id", F.lit(0).alias("kind"), "k", "refers_to", text.alias("url"), text.alias("digest"), text.alias("html")).unionByName(
+        pages.select("page_id", F.lit(1).alias("kind"), number.alias("k"), text.alias("refers_to"), "url", digest, "html")
     )
-    rows = rows.withColumn("shard", shard_of("page_id")).repartition("shard").sortWithinPartitions("shard", "page_id", "url", "digest", "kind")
+    # Twice as many partitions as shards: few then hold two.
+    rows = rows.withColumn("shard", shard_of("page_id")).repartition(max(1, 2 * len(starts)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, reference, last = None, None, None
+        writer, page, k, refers = None, None, 0, {}
         for batch in batches:
-            for shard, page_id, url, digest, kind, refers_to, text in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "digest", "kind", "refers_to", "html")), strict=True):
-                key = (shard.as_py(), page_id.as_py(), url.as_py(), digest.as_py())
-                if writer is None or writer.shard != key[0]:
+            for shard, page_id, kind, number, refers_to, url, text in zip(*(batch.column(c) for c in ("shard", "page_id", "kind", "k", "refers_to", "url", "html")), strict=True):
+                if writer is None or writer.shard != shard.as_py():
                     if writer is not None:
                         writer.close()
                         yield manifest_rows(writer.done)
-                    writer = ShardWriter(out, key[0], roll_bytes, level)
+                    writer = ShardWriter(out, shard.as_py(), roll_bytes, level)
+                if page_id.as_py() != page:
+                    page, k, refers = page_id.as_py(), 0, {}
                 if kind.as_py() == 0:
-                    reference = (key, refers_to.as_py())
-                elif key != last:
-                    last = key
-                    writer.add(page_record(key[1], key[2], text.as_buffer().to_pybytes(), reference[1] if reference and reference[0] == key else None))
+                    refers[number.as_py()] = refers_to.as_py()
+                else:
+                    writer.add(page_record(f"{page}:{k}" if k else str(page), url.as_py(), text.as_buffer().to_pybytes(), refers.get(k)))
+                    k += 1
         if writer is not None:
             writer.close()
             yield manifest_rows(writer.done)
@@ -194,13 +208,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def read_archives(manifest: DataFrame, out: str) -> DataFrame:
+def read_archives(manifest: DataFrame, out: str, most_tasks: int = 100_000) -> DataFrame:
     """Manifest -> page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for
     revisits). Each file's size, each block's and each payload's digest are checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
-        number = lambda x: int(x.strip("<>").rpartition(":")[2])
+        number = lambda x: int(x.strip("<>").split(":")[2])
         for batch in batches:
             for name, size in zip(batch.column("file").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 if fs.get_file_info(f"{root}/{name}").size != size:
@@ -223,7 +237,8 @@ def read_archives(manifest: DataFrame, out: str) -> DataFrame:
                 if rows:
                     yield record_rows(rows)
 
-    files = manifest.select("file", "bytes").repartition(F.col("file"))
+    files = manifest.select("file", "bytes")
+    files = files.repartition(min(max(1, files.count()), most_tasks), "file")  # a number that Spark keeps: small rows here stand for whole files
     return files.mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
