@@ -8,14 +8,16 @@ entry for each byte of a code. With the exact norms this ranks by Euclidean dist
 of each query are measured again on the original vectors.
 
 Codebooks are fitted on at most ``sample`` vectors, the first by a hash of their ids; every vector is
-encoded and scanned. Queries and codes meet in blocks, each pair of blocks once; a block holds a bounded
-number of rows. Equal vectors are one row with its smallest ids.
+encoded and scanned. Codes stay where they were written; blocks of queries come past them in rounds, each
+round a broadcast of at most about ``broadcast_bytes``. Equal vectors are one row with its smallest ids, and
+vectors of another length are another search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from treefuse.llm.shared import cut
 
 WORDS = 16
+ANSWER = "query_id bigint, rank int, vec_id bigint, score double"
 
 
 @dataclass
@@ -123,12 +126,10 @@ def packed(codes: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, v: not null, all components finite, not all zero, as long as most vectors are; one row an id."""
+    """id, v: not null, all components finite, not all zero; one row an id."""
     v = F.col(vec_col).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(ok, F.lit(False)))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size("v") == (most["d"] if most else -1))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
@@ -136,25 +137,31 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = 200, sample: int = 20_000, query_block: int = 256, code_block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """vectors(id, vector) and a condition on ``id`` -> query_id, rank (from 1), vec_id, score.
 
-    Each query's k nearest of all other vectors by Euclidean distance, ties to the smaller id; fewer if
-    there are fewer. Vectors that are null, zero, of an unusual length, or hold a null or a non-finite
-    component take no part. Repeated ids count once, with their first vector in order. An empty table gives
-    no rows. Other columns are ignored.
+    Each query's k nearest of all other vectors of its length by Euclidean distance, ties to the smaller id;
+    fewer if there are fewer. Vectors that are null, zero, or hold a null or a non-finite component take no
+    part. Repeated ids count once, with their first vector in order. An empty table gives no rows. Other
+    columns are ignored. ``options`` are those of ``search``.
     """
     rows = cut(usable(vectors, id_col, vec_col).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")}))
+    found = [search(rows.where(F.size("v") == r["d"]), is_query, k, **options) for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], ANSWER)
+
+
+def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample: int = 20_000, query_block: int = 256, code_block: int = 16_384, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """rows(id, v, h1, h2: hashes of v), all of one length."""
     # Equal vectors: one row with the k + 1 smallest ids, which is all that any query can return of them.
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2", "v").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = cut(ranked.groupBy("h1", "h2", "v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")))
     taken = distinct.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()
-    spark = vectors.sparkSession
-    if not taken:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     book = fit(np.array([r["v"] for r in taken]))
     queries = rows.where(is_query).join(distinct.select("h1", "h2", "v", "rep"), ["h1", "h2", "v"]).select(F.col("id").alias("query_id"), "rep")
-    asked = distinct.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
+    asked = cut(distinct.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v"))
+    n_asked = asked.count()
+    if not n_asked:
+        return rows.sparkSession.createDataFrame([], ANSWER)
 
     def blocks(size: int, encoded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +179,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     kind = "block bigint, ids binary, body binary, norms binary"
     codes = cut(distinct.select("rep", "v").mapInArrow(blocks(code_block, True), kind))
-    asked_blocks = cut(asked.mapInArrow(blocks(query_block, False), kind)).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
-    names = [r["q_block"] for r in asked_blocks.select("q_block").collect()]  # one a block of queries
-    if not names:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    met = codes.withColumn("q_block", F.explode(F.lit(names))).repartition("q_block", "block").join(asked_blocks, "q_block")
+    dealt = asked.repartition(-(-n_asked // query_block), "rep")
+    asked_blocks = cut(dealt.mapInArrow(blocks(query_block, False), kind)).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
+    rounds = -(-asked_blocks.agg(F.sum(F.octet_length("q_ids") + F.octet_length("q_body"))).first()[0] // broadcast_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,13 +201,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                         o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "rep", "near"])
 
-    found = met.mapInArrow(scan, "q bigint, rep bigint, near double")
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("near", "rep"))).where(F.col("r") <= rerank)
-    exact = found.join(distinct.select("rep", "v", "ids"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q")
-    exact = exact.select("q", "rep", "ids", F.sqrt(squared_distance("v", "qv")).alias("score"))
-    exact = exact.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
-    each = exact.select("q", "score", F.explode("ids").alias("vec_id"))
-    each = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
+    def near(part: DataFrame) -> DataFrame:
+        """q, score, vec_id of a round's queries: all codes are scanned, so what a query finds is final."""
+        found = codes.crossJoin(F.broadcast(part)).mapInArrow(scan, "q bigint, rep bigint, near double")
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("near", "rep"))).where(F.col("r") <= rerank)
+        exact = found.join(distinct.select("rep", "v", "ids"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q")
+        exact = exact.select("q", "rep", "ids", F.sqrt(squared_distance("v", "qv")).alias("score"))
+        exact = exact.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
+        each = exact.select("q", "score", F.explode("ids").alias("vec_id"))
+        return each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
+
+    each = near(asked_blocks) if rounds == 1 else reduce(DataFrame.unionByName, [cut(near(asked_blocks.where(F.pmod(F.xxhash64("q_block"), F.lit(rounds)) == i))) for i in range(rounds)])
     # A query is itself among its vector's ids only if it is one of the smallest; either way k others are left.
     answers = queries.join(each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near")), F.col("rep") == F.col("q"))
     answers = answers.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))

@@ -18,7 +18,6 @@ QUERIES = {
 }
 ORACLE = {
     "op4_url_filter": url_filter.SQL,
-    "op7_nearest": nearest.op7_nearest,
     "op8_chat_format": chat_format.SQL,
     "op6_licenses": licenses.SQL,
     "op7_nearest": nearest.SQL,
