@@ -5,13 +5,15 @@ tokens of a text are cut between them for certain. Texts are cut at all such pla
 fragment is encoded once, and the fragments' ids are concatenated. A cut is left out where the vocabulary's
 word splitting could look across it: next to an apostrophe, after white space and inside a character.
 
-Rows are encoded where they are (no shuffle); a worker remembers up to ``memory`` fragments.
+Rows are encoded where they are (no shuffle). A worker process reads a vocabulary once, whatever number of
+tasks it runs, and one encoder remembers fragments up to ``memory`` bytes, its dictionary included.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,7 @@ class Vocabulary:
         self.free = (~joined).ravel()
         # White space beyond ASCII, by its last two bytes.
         self.wide_space = np.zeros((256, 256), bool)
-        for c in (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000):
+        for c in (chr(i) for i in range(0x80, 0x3001)):  # no white space stands beyond U+3000
             if c.isspace():
                 self.wide_space[tuple(c.encode()[-2:])] = True
         self.wide_space = self.wide_space.ravel()
@@ -71,13 +73,32 @@ class Vocabulary:
         return np.flatnonzero(cut)
 
 
+@lru_cache(2)
+def read(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def vocabulary(path: str | Callable[[], str]) -> Vocabulary:
+    """The process's own copy. A function is asked for the path where the task runs."""
+    return read(path() if callable(path) else path)
+
+
+def public_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 class Encoder:
+    ENTRY = 220  # bytes of a dictionary entry with its key's and numbers' objects
+
     def __init__(self, vocabulary: Vocabulary, memory: int):
         self.v, self.memory = vocabulary, memory
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.begin = [np.zeros(0, np.int32)], [0]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +106,7 @@ class Encoder:
         cuts = self.v.cuts(data, at)
         raw, bounds = data.tobytes(), cuts.tolist()
         found = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        if len(self.known) > self.memory:
+        if self.held > self.memory:
             self.forget()
         known = self.known
         if new := list({f for f in found if f not in known}):
@@ -93,6 +114,7 @@ class Encoder:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.ids.append(np.fromiter((i for x in ids for i in x), np.int32))
             self.begin.extend((self.begin[-1] + np.cumsum([len(x) for x in ids])).tolist())
+            self.held += sum(map(len, new)) + 4 * len(self.ids[-1]) + self.ENTRY * len(new)
         if len(self.ids) > 1:
             self.ids = [np.concatenate(self.ids)]
         begin = np.asarray(self.begin, np.int64)
@@ -103,7 +125,7 @@ class Encoder:
         return self.ids[0][place], np.concatenate(([0], ends))[np.searchsorted(cuts, at)]
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", memory: int = 600_000, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | Callable[[], str], keep: list[str], text: str = "text", memory: int = 48 << 20, decoded: bool = False) -> DataFrame:
     """The kept columns and ``ids`` (array of int); with ``decoded`` also the ids' text.
 
     As the tokenizer of the file encodes a whole text, special tokens not added (their strings in a text
@@ -113,8 +135,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", memo
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] + [T.StructField("decoded", T.StringType(), False)] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), memory)
-        for rows, data, at in parts(batches, "__text"):
+        encoder = Encoder(vocabulary(path), memory)
+        for rows, data, at in parts(batches, "__text", 1 << 18):
             ids, begin = encoder.encode(data, at)
             out = [rows.column(c) for c in keep] + [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))]
             if decoded:
@@ -129,12 +151,12 @@ def decode_rows(table: list[bytes], ids: np.ndarray, begin: np.ndarray) -> list[
     return [b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def decode(tokens: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
+def decode(tokens: DataFrame, path: str | Callable[[], str], keep: list[str], ids: str = "ids") -> DataFrame:
     """The kept columns and ``decoded``: the text of each row's ids, special tokens included. Null: empty."""
     schema = T.StructType([tokens.schema[c] for c in keep] + [T.StructField("decoded", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Vocabulary(path).bytes
+        table = vocabulary(path).bytes
         for batch in batches:
             lists = batch.column("__ids")
             begin = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
@@ -151,7 +173,5 @@ def digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"], decoded=True))
+    return digests(encode(docs, public_vocabulary, ["doc_id"], decoded=True))
