@@ -57,6 +57,12 @@ def test_contamination_equals_brute_force(spark, broadcast):
     assert got == brute_contamination(texts(), ITEMS)
 
 
+def test_items_may_have_string_ids(spark):
+    items = spark.createDataFrame([(f"it-{i}", t) for i, t in ITEMS], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(documents(spark), items).collect()}
+    assert got == brute_contamination(texts(), [(f"it-{i}", t) for i, t in ITEMS])
+
+
 def test_contamination_without_items_or_documents(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.contamination(documents(spark), items.where("item_id < 0")).collect()
@@ -85,6 +91,22 @@ def test_license_templates_with_gaps(spark):
     assert {r["doc_id"]: r["labels"] for r in rows} == {1: "bsd", 2: ""}
 
 
+def test_license_votes_of_repeated_rows_count_once(spark):
+    rows = [(1, "a general public house"), (1, "a general public house"), (2, "mit license mit license"), (2, "mit license mit license")]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows, repeat=False)).collect()}
+    assert (got[1]["n_base"], got[1]["base_labels"], got[1]["labels"], got[1]["score"]) == (0, "", "", 0.0)
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (2, 0, 2, "mit")
+
+
+def test_whole_licenses_are_found_in_prose(spark):
+    prose = " of the software in the and or use to be with all " * 200
+    for text, label in licenses.TEMPLATES:
+        row = licenses.scan(documents(spark, [(1, prose + "\n# " + text.replace(" ", "\n # ") + "\n" + prose)], repeat=False)).first()
+        assert label in row["labels"].split(","), (label, row["labels"])
+        assert row["score"] == 1.0
+    assert licenses.scan(documents(spark, [(1, prose)], repeat=False)).first()["labels"] == ""
+
+
 def test_quality_learns_and_scores_everything(spark):
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["the", "and", "river", "house", "walks", "to"], int(rng.integers(5, 80)))) + "." for _ in range(150)]
@@ -166,7 +188,10 @@ def test_archives_round_trip_and_do_not_hang_on_partitions(spark):
         digests.append(sorted((r["file"], r["sha256"]) for r in manifest.collect()))
         folders.append((out, manifest))
     assert digests[0] == digests[1] and len(digests[0]) > 5
-    got = {r["page_id"]: r for r in warc.read_archives(folders[1][1], folders[1][0]).collect()}
+    back = warc.read_archives(folders[1][1], folders[1][0]).collect()
+    assert sorted((r["page_id"], r["url"]) for r in back) == sorted((i, warc.plain(u)) for i, u, _ in rows)
+    assert sorted((r["record_type"], r["refers_to"] or 0) for r in back if r["page_id"] == 51) == [("response", 0), ("revisit", 51)]  # two rows, two records
+    got = {r["page_id"]: r for r in sorted(back, key=lambda r: r["record_type"] == "response")}
     by = {}
     for i, _, t in rows:
         by.setdefault(t or "", set()).add(i)
@@ -213,6 +238,23 @@ def test_chats_round_trip(spark):
     assert chat_format.format_windows(rows.where("conv_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_keep_to_their_budget(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(c, i, "system" if i == 0 and c % 2 else ("user", "assistant")[i % 2], "z" * int(rng.choice([3, 40, 300, 700, 2600, 8000], p=[0.3, 0.3, 0.2, 0.1, 0.05, 0.05]))) for c in range(12) for i in range(60)]
+    rows += [(100, 0, "user", "z" * 2600), (100, 1, "assistant", "z" * 8000), (101, 0, "system", "z" * 9000), (101, 1, "user", "z"), (101, 2, "assistant", "z")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tokens = lambda n: (n + 3) // 4 + 4
+    seen = 0
+    for r in chat_format.format_windows(table, budget=1024, history=256, block=32).collect():
+        sizes = [tokens(len(x.partition("\n")[2].removesuffix("<|im_end|>\n"))) for x in r["text"].split("<|im_start|>")[1:]]
+        if r["n_own"] > 1:
+            assert sum(sizes) <= 1024, (r["conv_id"], r["window"], sizes)
+        seen += r["n_repeated"] > 0
+    assert seen > 20
+    assert chat_format.format_windows(table, budget=1024).where("conv_id = 100").count() == 2
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 9)).astype(np.float32)
@@ -231,6 +273,11 @@ def test_neighbours(spark):
         assert [r for r, _, _ in sorted(found)] == list(range(1, 11))
         assert all(abs(s - d[v]) < 1e-9 for _, v, s in found)
     assert right >= 0.9 * 10 * len(got)
+    again = nearest.nearest(table, F.col("id") % 50 == 0, rerank=60, query_block=3, code_block=100, broadcast_bytes=500).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in again) == sorted((q, r, v) for q, x in got.items() for r, v, _ in x)
+    mixed = [(i, [float(i), 1.0]) for i in range(4)] + [(i, [float(i), 1.0, 1.0]) for i in range(50, 53)]
+    both = nearest.nearest(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    assert {q: [r["vec_id"] for r in sorted(both, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50)} == {0: [1, 2, 3], 50: [51, 52]}
     assert [v for _, v, _ in sorted(got[600])] == [0, *range(601, 610)]
     assert nearest.nearest(table.where("vec_id < 0"), F.col("id") % 50 == 0).count() == 0
 
