@@ -53,9 +53,7 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of every remaining text."""
-    import public_tokenizers
-
-    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"], decoded=True)
+    encoded = bpe.encode(docs, bpe.public_vocabulary, ["doc_id"], decoded=True)
     return bpe.digests(encoded, "ids")
 
 
