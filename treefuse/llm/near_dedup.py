@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from treefuse.llm.components import components
 from treefuse.llm.shared import cut
-from treefuse.llm.textarrays import LOWER, NOT_SPACE, gram_hashes, parts, word_hashes, words
+from treefuse.llm.textarrays import LOWER, NOT_SPACE, gram_hashes, parts, release, word_hashes, words
 
 TREES, DEPTH, BASE = 16, 6, 3
 _ODD = np.random.default_rng(5).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,7 +183,10 @@ def region_links(classes: DataFrame, sets: DataFrame, percent: int, block: int)
             found += [(a + x, a + y) for x, y in joining_links(side[a:b], label[a:b], at - at[0], tokens[at[0] : at[-1]], percent)]
         reps = table.column("rep").combine_chunks()
         pick = lambda j: reps.take(pa.array([f[j] for f in found], pa.int64()))
-        return pa.table({"a": pick(0), "b": pick(1)})
+        links = pa.table({"a": pick(0), "b": pick(1)})
+        del table, cell, side, label, lists, begin, tokens
+        release()
+        return links
 
     met = rows.join(sets, "rep").withColumn("bin", F.pmod("cell", F.lit(bins)))
     return met.groupBy("bin").applyInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker process lives on for other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of all batches in runs of about ``limit`` text bytes (one row at least): the rows, the run's
     bytes, and where each row's bytes begin and end (one more than rows). Null texts are empty."""
@@ -45,6 +54,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             end = min(end, batch.num_rows)
             yield batch.slice(row, end - row), data[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+    release()
 
 
 def words(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
