@@ -26,12 +26,30 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 12, 1 << 21])
-def test_repeats_equal_brute_force(spark, chunk):
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(documents(spark), chunk_bytes=chunk).collect()}
+@pytest.mark.parametrize(("chunk", "crowd"), [(1 << 12, 1 << 17), (1 << 21, 1 << 17), (1 << 12, 0)])
+def test_repeats_equal_brute_force(spark, chunk, crowd):
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(documents(spark), chunk_bytes=chunk, crowd=crowd).collect()}
     assert found == brute_repeats(texts(), 50)
 
 
+def test_a_hot_phrase_in_many_surroundings(spark):
+    rng, phrase = random.Random(4), "the very same twenty-odd bytes"
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = [(i, noise(25) + phrase + noise(25)) for i in range(3000)]
+    rows += [(3000 + i, rows[i * 7][1][3:-3] + noise(10)) for i in range(100)]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(documents(spark, rows, repeat=False), chunk_bytes=1 << 14, crowd=500).collect()}
+    assert found == brute_repeats(rows, 50)
+
+
+def test_texts_beyond_a_chunk(spark):
+    rng = random.Random(6)
+    word = ["".join(rng.choice("aéîbc🙂") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(word) for _ in range(30_000))
+    rows = [(1, long[5000:5400]), (2, long), (3, long[100:60_000] + "x" + long[60_000:]), (4, long[70_000:]), (5, None), (6, "y" * 200_000)]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(documents(spark, rows, repeat=False), chunk_bytes=1 << 14).collect()}
+    assert found == brute_repeats(rows, 50)
+
+
 def test_repeats_keep_characters_whole(spark):
     rows = [(1, "é" * 40), (2, "a" + "é" * 40 + "b"), (3, "x")]
     found = {r["doc_id"]: r["text"] for r in remove_repeats(documents(spark, rows, repeat=False)).collect()}
@@ -44,7 +62,8 @@ def test_repeats_of_nothing(spark):
     assert [(r["n_bytes"], r["text"]) for r in only_null] == [(0, "")]
 
 
-def test_columns_find_the_smallest_document():
+@pytest.mark.parametrize("buffer", [1, 7, 1 << 18])
+def test_columns_find_the_smallest_document(tmp_path, buffer):
     rng = np.random.default_rng(0)
     strings = ["".join(rng.choice(list("ab"), 20 + 50)) for _ in range(6)]
     left, size, doc, text = [], [], [], b""
@@ -58,7 +77,10 @@ def test_columns_find_the_smallest_document():
             doc.append(int(rng.integers(100)))
             text += piece.encode()
     left, size, doc = np.array(left), np.array(size), np.array(doc)
-    got = suffix_dedup.smallest_documents(left, size, doc, np.frombuffer(text, np.uint8), 50)
+    files = suffix_dedup.Files(f"file://{tmp_path}")
+    collection = suffix_dedup.Collection(files, left, size, doc.astype(np.int32), np.frombuffer(text, np.uint8), 50, buffer)
+    collection.smallest_documents()
+    got = collection.found(0, len(size)).T
     best, begin = {}, np.cumsum(size) - size
     for i in range(len(size)):
         for c in range(30 - left[i], 30 - left[i] + size[i] - 49):

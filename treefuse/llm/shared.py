@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,28 @@ def ascii_lower(col: Column) -> Column:
 def only(df: DataFrame, **columns: Column) -> DataFrame:
     """Just the named columns: whatever else a table carries can't clash with an operator's own names."""
     return df.select(*(c.alias(k) for k, c in columns.items()))
+
+
+_TABLES: list[str] = []
+
+
+def scratch_table(kind: str) -> str:
+    """A new name for a table in the warehouse."""
+    _TABLES.append(f"{kind}_{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
+def scratch_tables() -> int:
+    """How many there are so far."""
+    return len(_TABLES)
+
+
+def drop_scratch(spark: SparkSession, since: int) -> None:
+    """Drops the tables that operators have made after the first ``since``: for when what comes from them is written."""
+    while len(_TABLES) > since:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+
+
+def remove_folder(uri: str) -> None:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.delete_dir(path)
