@@ -58,7 +58,7 @@ def test_sweeps_by_depth_equal_task_sweeps(spark):
     rng = np.random.default_rng(3)
     rows = [(0, i, None if i == 0 else (i - 1) // 3, float(rng.random()), float(rng.integers(1, 3)), [float(v) for v in np.round(rng.normal(size=2), 1)]) for i in range(13)]
     nodes = cut(spark.createDataFrame(rows, "g int, node_id long, parent_id long, edge_weight double, node_weight double, x array<double>"))
-    a, b = ({r["node_id"]: r for r in fusion.solve(nodes, 0.4, task_nodes=n).collect()} for n in (0, 1000))
+    a, b = ({r["node_id"]: r for r in fusion.solve(nodes, 0.4, task_cells=n).collect()} for n in (0, 1000))
     for i in a:
         assert np.allclose(a[i]["theta"], b[i]["theta"], atol=1e-9) and a[i]["fused"] == b[i]["fused"]
     assert fusion.certificate(fusion.solve(nodes, 0.4), nodes, 0.4).agg(F.sum("violations")).first()[0] == 0

@@ -29,7 +29,7 @@ def ordered_by_label(df: DataFrame, label: str, id_col: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     """k rows without replacement, the same for one seed whatever the partitions: a top-k by a hash of the id."""
-    return df.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), id_col).limit(k)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(k)
 
 
 def quantiles(samples: DataFrame, probabilities: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:

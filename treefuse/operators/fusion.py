@@ -1,8 +1,9 @@
 """Solving the fusion problem on a forest, and contracting what fuses.
 
-A tree's shape goes with each block of features to one task, whose helper solves the block's columns; that
-holds while no tree has more than ``task_nodes`` nodes. Larger trees are swept in Spark, depth by depth:
-one join a depth and sweep, and no task holds a tree.
+A tree's shape goes with each block of features to one task, whose helper solves the block's columns. Blocks are
+as wide as ``task_cells`` (nodes times features; a cell takes about 85 bytes of a task's memory) allows, and
+this holds while no tree has more nodes than that. Larger trees are swept in Spark, depth by depth: one join a
+depth and sweep, and no task holds a tree.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from treefuse.operators.kernels import Tree
 from treefuse.operators.rooted_tree import node_type, with_depth
 from treefuse.shared import cut, settle
 
-TASK_NODES = 4_000_000
+TASK_CELLS = 3_000_000  # a quarter of a GB in a task
 
 
 def tree_of(table: pa.Table) -> tuple[Tree, np.ndarray]:
@@ -37,7 +38,7 @@ def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
-def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_nodes: int = TASK_NODES) -> DataFrame:
+def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int = TASK_CELLS) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) -> g, node_id, parent_id, theta (array), fused.
 
     theta minimises, for each feature, sum w (x - theta)^2 / 2 + lam * sum e |theta - theta_parent|; fused says
@@ -46,9 +47,10 @@ def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_nodes: int
     if lam < 0:
         raise ValueError("lambda must not be negative")
     largest = nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    feature_block = max(1, min(feature_block, task_cells // max(largest, 1)))
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((greatest(size(x), 1) - 1) div {feature_block} as int)")), lambda b: F.struct(b.alias("fb"), F.slice(F.col("x"), b * feature_block + 1, feature_block).alias("x")))
     cells = nodes.select("g", "node_id", "parent_id", "edge_weight", "node_weight", F.explode(blocks).alias("b")).select("g", "node_id", "parent_id", "edge_weight", "node_weight", "b.fb", "b.x")
-    if largest > task_nodes:
+    if largest > task_cells:
         done = solve_by_depth(cells, lam)
     else:
         kind = nodes.schema["g"].dataType.simpleString()

@@ -67,7 +67,7 @@ def follow(nodes: DataFrame, values: list[float], task_cells: int = TASK_CELLS)
             live = live.join(small, "g", "left_anti")
         if live.isEmpty():
             break
-        solved = cut(fusion.solve(live, values[level]))
+        solved = cut(fusion.solve(live, values[level], task_cells=min(task_cells, fusion.TASK_CELLS)))
         reps = fusion.representatives(solved)
         fewer = fusion.contract_nodes(live, reps)
         tree = fusion.contract_tree(live.select("g", "node_id", "parent_id", "edge_weight"), reps)

@@ -49,7 +49,8 @@ def sparse_objective(rows: DataFrame, lam: float, gamma: float) -> DataFrame:
 
 
 def alternations(steps: int, lam: float, gamma: float, most: int):
-    """A task's work: ``steps`` alternations on one block of features, all of them handed back."""
+    """A task's work: ``steps`` alternations on one block of features. Each one's u is handed back, since any may
+    be the last; p and q only with the last one, where the next job goes on."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node_id")
@@ -58,8 +59,10 @@ def alternations(steps: int, lam: float, gamma: float, most: int):
         out = []
         for i in range(steps):
             u, p, q = sparse_step(tree, u, p, q, lam, gamma, most)
-            same = table.drop_columns(["u", "p", "q"])
-            out.append(same.append_column("u", fusion.lists(u)).append_column("p", fusion.lists(p)).append_column("q", fusion.lists(q)).append_column("step", pa.array([i + 1] * len(u), pa.int32())))
+            same = table.drop_columns(["u", "p", "q"]).append_column("u", fusion.lists(u))
+            for name, values in (("p", p), ("q", q)):
+                same = same.append_column(name, fusion.lists(values) if i == steps - 1 else pa.nulls(len(u), pa.list_(pa.float64())))
+            out.append(same.append_column("step", pa.array([i + 1] * len(u), pa.int32())))
         return pa.concat_tables(out)
 
     return run
@@ -67,7 +70,9 @@ def alternations(steps: int, lam: float, gamma: float, most: int):
 
 def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 500, threshold: float = 1e-5, feature_block: int = 64, batch: int = 10) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) of one data set -> the same rows with u."""
-    kind = nodes.schema["g"].dataType.simpleString()
+    kind, n = nodes.schema["g"].dataType.simpleString(), max(nodes.count(), 1)
+    feature_block = max(1, min(feature_block, fusion.TASK_CELLS // n))
+    batch = max(1, min(batch, fusion.TASK_CELLS // (n * feature_block)))
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(x) - 1) div {feature_block} as int)")), lambda b: F.struct(b.alias("fb"), F.slice(F.col("x"), b * feature_block + 1, feature_block).alias("u")))
     shape = nodes.select("g", "node_id", "parent_id", "edge_weight", "node_weight", F.explode(blocks).alias("b"))
     zero = F.transform("b.u", lambda _: F.lit(0.0))
@@ -77,7 +82,6 @@ def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 500, thresho
     done = 0
     while True:
         steps = min(batch, most - done)
-
         fields = f"g {kind}, node_id bigint, parent_id bigint, edge_weight double, node_weight double, fb int, u array<double>, p array<double>, q array<double>, step int"
         tried = cut(state.groupBy("g", "fb").applyInArrow(alternations(steps, lam, gamma, most), fields))
         whole = tried.groupBy("g", "node_id", "step").agg(F.array_sort(F.collect_list(F.struct("fb", "u"))).alias("b")).select("g", "node_id", "step", F.flatten("b.u").alias("u"))

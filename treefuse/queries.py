@@ -6,6 +6,7 @@ region, 2000000 + nation and the customer's key, so that plain joins give what t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,8 @@ from treefuse.functions import evaluate, matrices, weights
 from treefuse.operators import fusion, hierarchy, rooted_tree
 from treefuse.operators.spanning_tree import spanning_tree, spanning_tree_of_features
 from treefuse.plans import bicluster, path, sparse
-from treefuse.shared import cut, rounded
-from treefuse.sources.matrix import Fit, samples
+from treefuse.shared import cut, cut_dir, rounded, row_numbers
+from treefuse.sources.matrix import Fit, read_fit, samples, write_fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,7 +108,7 @@ def matrix_breaks(spark, sf_dir):
     return rows.select(F.col("i").cast("bigint").alias("i"), rounded("value").alias("value"))
 
 
-@query()
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice FROM lineitem ORDER BY md5('1:' || (l_orderkey * 10 + l_linenumber)), id LIMIT 1000")
 def sample_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return matrices.sample_rows(rows.select("id", "l_extendedprice"), "id", 1000, seed=1)
@@ -115,9 +116,7 @@ def sample_rows(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY label, vec_id) AS pos, vec_id, label FROM embeddings")
 def ordered_rows(spark, sf_dir):
-    # zipWithIndex of a sorted table: positions without one task that holds all rows.
-    rows = matrices.ordered_by_label(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id")
-    return rows.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0]["vec_id"], r[0]["label"])).toDF("pos bigint, vec_id bigint, label int")
+    return row_numbers(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
 
 # Spanning trees.
@@ -142,8 +141,7 @@ def mst_rows(spark, sf_dir):
 
 
 def ranked_lengths(edges: DataFrame) -> DataFrame:
-    rows = edges.select("dist").orderBy("dist").rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0]["dist"]))
-    return rows.toDF("rank bigint, dist double").select("rank", rounded("dist").alias("dist"))
+    return row_numbers(edges.select("dist"), "dist", name="rank").select("rank", rounded("dist").alias("dist"))
 
 
 ONE_D = "SELECT c_custkey AS id, c_acctbal AS x FROM customer"
@@ -154,6 +152,12 @@ def mst_rows_1d(spark, sf_dir):
     return ranked_lengths(spanning_tree(samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"]), block_rows=400))
 
 
+@query(ORACLE["mst_rows_1d"])
+def mst_rows_1d_rounds(spark, sf_dir):
+    """The same tree by Boruvka rounds of joins alone: no task holds a group's edges."""
+    return ranked_lengths(spanning_tree(samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"]), block_rows=400, task_edges=0))
+
+
 @query("SELECT 0::BIGINT AS differing")
 def mst_pruned_equals_naive(spark, sf_dir):
     points = samples(table(spark, sf_dir, "part"), "p_partkey", ["p_retailprice", "p_size"])
@@ -224,6 +228,12 @@ def rooted_tree_rows(spark, sf_dir):
     return tree.select("node_id", "parent_id", F.col("depth").cast("bigint").alias("depth"), "subtree_size")
 
 
+@query(SHAPE_SQL + "SELECT node_id, parent_id, subtree_size FROM shape")
+def rooted_tree_tour(spark, sf_dir):
+    """The same tree rooted by its Euler tour in Spark."""
+    return rooted_tree.rooted(weights.gaussian(tree_edges(spark, sf_dir), 10.0), task_edges=0).select("node_id", "parent_id", "subtree_size")
+
+
 @query(SHAPE_SQL + "SELECT node_id, n_children, node_type FROM shape")
 def node_types(spark, sf_dir):
     return weighted_tree(spark, sf_dir).select("node_id", "n_children", "node_type")
@@ -288,10 +298,10 @@ t0 AS (SELECT lo AS t FROM root WHERE step = 70),
 t1 AS (SELECT id, greatest(lb, least(ub, t)) AS t FROM region_b, t0),
 t2 AS (SELECT n.id, greatest(lb, least(ub, t1.t)) AS t FROM nation_b n JOIN t1 ON t1.id = n.up),
 t3 AS (SELECT c.id, greatest(c.x - l, least(c.x + l, t2.t)) AS t FROM p c JOIN t2 ON t2.id = c.up, lam WHERE c.id < 1000000 AND c.id >= 0)
-SELECT id AS node_id, round(t + 0.00123, 2) + 0.0 AS theta FROM (SELECT -1 AS id, t FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)
+SELECT id AS node_id, round(t, 6) + 0.0 AS theta FROM (SELECT -1 AS id, t FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)
 """)
 def tree_solve(spark, sf_dir):
-    return fusion.solve(solve_nodes(spark, sf_dir), 500.0).select("node_id", rounded(F.get("theta", F.lit(0)) + 0.00123, 2).alias("theta"))  # no mean of cents ends there
+    return fusion.solve(solve_nodes(spark, sf_dir), 500.0).select("node_id", rounded(F.get("theta", F.lit(0))).alias("theta"))
 
 
 @query("SELECT (i - 1)::INTEGER AS feature_idx, 0::BIGINT AS violations FROM range(1, 65) t(i)")
@@ -375,9 +385,83 @@ def path_expand(spark, sf_dir):
     return path.expand(points, fit, [1, 5, 9]).select("level", "sample_id", *(rounded(F.get("theta", F.lit(i))).alias(f"theta{i}") for i in (0, 1)))
 
 
-@query("SELECT count(DISTINCT c_acctbal) AS labels, count(*) AS n FROM customer")
+@query(f"SELECT min(node_id) AS first, count(*) AS n FROM ({ORACLE['tree_solve']}) GROUP BY theta")
 def single_lambda_labels(spark, sf_dir):
-    return path.fit_one(samples(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"]), 0.0).agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("n"))
+    nodes = tree_nodes(spark, sf_dir).select("g", F.col("node_id").alias("sample_id"), F.array(F.coalesce("x", F.lit(0.0))).alias("x"))
+    found = path.fit_one(nodes, 500.0, edges=tree_edges(spark, sf_dir), bandwidth=1e15, norm=False)  # so wide that all weights are 1
+    return found.groupBy("label").agg(F.min("sample_id").alias("first"), F.count(F.lit(1)).alias("n")).drop("label")
+
+
+# A star: all suppliers hang on the first one. Its levels can be solved in closed form: the centre's value is
+# where a sum of clipped differences is 0, which is found between two of its breakpoints.
+
+STAR_LAMBDAS = [200.0, 800.0, 2000.0, 1e6]
+
+
+def star_fit(spark, sf_dir, lambdas=STAR_LAMBDAS, **options) -> tuple[DataFrame, Fit]:
+    points = samples(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"])
+    centre = points.agg(F.min("sample_id").alias("u"))
+    edges = points.crossJoin(F.broadcast(centre)).where("sample_id != u").select("g", "u", F.col("sample_id").alias("v"), F.lit(1.0).alias("dist"))
+    return points, path.follow(path.start_nodes(points, 1e15, norm=False, edges=edges), lambdas, **options)
+
+
+def _star_sql(lambdas) -> str:
+    parts = ["WITH l0 AS (SELECT s_suppkey::BIGINT AS id, s_acctbal AS x FROM supplier WHERE s_suppkey > (SELECT min(s_suppkey) FROM supplier))",
+             "r0 AS (SELECT s_suppkey::BIGINT AS id, 1.0::DOUBLE AS w, s_acctbal AS m FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier))"]
+    for k, lam in enumerate(lambdas, 1):
+        i = k - 1
+        parts += [
+            f"b{k} AS (SELECT x - {lam} AS b FROM l{i} UNION SELECT x + {lam} FROM l{i} UNION SELECT m FROM r{i})",
+            f"f{k} AS (SELECT b, any_value(w) * (b - any_value(m)) + sum(greatest(-{lam}, least({lam}, b - x))) AS f FROM b{k}, r{i}, l{i} GROUP BY b)",
+            f"lo{k} AS (SELECT b, f FROM f{k} WHERE f <= 0 ORDER BY b DESC LIMIT 1), hi{k} AS (SELECT b, f FROM f{k} WHERE f >= 0 ORDER BY b LIMIT 1)",
+            f"t{k} AS (SELECT CASE WHEN a.b = c.b THEN a.b ELSE a.b - a.f * (c.b - a.b) / (c.f - a.f) END AS t FROM lo{k} a, hi{k} c)",
+            f"z{k} AS (SELECT id, x FROM l{i}, t{k} WHERE abs(t - x) <= {lam})",
+            f"l{k} AS (SELECT id, x FROM l{i} WHERE id NOT IN (SELECT id FROM z{k}))",
+            f"r{k} AS (SELECT any_value(r.id) AS id, any_value(w) + count(z.id) AS w, (any_value(w * m) + coalesce(sum(z.x), 0)) / (any_value(w) + count(z.id)) AS m FROM r{i} r LEFT JOIN z{k} z ON true)",
+            f"c{k} AS (SELECT {k} AS level, {lam}::DOUBLE AS lambda, (SELECT count(*) FROM l{i}) + 1 AS n_in, (SELECT count(*) FROM l{k}) + 1 AS n_out)",
+        ]
+    return ", ".join(parts)
+
+
+STAR_SQL, STAR_LEVELS = _star_sql(STAR_LAMBDAS), range(1, len(STAR_LAMBDAS) + 1)
+COUNTS = " UNION ALL ".join(f"SELECT * FROM c{k} WHERE n_in > 1" for k in STAR_LEVELS)
+STAR_POINTERS = STAR_SQL + " " + " UNION ALL ".join(
+    f"SELECT {k} AS level, id AS node_id, CASE WHEN id IN (SELECT id FROM z{k}) THEN (SELECT id FROM r{k}) ELSE id END AS rep_id FROM (SELECT id FROM l{k - 1} UNION ALL SELECT id FROM r{k - 1}), c{k} WHERE n_in > n_out" for k in STAR_LEVELS
+)
+STAR_MEANS = STAR_SQL + " " + " UNION ALL ".join(
+    f"SELECT {k} AS level, s_suppkey::BIGINT AS sample_id, round(CASE WHEN s_suppkey IN (SELECT id FROM l{k}) THEN s_acctbal ELSE (SELECT m FROM r{k}) END, 5) + 0.0 AS theta FROM supplier" for k in STAR_LEVELS[:3]
+)
+
+
+@query(f"{STAR_SQL} {COUNTS}")
+def star_level_counts(spark, sf_dir):
+    return path.level_counts(star_fit(spark, sf_dir)[1]).drop("g")
+
+
+@query(f"{_star_sql([2000.0, 1e6])} SELECT * FROM c1 UNION ALL SELECT * FROM c2")
+def star_level_counts_in_spark(spark, sf_dir):
+    """Levels as Spark jobs: no task holds the tree."""
+    return path.level_counts(star_fit(spark, sf_dir, [2000.0, 1e6], task_cells=0)[1]).drop("g")
+
+
+@query(STAR_POINTERS)
+def star_pointers(spark, sf_dir):
+    return star_fit(spark, sf_dir)[1].pointers.drop("g")
+
+
+@query(STAR_MEANS)
+def star_expand(spark, sf_dir):
+    points, fit = star_fit(spark, sf_dir)
+    return path.expand(points, fit, list(STAR_LEVELS[:3])).select("level", "sample_id", rounded(F.get("theta", F.lit(0)), 5).alias("theta"))
+
+
+@query(STAR_MEANS)
+def fit_round_trip(spark, sf_dir):
+    """A fit written as tables and read again."""
+    points, fit = star_fit(spark, sf_dir)
+    folder = f"{cut_dir(spark)}/fit-{uuid.uuid4().hex}"
+    write_fit(fit, folder)
+    return path.expand(points, read_fit(spark, folder), list(STAR_LEVELS[:3])).select("level", "sample_id", rounded(F.get("theta", F.lit(0)), 5).alias("theta"))
 
 
 @query()
@@ -386,11 +470,44 @@ def lambda_search(spark, sf_dir):
     return spark.createDataFrame([(best, lam, n) for lam, n in tried], "lambda_max double, lambda double, clusters bigint")
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS n_in FROM events GROUP BY event_type")
+# On the star the clusters at any penalty follow from the centre's value there; the search only looks at multiples
+# of 62.5 below its ceiling.
+@query("""
+WITH RECURSIVE l AS (SELECT s_acctbal AS x FROM supplier WHERE s_suppkey > (SELECT min(s_suppkey) FROM supplier)),
+r AS (SELECT s_acctbal AS m FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)),
+grid AS (SELECT i * 62.5::DOUBLE AS lam FROM range(1, 225) g(i)),
+b AS (SELECT lam, x - lam AS b FROM l, grid UNION SELECT lam, x + lam FROM l, grid UNION SELECT lam, m FROM r, grid),
+f AS (SELECT lam, b, any_value(b - m) + sum(greatest(-lam, least(lam, b - x))) AS f FROM b, r, l GROUP BY lam, b),
+t AS (
+  SELECT lam, CASE WHEN lo = hi THEN lo ELSE lo - flo * (hi - lo) / (fhi - flo) END AS t
+  FROM (SELECT lam, max(b) FILTER (f <= 0) AS lo, min(b) FILTER (f >= 0) AS hi, max(f) FILTER (f <= 0) AS flo, min(f) FILTER (f >= 0) AS fhi FROM f GROUP BY lam)
+),
+n AS (SELECT lam, count(DISTINCT round(greatest(x - lam, least(x + lam, t)), 7)) + max((abs(t - x) > lam)::INTEGER) * 0 AS leaves, bool_or(abs(t - x) <= lam) AS joined FROM t, l GROUP BY lam),
+clusters AS (SELECT lam, leaves + CASE WHEN joined THEN 0 ELSE 1 END AS n FROM n),
+walk AS (
+  SELECT 1 AS i, 1000.0::DOUBLE AS lam, 1000.0::DOUBLE AS stride, false AS collapsed, NULL::BIGINT AS n, false AS done
+  UNION ALL
+  SELECT i + 1, CASE WHEN c.n > 1 THEN w.lam + s ELSE w.lam - s END, s, w.collapsed OR c.n = 1, c.n, c.n = 1 AND s < 50
+  FROM walk w JOIN clusters c ON c.lam = w.lam, LATERAL (SELECT CASE WHEN w.collapsed OR c.n = 1 THEN w.stride / 2 ELSE w.stride END AS s) WHERE NOT done AND w.stride >= 50 AND i < 100
+)
+SELECT b.lam + b.stride AS lambda_max, a.lam AS lambda, b2.n AS clusters FROM walk a JOIN walk b2 ON b2.i = a.i + 1, (SELECT lam, stride FROM walk ORDER BY i DESC LIMIT 1) b
+""")
+def star_lambda_search(spark, sf_dir):
+    points = samples(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"])
+    centre = points.agg(F.min("sample_id").alias("u"))
+    edges = points.crossJoin(F.broadcast(centre)).where("sample_id != u").select("g", "u", F.col("sample_id").alias("v"), F.lit(1.0).alias("dist"))
+    best, tried = path.search_lambda(points, edges=edges, bandwidth=1e15, norm=False)
+    return spark.createDataFrame([(best, lam, n) for lam, n in tried], "lambda_max double, lambda double, clusters bigint")
+
+
+@query("""
+SELECT event_type, count(*)::DOUBLE AS users, round(avg(n), 5) AS n, round(avg(v), 5) AS v FROM (SELECT event_type, user_id, count(*) AS n, coalesce(avg(value), 0) AS v FROM events GROUP BY ALL) GROUP BY event_type
+""")
 def fit_per_group(spark, sf_dir):
     per_user = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("v"))
-    fit = path.group_fits(per_user, "user_id", ["n", "v"], "event_type", [0.5, 5.0, 50.0])
-    return fit.levels.where("level = 1").select(F.col("g").alias("event_type"), "n_in")
+    fit = path.group_fits(per_user, "user_id", ["n", "v"], "event_type", [0.5, 5.0, 50.0, 1e12], bandwidth=1e6)  # so wide that no weight vanishes
+    end = fit.coordinates.groupBy("g").agg(F.max_by(F.struct("weight", "x"), "level").alias("e"))  # the last level leaves one cluster
+    return end.select(F.col("g").alias("event_type"), F.col("e.weight").alias("users"), *(rounded(F.get("e.x", F.lit(i)), 5).alias(c) for i, c in enumerate("nv")))
 
 
 # Sparse and two-sided fits.
@@ -467,6 +584,93 @@ def bi_expand(spark, sf_dir):
     return bicluster.expand_blocks(points, fit, 1).groupBy(rounded("theta").alias("theta")).agg(F.count(F.lit(1)).alias("cells"))
 
 
+# With one of the two penalties at 0, or so large that it leaves one value, the alternation has a closed form.
+
+COLUMNS_SQL = "c AS (SELECT (i - 1)::INTEGER AS feature_idx, sqrt(sum(embedding[i]::DOUBLE ** 2)) AS norm, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY i)"
+LOW, HIGH = "(SELECT quantile_disc(norm, 0.25) + 1e-9 FROM c)", "(SELECT quantile_disc(norm, 0.75) + 1e-9 FROM c)"
+
+
+def norm_quantiles(spark, sf_dir) -> list[float]:
+    norms = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.sqrt(F.sum(F.col("v").cast("double") ** 2)).alias("n"))
+    return [q + 1e-9 for q in norms.agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY n)").alias("a"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY n)").alias("b")).first()]
+
+
+def shrunk_fit(spark, sf_dir) -> tuple[DataFrame, Fit]:
+    """Nothing fuses, and the shrinkage's recursion leaves columns with a norm above twice gamma."""
+    points = vectors(spark, sf_dir)
+    return points, sparse.fit_sparse(points, [0.0, 0.0], [q / 2 for q in norm_quantiles(spark, sf_dir)])
+
+
+@query(f"WITH {COLUMNS_SQL}, n AS (SELECT count(*) AS n FROM embeddings) SELECT level, 0.0::DOUBLE AS lambda, n AS n_in, n AS n_out, features FROM n, (SELECT 1 AS level, count(*) FILTER (norm > {LOW}) AS features FROM c UNION ALL SELECT 2, count(*) FILTER (norm > {HIGH}) FROM c)")
+def sparse_levels_shrunk(spark, sf_dir):
+    _, fit = shrunk_fit(spark, sf_dir)
+    return fit.levels.join(fit.features.groupBy("level").agg(F.count(F.lit(1)).alias("features")), "level").select("level", "lambda", "n_in", "n_out", "features")
+
+
+@query(f"WITH {COLUMNS_SQL} SELECT level, feature_idx FROM (SELECT 1 AS level, feature_idx FROM c WHERE norm > {LOW} UNION ALL SELECT 2, feature_idx FROM c WHERE norm > {HIGH})")
+def sparse_kept_features(spark, sf_dir):
+    return shrunk_fit(spark, sf_dir)[1].features.select("level", "feature_idx")
+
+
+@query(f"WITH {COLUMNS_SQL} SELECT vec_id, feature_idx, round(CASE WHEN norm > {HIGH} THEN embedding[feature_idx + 1]::DOUBLE END, 5) + 0.0 AS theta FROM embeddings, c")
+def sparse_expand(spark, sf_dir):
+    points, fit = shrunk_fit(spark, sf_dir)
+    wide = sparse.expand_features(path.expand(points, fit, [2]), fit.features, 64)
+    return wide.select(F.col("sample_id").alias("vec_id"), F.posexplode("theta").alias("feature_idx", "theta")).withColumn("theta", rounded("theta", 5))
+
+
+@query(f"WITH {COLUMNS_SQL} SELECT 1::BIGINT AS n_out, (SELECT count(*) FROM embeddings)::DOUBLE AS weight, feature_idx, round(mean, 5) + 0.0 AS mean FROM c")
+def sparse_fused(spark, sf_dir):
+    """All rows fuse and nothing is shrunk."""
+    fit = sparse.fit_sparse(vectors(spark, sf_dir), [1e9], [0.0], bandwidth=1e6)
+    kept = row_numbers(fit.features.select("feature_idx"), "feature_idx")
+    cells = fit.coordinates.select("weight", F.posexplode("x").alias("i", "mean")).join(kept, F.col("i") + 1 == F.col("pos"))
+    return cells.crossJoin(fit.levels.select("n_out")).select("n_out", "weight", "feature_idx", rounded("mean", 5).alias("mean"))
+
+
+@query("SELECT s AS side, n AS nodes, n - 1 AS edges, 1::BIGINT AS roots FROM (SELECT 's' AS s, count(*) AS n FROM embeddings UNION ALL SELECT 'f', max(len(embedding)) FROM embeddings)")
+def bi_tree_sizes(spark, sf_dir):
+    rows, columns = bicluster.bi_trees(vectors(spark, sf_dir))
+    both = rows.select(F.lit("s").alias("side"), "parent_id").unionByName(columns.select(F.lit("f").alias("side"), "parent_id"))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("nodes"), F.count("parent_id").alias("edges"), F.count(F.when(F.col("parent_id").isNull(), 1)).alias("roots"))
+
+
+@query(ORACLE["mst_columns"].replace("SELECT row_number() OVER (ORDER BY d2) AS rank, round(sqrt(d2), 6) AS dist FROM prim WHERE d2 IS NOT NULL", "SELECT row_number() OVER (ORDER BY d2 DESC) AS rank, round(exp(-d2 / (SELECT median(d2) FROM prim)), 6) AS weight FROM prim WHERE d2 IS NOT NULL"))
+def bi_tree_weights(spark, sf_dir):
+    """The features' tree of a two-sided fit, its weights not lifted (the floor is their smallest)."""
+    columns = bicluster.bi_trees(vectors(spark, sf_dir), prob_thresh=0.0, depth_f=0)[1].where("parent_id is not null")
+    return row_numbers(columns.select("edge_weight"), "edge_weight", name="rank").select("rank", rounded("edge_weight").alias("weight"))
+
+
+def bi_means(spark, sf_dir, lam: float, gamma: float, **options) -> DataFrame:
+    points = vectors(spark, sf_dir)
+    fit = bicluster.fit_bi(points, [lam], [gamma], bandwidth_s=1e6, bandwidth_f=1e6, **options)  # so wide that no weight vanishes
+    return bicluster.expand_blocks(points, fit, 1)
+
+
+@query("SELECT (i - 1)::BIGINT AS feature_idx, count(*) AS cells, round(avg(embedding[i]::DOUBLE), 5) + 0.0 AS low, round(avg(embedding[i]::DOUBLE), 5) + 0.0 AS high FROM embeddings, range(1, 65) t(i) GROUP BY i")
+def bi_rows_fused(spark, sf_dir):
+    """All samples fuse and no feature does: a cell is its column's mean."""
+    return bi_means(spark, sf_dir, 1e9, 0.0).groupBy("feature_idx").agg(F.count(F.lit(1)).alias("cells"), rounded(F.min("theta"), 5).alias("low"), rounded(F.max("theta"), 5).alias("high"))
+
+
+@query("SELECT vec_id AS sample_id, 64::BIGINT AS cells, round(m, 5) + 0.0 AS low, round(m, 5) + 0.0 AS high FROM (SELECT vec_id, list_avg(list_transform(embedding, lambda v: v::DOUBLE)) AS m FROM embeddings)")
+def bi_columns_fused(spark, sf_dir):
+    """All features fuse and no sample does: a cell is its row's mean."""
+    return bi_means(spark, sf_dir, 0.0, 1e9).groupBy("sample_id").agg(F.count(F.lit(1)).alias("cells"), rounded(F.min("theta"), 5).alias("low"), rounded(F.max("theta"), 5).alias("high"))
+
+
+@query("SELECT count(*) AS cells, round(avg(v), 6) + 0.0 AS low, round(avg(v), 6) + 0.0 AS high FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)")
+def bi_all_fused(spark, sf_dir):
+    return bi_means(spark, sf_dir, 1e9, 1e9).agg(F.count(F.lit(1)).alias("cells"), rounded(F.min("theta")).alias("low"), rounded(F.max("theta")).alias("high"))
+
+
+@query(ORACLE["bi_rows_fused"])
+def bi_rows_fused_in_spark(spark, sf_dir):
+    """The same with alternations as Spark jobs: no task holds the matrix."""
+    return bi_means(spark, sf_dir, 1e9, 0.0, task_cells=0).groupBy("feature_idx").agg(F.count(F.lit(1)).alias("cells"), rounded(F.min("theta"), 5).alias("low"), rounded(F.max("theta"), 5).alias("high"))
+
+
 # Labels and hierarchies, on pointers that follow the hierarchy tree: customers to nations to regions to the root.
 
 

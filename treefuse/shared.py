@@ -3,35 +3,47 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint in spark.checkpoint.dir; only a local session without that
-    setting gets a folder of its own."""
-    spark = df.sparkSession
+def cut_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without that setting gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint()
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder. Unlike a checkpoint, which hands on the
+    estimates of the plan behind it (and these multiply in every round of joins), the files have a known size, so
+    Spark plans the next joins by what is really there."""
+    spark = df.sparkSession
+    folder = f"{cut_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
-def settle(parents: DataFrame, keys: list[str], node: str, parent: str, most: int = 64) -> DataFrame:
+def settle(parents: DataFrame, keys: list[str], node: str, parent: str, most: int = 64, steps: int = 3) -> DataFrame:
     """keys, node, parent -> the same with each node's topmost ancestor as parent, by pointer doubling: about
-    log(depth) self-joins. A top points to itself."""
+    log(depth) self-joins, written and looked at after every ``steps`` of them. A top points to itself."""
     now = cut(parents.select(*keys, node, parent))
-    for _ in range(most):
-        up = now.select(*keys, F.col(node).alias(parent), F.col(parent).alias("__up"))
-        then = cut(now.join(up, [*keys, parent]).select(*keys, node, parent, "__up"))
-        moved = then.where(F.col(parent) != F.col("__up")).limit(1).count()
-        now = then.select(*keys, node, F.col("__up").alias(parent))
-        if not moved:
+    for _ in range(0, most, steps):
+        then = now
+        for i in range(steps):
+            up = then.select(*keys, F.col(node).alias(parent), F.col(parent).alias("__up"))
+            then = then.join(up, [*keys, parent]).select(*keys, node, (F.col(parent) != F.col("__up")).alias("__moved"), F.col("__up").alias(parent))
+            then = then if i == steps - 1 else then.drop("__moved")
+        then = cut(then)
+        now = then.drop("__moved")
+        if then.where("__moved").isEmpty():
             return now
     raise RuntimeError(f"parents do not settle within {most} doublings: is there a cycle?")
 
@@ -39,3 +51,13 @@ def settle(parents: DataFrame, keys: list[str], node: str, parent: str, most: in
 def rounded(col: Column | str, digits: int = 6) -> Column:
     """For comparisons: rounded, and never minus zero."""
     return F.round(col, digits) + F.lit(0.0)
+
+
+def row_numbers(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """The rows in order with their number from 1: ranges of the order are numbered side by side, and each range
+    starts where the counts of those before it end (a row a range)."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + inner).cast("bigint")).drop("__range", "__before")
