@@ -89,7 +89,8 @@ def test_three_clouds_are_told_apart(spark):
     found = cut(hierarchy.labels(points, fit, 3))
     assert found.select("label").distinct().count() == 3
     assert evaluate.accuracy(found, known).first()["accuracy"] >= 0.95
-    table, merges = hierarchy.summary(points, known, fit)
+    table, merges, again = hierarchy.summary(points, known, fit, k=3)
+    assert evaluate.accuracy(again, known).first()["accuracy"] >= 0.95
     assert table.agg(F.sum("n")).first()[0] == 400 and merges.count() == table.count() - 1
 
 

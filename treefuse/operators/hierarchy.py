@@ -23,7 +23,8 @@ def force_merge(fit: Fit, factor: float) -> Fit:
     # Where nothing ever fused there are no pointers to tell the nodes from; such a group is left as it is.
     top = left.groupBy("g").agg(F.min("n").alias("rep_id"))
     more = left.join(top, "g").select("g", "level", F.col("n").alias("node_id"), "rep_id")
-    return Fit(fit.levels.unionByName(level), fit.pointers.unionByName(more), fit.coordinates, fit.features, fit.pointers_f)
+    # Labels and dendrograms ask for both several times.
+    return Fit(cut(fit.levels.unionByName(level)), cut(fit.pointers.unionByName(more)), fit.coordinates, fit.features, fit.pointers_f)
 
 
 def start_level(levels: DataFrame, show: int = 100) -> DataFrame:
@@ -102,17 +103,22 @@ def few_labels(samples: DataFrame, fit: Fit, k: int = 2, show: int = 100) -> Dat
     whole = force_merge(fit, 2.0)
     begin = start_level(whole.levels, show)
     counts = whole.levels.join(begin.withColumnRenamed("level", "s"), "g")
-    enough = counts.groupBy("g").agg(F.coalesce(F.max(F.when((F.col("level") <= F.col("s")) & (F.col("n_out") >= k), F.col("level"))), F.lit(0)).alias("level"))
-    merges = cut(merge_table(whole.pointers, whole.levels, enough))
+    enough = cut(counts.groupBy("g").agg(F.coalesce(F.max(F.when((F.col("level") <= F.col("s")) & (F.col("n_out") >= k), F.col("level"))), F.lit(0)).alias("level")))
+    return cut_merges(samples, whole, enough, k)
+
+
+def cut_merges(samples: DataFrame, whole: Fit, after: DataFrame, k: int) -> DataFrame:
+    """g, sample_id, label: the clusters that the merges above ``after`` (g, level) leave without the last k - 1."""
+    merges = cut(merge_table(whole.pointers, whole.levels, after))
     last = merges.groupBy("g").agg((F.max("step") - k + 1).alias("until"))
     kept = merges.join(last, "g").where(F.col("step") <= F.col("until"))
     parts = kept.select("g", F.col("left").alias("c"), F.col("step").alias("p")).unionByName(kept.select("g", F.col("right").alias("c"), F.col("step").alias("p")))
     tops = kept.select("g", F.col("step").alias("c")).join(parts.select("g", "c"), ["g", "c"], "left_anti").withColumn("p", F.col("c"))
     top = settle(parts.unionByName(tops), ["g"], "c", "p")
-    used = whole.pointers.join(enough.withColumnRenamed("level", "after"), "g").where("level > after")
+    used = whole.pointers.join(after.withColumnRenamed("level", "after"), "g").where("level > after")
     leaves = used.select("g", "node_id").distinct().withColumn("c", -F.row_number().over(Window.partitionBy("g").orderBy("node_id")).cast("bigint"))
     group = leaves.join(top, ["g", "c"], "left").select("g", F.col("node_id").alias("rep_id"), F.coalesce("p", "c").alias("key"))
-    return numbered(at_levels(samples, whole.pointers, enough).join(group, ["g", "rep_id"], "left").select("g", "sample_id", F.coalesce("key", -F.col("rep_id") - (1 << 40)).alias("key")))
+    return numbered(at_levels(samples, whole.pointers, after).join(group, ["g", "rep_id"], "left").select("g", "sample_id", F.coalesce("key", -F.col("rep_id") - (1 << 40)).alias("key")))
 
 
 def at_levels(samples: DataFrame, pointers: DataFrame, levels: DataFrame) -> DataFrame:
@@ -143,9 +149,10 @@ def log_heights(merges: DataFrame, base: float) -> DataFrame:
     return merges.withColumn("height", F.log(base, F.col("height")))
 
 
-def summary(samples: DataFrame, truth: DataFrame, fit: Fit, show: int = 100, log_base: float | None = None) -> tuple[DataFrame, DataFrame]:
+def summary(samples: DataFrame, truth: DataFrame, fit: Fit, show: int = 100, log_base: float | None = None, k: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The clusters of the start level: (g, rep_id, pos in leaf order, n, x: mean of the samples' own rows, mode
-    of the given labels), and their merges. truth: g, sample_id, label."""
+    of the given labels), their merges, and each sample's label (g, sample_id, label) when these are cut into k.
+    truth: g, sample_id, label."""
     whole = force_merge(fit, 1.5)
     begin = cut(start_level(whole.levels, show))
     members = at_levels(samples, whole.pointers, begin)
@@ -157,6 +164,6 @@ def summary(samples: DataFrame, truth: DataFrame, fit: Fit, show: int = 100, log
     order = leaf_order(merges).join(names, ["g", "leaf"]).select("g", "rep_id", "pos")
     modes = mode(members.join(truth, ["g", "sample_id"]), ["g", "rep_id"], "label", "sample_id")
     table = means.join(order, ["g", "rep_id"], "left").join(modes, ["g", "rep_id"], "left")
-    return table, merges if log_base is None else log_heights(merges, log_base)
+    return table, merges if log_base is None else log_heights(merges, log_base), cut_merges(samples, whole, begin, k)
 
 

@@ -788,10 +788,17 @@ def cluster_mode(spark, sf_dir):
 SELECT kr AS rep_id, count(*) AS n, round(avg(bal), 6) AS x, any_value(mode) AS mode FROM c JOIN br USING (r) JOIN md USING (kr) GROUP BY kr""")
 def cluster_summary(spark, sf_dir):
     truth = table(spark, sf_dir, "customer").select(F.lit(0).alias("g"), F.col("c_custkey").cast("bigint").alias("sample_id"), F.col("c_mktsegment").alias("label"))
-    found, _ = hierarchy.summary(customers(spark, sf_dir), truth, tree_fit(spark, sf_dir))
+    found, _, _ = hierarchy.summary(customers(spark, sf_dir), truth, tree_fit(spark, sf_dir))
     return found.select("rep_id", "n", rounded(F.get("x", F.lit(0))).alias("x"), "mode")
 
 
+@query(FIT_SQL + "SELECT k AS sample_id, greatest(1, i - 2)::INTEGER AS label FROM c JOIN (SELECT r, row_number() OVER (ORDER BY kr) AS i FROM br) USING (r)")
+def summary_labels(spark, sf_dir):
+    """The start level's five regions cut into three: the first three are merged first."""
+    truth = table(spark, sf_dir, "customer").select(F.lit(0).alias("g"), F.col("c_custkey").cast("bigint").alias("sample_id"), F.col("c_mktsegment").alias("label"))
+    return hierarchy.summary(customers(spark, sf_dir), truth, tree_fit(spark, sf_dir), k=3)[2].select("sample_id", "label")
+
+
 @query(MERGES + "SELECT step::BIGINT AS step, round(ln(height) / ln(10), 6) AS height FROM merges")
 def log_heights(spark, sf_dir):
     return hierarchy.log_heights(tree_merges(spark, sf_dir), 10.0).select("step", rounded("height").alias("height"))
