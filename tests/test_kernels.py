@@ -143,3 +143,17 @@ def test_matching_is_the_best_one(seed):
     b = np.zeros((k, k), int)
     b[: a.shape[0], : a.shape[1]] = a
     assert matching(a) == max(sum(b[i, p[i]] for i in range(k)) for p in itertools.permutations(range(k)))
+
+
+def test_nodes_that_stay_apart_are_not_solved_for():
+    rng = np.random.default_rng(9)
+    seen = {True: 0, False: 0}
+    for _ in range(200):
+        n = int(rng.integers(2, 12))
+        tree = Tree(np.array([-1, *(int(rng.integers(0, i)) for i in range(1, n))]), rng.random(n), rng.random(n) + 0.5)
+        x, lam = rng.normal(size=(n, 2)), float(rng.random() * 0.3)
+        apart = tree.apart(x, lam)
+        fused = tree.solve(x, lam)[1][1:]
+        assert not (apart and fused.all(1).any())
+        seen[apart] += 1
+    assert min(seen.values()) > 20

@@ -77,6 +77,20 @@ class Tree:
             fused[has] |= gap <= 1e-9 * (1 + (x.max(0) - x.min(0)))
         return best, fused
 
+    def apart(self, x: np.ndarray, lam: float) -> bool:
+        """Whether in some column all neighbours stay apart, so that no node has its parent's value everywhere. If
+        each node moves by the pull of its edges alone and no edge changes its direction on the way, that is the
+        column's minimiser."""
+        has = np.flatnonzero(self.parent >= 0)
+        above, edge = self.parent[has], self.edge[has]
+        for column in x.T:
+            way = np.sign(column[above] - column[has])
+            pull = np.bincount(has, edge * way, len(column)) - np.bincount(above, edge * way, len(column))
+            moved = column + lam * pull / self.node
+            if ((moved[above] - moved[has]) * way > 1e-8 * (1 + np.ptp(column))).all():
+                return True
+        return False
+
     def contract(self, x: np.ndarray, fused: np.ndarray) -> tuple[Tree, np.ndarray, np.ndarray, np.ndarray]:
         """Fused nodes join their topmost fused ancestor: the new tree, weighted means, each node's new
         position, and which nodes stay."""

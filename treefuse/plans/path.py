@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,9 +100,10 @@ def in_tasks(nodes: DataFrame, values: list[float], done: int) -> DataFrame:
                 column.extend(part)
 
         for i in range(done, len(values)):
-            _, fused = tree.solve(x, values[i])
-            joined = fused.all(1) & (tree.parent >= 0)
             before = len(ids)
+            joined = np.zeros(before, bool)
+            if not tree.apart(x, values[i]):
+                joined = tree.solve(x, values[i])[1].all(1) & (tree.parent >= 0)
             if joined.any():
                 tree, x, to, stay = tree.contract(x, joined)
                 add(1, i + 1, ids.tolist(), ids[stay][to].tolist(), [None] * before, [None] * before)
