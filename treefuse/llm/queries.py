@@ -17,6 +17,9 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 ORACLE = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
+    "op2_warc": warc.SQL,
+    "op3_near_dedup": near_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
     "op8_chat_format": chat_format.SQL,
     "op6_licenses": licenses.SQL,

@@ -597,3 +597,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 1 << 20
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Every string of 50 bytes by its place: right, but far too large for more than small tables.
+SQL = """
+WITH d AS (SELECT doc_id::BIGINT AS doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, p, b[p + 1 : p + 50] AS w FROM d, unnest(range(0, octet_length(b) - 49)) t(p)),
+f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM s JOIN f USING (w) WHERE first < doc_id),
+marked AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS new FROM hit),
+numbered AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+runs AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS e FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, span, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY span), 0) AS left_ FROM runs),
+cut AS (
+  SELECT g.doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN a > left_ THEN hex(b[left_ + 1 : a]) ELSE '' END, '' ORDER BY span) AS head, max(e) AS e
+  FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || CASE WHEN octet_length(b) > coalesce(e, 0) THEN hex(b[coalesce(e, 0) + 1 : octet_length(b)]) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

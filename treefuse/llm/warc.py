@@ -251,3 +251,11 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), out)
     return read_archives(manifest, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_LETTERS}', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {b}) & 31)::INTEGER + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM w
+"""
