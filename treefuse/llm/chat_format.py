@@ -11,8 +11,9 @@ many as fit into ``history`` tokens and into what its own turns leave of the bud
 more turns of its own never exceeds the budget. The loss mask covers assistant texts, but not repeated
 ones: over all windows each is a target once.
 
-Turns are numbered by sums over blocks of turns, and every ``block`` turns a new window begins, so a very long
-conversation is no single task's work.
+Turn numbers are cut into blocks of ``block``, and each block begins a new window, so a very long conversation is no
+single task's work (its turns without a number are one block). Where windows start follows from the turns'
+tokens alone, which are gathered without texts; a text moves once to its block and once to its window.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treefuse.llm.shared import cut
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -60,38 +63,40 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).alias("blk")
     )
     t = t.withColumn("tok", tokens(F.col("text")))
-    blocks = t.groupBy("conv_id", "blk").agg(F.sum("tok").alias("b_tok"), F.count(F.lit(1)).alias("b_n"), F.min(F.struct("turn", "role", "tok")).alias("head"))
+    blocks = t.groupBy("conv_id", "blk").agg(F.count(F.lit(1)).alias("b_n"), F.min(F.struct("turn", "role", "tok")).alias("head"))
     past = Window.partitionBy("conv_id").orderBy("blk")
     first = F.first("head").over(past)
     blocks = blocks.select(
         "conv_id", "blk",
-        (F.sum("b_tok").over(past) - F.col("b_tok")).alias("tok_before"), (F.sum("b_n").over(past) - F.col("b_n")).alias("n_before"),
+        (F.sum("b_n").over(past) - F.col("b_n")).alias("n_before"),
         F.when(first["role"] == "system", first["tok"]).otherwise(0).alias("sys_tok"),
     )
-    in_block = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "tok", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"idx": F.count(F.lit(1)).over(in_block), "cum": F.sum("tok").over(in_block)}).join(blocks, ["conv_id", "blk"])
-    t = t.withColumns({"idx": F.col("idx") + F.col("n_before"), "at": F.greatest(F.col("cum") - F.col("tok") + F.col("tok_before") - F.col("sys_tok"), F.lit(0))})
-    t = t.withColumn("is_sys", (F.col("idx") == 1) & (F.col("sys_tok") > 0))
-    t = t.withColumns({"cell": F.floor((F.col("idx") - 1) / block), "own_tok": F.when(F.col("is_sys"), 0).otherwise(F.col("tok")).cast("long")})
-
-    # Where windows start, from the turns' numbers and tokens alone: an array of at most ``block`` pairs a cell.
+    # Where windows start: places in the block, of its turns by number, role and tokens (texts only tell ties apart).
     body = F.greatest(F.lit(budget - history) - F.col("sys_tok"), F.lit(0))
-    none = F.struct(F.expr("cast(array() as array<bigint>)").alias("starts"), F.lit(0).cast("long").alias("used"))
+    none = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).cast("long").alias("used"))
 
     def take(now: Column, x: Column) -> Column:
         new = (F.size(now["starts"]) == 0) | (now["used"] + x["own_tok"] > body)
-        return F.struct(F.when(new, F.array_append(now["starts"], x["idx"])).otherwise(now["starts"]).alias("starts"), (F.when(new, F.lit(0).cast("long")).otherwise(now["used"]) + x["own_tok"]).alias("used"))
+        return F.struct(F.when(new, F.array_append(now["starts"], x["k"])).otherwise(now["starts"]).alias("starts"), (F.when(new, F.lit(0).cast("long")).otherwise(now["used"]) + x["own_tok"]).alias("used"))
 
-    cells = t.groupBy("conv_id", "cell", "sys_tok").agg(F.array_sort(F.collect_list(F.struct("idx", "own_tok"))).alias("turns"))
-    cells = cells.select("conv_id", "cell", F.aggregate("turns", none, take)["starts"].alias("starts")).withColumn("n", F.size("starts").cast("long"))
-    cells = cells.withColumn("w_before", F.sum("n").over(Window.partitionBy("conv_id").orderBy("cell")) - F.col("n")).drop("n")
-    t = t.join(cells, ["conv_id", "cell"]).withColumn("window", F.col("w_before") + F.size(F.filter("starts", lambda x: x <= F.col("idx"))) - 1)
-    starts = t.groupBy("conv_id", "window").agg(F.min("at").alias("begins"), F.sum("own_tok").alias("used"), F.max("sys_tok").alias("sys"))
+    is_sys = lambda k: (F.col("n_before") == 0) & (k == 1) & (F.col("sys_tok") > 0)
+    light = t.groupBy("conv_id", "blk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "tok"))).alias("a")).join(blocks, ["conv_id", "blk"])
+    turns = F.transform("a", lambda x, i: F.struct((i + 1).alias("k"), F.when(is_sys(i + 1), 0).otherwise(x["tok"]).cast("long").alias("own_tok")))
+    light = light.select("conv_id", "blk", "n_before", "sys_tok", F.aggregate(turns, none, take)["starts"].alias("starts"))
+    light = light.withColumn("w_before", F.sum(F.size("starts")).over(Window.partitionBy("conv_id").orderBy("blk")) - F.size("starts"))
+
+    in_block = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "tok", "text").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("k", F.count(F.lit(1)).over(in_block)).join(light, ["conv_id", "blk"])
+    t = t.withColumns({"is_sys": is_sys(F.col("k")), "window": F.col("w_before") + F.size(F.filter("starts", lambda x: x <= F.col("k"))) - 1}).withColumn("own_tok", F.when(F.col("is_sys"), 0).otherwise(F.col("tok")).cast("long"))
+    to_end = Window.partitionBy("conv_id", "blk", "window").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"idx": F.col("k") + F.col("n_before"), "rest": F.sum("own_tok").over(to_end)})
+    t = cut(t.select("conv_id", "window", "idx", "role", "text", "is_sys", "own_tok", "sys_tok", "rest"))
+    starts = t.groupBy("conv_id", "window").agg(F.sum("own_tok").alias("used"), F.max("sys_tok").alias("sys"))
 
     own = t.select("conv_id", "window", F.lit(2).alias("kind"), "idx", "role", "text")
     room = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(budget) - F.col("sys") - F.col("used")))
-    after = starts.select("conv_id", (F.col("window") - 1).alias("window"), F.col("begins").alias("next_begins"), room.alias("room"))
-    back = t.where(~F.col("is_sys")).join(after, ["conv_id", "window"]).where(F.col("next_begins") - F.col("at") <= F.col("room"))
+    after = starts.select("conv_id", (F.col("window") - 1).alias("window"), room.alias("room"))
+    back = t.where(~F.col("is_sys") & (F.col("rest") <= history)).join(after, ["conv_id", "window"]).where("rest <= room")
     back = back.select("conv_id", (F.col("window") + 1).alias("window"), F.lit(1).alias("kind"), "idx", "role", "text")
     system = t.where("is_sys").select("conv_id", "role", "text", "idx").join(starts.where("window > 0"), "conv_id")
     system = system.select("conv_id", "window", F.lit(0).alias("kind"), "idx", "role", "text")
@@ -154,10 +159,10 @@ WITH RECURSIVE c AS (
 ), m AS (
   SELECT *, greatest(before - sys_tok, 0) AS place, idx = 1 AND sys_tok > 0 AS is_sys, CASE WHEN idx = 1 AND sys_tok > 0 THEN 0 ELSE tok END AS own FROM n
 ), walk AS (
-  SELECT conv_id, idx, 0::BIGINT AS win, own::BIGINT AS used FROM m WHERE idx = 1
+  SELECT conv_id, idx, turn // 1024 AS blk, 0::BIGINT AS win, own::BIGINT AS used FROM m WHERE idx = 1
   UNION ALL
-  SELECT m.conv_id, m.idx, CASE WHEN fresh THEN win + 1 ELSE win END, CASE WHEN fresh THEN m.own ELSE used + m.own END
-  FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.idx = w.idx + 1, LATERAL (SELECT (m.idx - 1) % 1024 = 0 OR used + m.own > greatest(1024 - 256 - m.sys_tok, 0) AS fresh)
+  SELECT m.conv_id, m.idx, m.turn // 1024, CASE WHEN fresh THEN win + 1 ELSE win END, CASE WHEN fresh THEN m.own ELSE used + m.own END
+  FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.idx = w.idx + 1, LATERAL (SELECT m.turn // 1024 IS DISTINCT FROM w.blk OR used + m.own > greatest(1024 - 256 - m.sys_tok, 0) AS fresh)
 ), p AS (SELECT m.*, win FROM m JOIN walk USING (conv_id, idx)),
 starts AS (SELECT conv_id, win, min(place) AS begins, least(256, greatest(0, 1024 - max(sys_tok) - sum(own))) AS room FROM p GROUP BY ALL),
 written AS (
