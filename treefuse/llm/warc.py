@@ -150,8 +150,8 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = 0, shard
     rows = refs.select("page_id", F.lit(0).alias("kind"), "k", "refers_to", text.alias("url"), text.alias("digest"), text.alias("html")).unionByName(
         pages.select("page_id", F.lit(1).alias("kind"), number.alias("k"), text.alias("refers_to"), "url", digest, "html")
     )
-    # Twice as many partitions as shards: few then hold two.
-    rows = rows.withColumn("shard", shard_of("page_id")).repartition(max(1, 2 * len(starts)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "digest")
+    # A partition for each shard, whatever its number's hash.
+    rows = rows.withColumn("shard", shard_of("page_id")).repartitionById(max(1, len(starts)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, page, k, refers = None, None, 0, {}
