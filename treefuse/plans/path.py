@@ -54,7 +54,8 @@ def fit_path(samples: DataFrame, lambdas: Sequence[float], bandwidth: float | No
     return follow(start_nodes(samples, bandwidth, norm, depth_thresh, prob_thresh, prune), values, task_cells)
 
 
-def follow(nodes: DataFrame, values: list[float], task_cells: int = TASK_CELLS) -> Fit:
+def follow(nodes: DataFrame, values: list[float], task_cells: int = TASK_CELLS, solve_cells: int = fusion.TASK_CELLS) -> Fit:
+    """Nodes as ``start_nodes`` gives them -> Fit. ``solve_cells`` bounds what a level's solving puts into a task."""
     levels, pointers, coordinates = [], [], []
     live, level = nodes, 0
     while level < len(values):
@@ -68,7 +69,7 @@ def follow(nodes: DataFrame, values: list[float], task_cells: int = TASK_CELLS)
             live = live.join(small, "g", "left_anti")
         if live.isEmpty():
             break
-        solved = cut(fusion.solve(live, values[level], task_cells=min(task_cells, fusion.TASK_CELLS)))
+        solved = cut(fusion.solve(live, values[level], task_cells=solve_cells))
         reps = fusion.representatives(solved)
         fewer = fusion.contract_nodes(live, reps)
         tree = fusion.contract_tree(live.select("g", "node_id", "parent_id", "edge_weight"), reps)
