@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treefuse.llm import bpe, chat_format, decontaminate, licenses, near_dedup, nearest, quality, suffix_dedup, url_filter, warc
+from treefuse.llm import bpe, chat_format, decontaminate, jaccard_join, licenses, near_dedup, nearest, quality, resample, suffix_dedup, token_align, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
+    "op11_resample": resample.op11_resample,
+    "op12_token_align": token_align.op12_token_align,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 ORACLE = {
     "op1_suffix_dedup": suffix_dedup.SQL,
@@ -25,4 +28,6 @@ ORACLE = {
     "op6_licenses": licenses.SQL,
     "op7_nearest": nearest.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_resample": resample.SQL,
+    "op13_jaccard_join": jaccard_join.SQL,
 }
