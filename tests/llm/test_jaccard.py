@@ -56,7 +56,7 @@ def crowd(seed, groups=(40, 25), lone=20):
 @pytest.mark.parametrize(("seed", "k", "percent", "rounds", "block"), [(1, 3, 90, 2, 2_000_000), (2, 3, 90, 0, 1500), (3, 4, 80, 1, 900), (4, 2, 60, 2, 5000)])
 def test_components_equal_brute_force(spark, seed, k, percent, rounds, block):
     rows = texts() + [(100 + i, t) for i, t in crowd(seed)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(documents(spark, rows), k, percent, max(rounds, 1), block).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(documents(spark, rows), k, percent, rounds, block).collect()}
     assert got == brute(rows, k, percent)
 
 
@@ -109,3 +109,18 @@ def test_a_cell_joins_all_that_its_pairs_join(two):
                 if (not two or side[i] != side[j]) and 100 * len(a & b) >= 90 * len(a | b):
                     similar.append((i, j))
         assert {*links} <= {*similar} and classes(links) == classes(similar)
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, int(rng.integers(2, 400)), dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 2 * len(pool))))) for _ in range(2))
+        both = np.concatenate((a, b))
+        words, at = jaccard_join.sketches(both, np.array([0, len(a), len(both)]))
+        n, percent = np.array([len(a), len(b)]), 5
+        order = np.argsort(n, kind="stable")
+        kept = jaccard_join.possible(n[order], np.arange(2), np.zeros(2, int), np.concatenate([words[at[i] : at[i + 1]] for i in order]), np.concatenate(([0], np.cumsum(np.diff(at)[order]))), percent)
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (len(a) + len(b) - common):
+            assert kept.all()

@@ -6,9 +6,11 @@ holds the same shingles in both, and a key of (size band, part, what it holds) b
 links is missed, and a passage that many texts share brings none together, since a part's other shingles differ. Texts with an empty
 part add the keys of another cut, and of a third, where empty parts have keys as well.
 
-Two rounds link each class to the class of another component that it shares most keys with. Keys that still hold
-several components are then compared in full, in cells: a key's largest component needs no comparison with
-itself, so its blocks only meet the blocks of the others.
+A sketch of as many bits as a set has shingles, each the parity of the shingles that hash to it, differs in no more
+bits than the sets do in shingles; this rules out most pairs without their sets and loses none. Two rounds link each class to
+the class of another component that it shares most keys with. Keys that still hold several components are then
+compared in full, in cells: first by sketches, and what has a partner left goes on with its set. A key's largest component
+needs no comparison with itself, so its blocks only meet the blocks of the others.
 
 In a cell each set is looked up in the index lists of its rarest shingles. A list's entries are blocks by the
 shingle's position in the set; a block is skipped by position and sizes alone, or where all it holds is already
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from treefuse.llm.components import components
@@ -86,8 +88,18 @@ def part_keys(sets: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.nda
     return keys[order], np.searchsorted(rows[order], np.arange(len(n) + 1))
 
 
+def sketches(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each row's set as 64-bit words, and where each row's begin: a power of two of bits, as many as
+    shingles or more, 64 at least. The halves of a longer sketch, one XOR the other, are the shorter one."""
+    n = np.diff(begin)
+    bits = np.where(n > 0, np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    at = np.repeat(base[:-1], n) + (mix(sets ^ _C) & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little").view(np.int64), base // 64
+
+
 def keyed_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n, d1, d2 (two digests of the set), keys (array of bigint)."""
+    """docs(doc_id, text) -> doc_id, n, d1, d2 (two digests of the set), keys and sketch (arrays of bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in parts(batches, "__text", 1 << 18):
@@ -95,11 +107,11 @@ def keyed_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             keys, where = part_keys(sets, begin, percent)
             total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (mix(sets), mix(sets ^ _B))]
             d1, d2 = (pa.array((t[begin[1:]] - t[begin[:-1]]).view(np.int64)) for t in total)
-            lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(begin), pa.int64()), d1, d2, lists], names=["doc_id", "n", "d1", "d2", "keys"])
+            lists = [pa.ListArray.from_arrays(pa.array(w, pa.int32()), pa.array(v.view(np.int64))) for v, w in ((keys, where), sketches(sets, begin))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(begin), pa.int64()), d1, d2, *lists], names=["doc_id", "n", "d1", "d2", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint, keys array<bigint>")
+    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch array<bigint>")
 
 
 class Cell:
@@ -216,21 +228,35 @@ class Cell:
         return out
 
 
-def closest(now: DataFrame) -> DataFrame:
-    """now(key, rep, n, component) -> a, b, na, nb: for each class, that of another component it shares most keys
-    with, out of each key's first and last."""
+def closest(now: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """now(key, rep, n, component), sketch(rep, sketch) -> a, b: for each class, that of another component it shares
+    most keys with, out of each key's first and last, unless sizes or sketches rule it out."""
     who = F.struct("component", "rep", "n")
     ends = now.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low.component != high.component")
     other = F.when(F.col("component") != F.col("low.component"), F.col("low")).otherwise(F.col("high"))
     met = now.join(ends, "key").select("rep", "n", other.alias("o")).groupBy("rep", "o.rep").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("o.n").alias("m"))
-    met = met.toDF("a", "b", "c", "na", "nb")
-    return met.groupBy("a").agg(F.max(F.struct("c", (-F.xxhash64("b")).alias("h"), "b", "na", "nb")).alias("x")).select("a", "x.b", "x.na", "x.nb")
-
-
-def cell_links(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """now(key, rep, n, component), sets(rep, shingles) -> a, b: links between components, enough to join all that
-    any pair of a key joins."""
-    one = [F.sum("n").alias("t"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("d1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("d2")]
+    met = met.toDF("a", "b", "c", "na", "nb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    best = met.groupBy("a").agg(F.max(F.struct("c", (-F.xxhash64("b")).alias("h"), "b", "na", "nb")).alias("x")).select("a", "x.b", "x.na", "x.nb")
+    both = best.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
+    size = F.least(F.size("sa"), F.size("sb"))
+    fold = lambda s: F.when(F.size(s) > size, F.zip_with(F.slice(s, F.lit(1), size), F.slice(s, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
+    apart = F.aggregate(F.zip_with(fold("sa"), fold("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def hub_cells(pairs: DataFrame, now: DataFrame, block: int) -> DataFrame:
+    """a, b -> rep, cell: each b and the a that chose it, as many to a cell as a block holds, b in each cell."""
+    sized = pairs.join(now.groupBy("rep").agg(F.first("n").alias("n")), F.col("a") == F.col("rep"))
+    salts = sized.groupBy("b").agg(F.ceil(F.sum("n") / block).alias("salts"))
+    sized = cut(pairs.join(salts, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))).alias("cell")))
+    return sized.select(F.col("a").alias("rep"), "cell").unionByName(sized.select(F.col("b").alias("rep"), "cell")).distinct()
+
+
+def mixed_cells(now: DataFrame, block: int, least: int = 500) -> DataFrame:
+    """now(key, rep, n, component) -> rep, n, component, s, cell: each key's classes in cells of two blocks, without
+    those where all are of one component. A class counts as ``least`` shingles at least."""
+    weight = F.greatest("n", F.lit(least))
+    one = [F.sum(weight).alias("t"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("d1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("d2")]
     groups = now.groupBy("key", "component").agg(*one).groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("t", "component")).alias("main"), F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"))
     # Keys of the same classes are compared once.
     mixed = groups.where("k > 1").groupBy("d1", "d2", "c", "t").agg(F.min(F.struct("key", "main")).alias("x"))
@@ -240,10 +266,67 @@ def cell_links(now: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
     other = F.col("mains") + F.pmod(F.xxhash64("rep"), F.col("others")).cast("int")
     rows = rows.withColumn("s", F.when(F.col("is_main"), F.pmod(F.xxhash64("rep"), F.col("mains")).cast("int")).otherwise(other))
     meets = F.when(F.col("is_main"), F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
-    rows = rows.withColumn("o", F.explode(meets)).select("rep", "n", "component", "s", F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("cell"))
-    rows = cut(rows)
+    rows = rows.withColumn("o", F.explode(meets))
+    return rows.select("rep", "n", "component", "s", F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("cell"))
+
+
+def runs_of(cell: np.ndarray) -> list[tuple[int, int]]:
+    bounds = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def by_bin(rows: DataFrame, bins: int) -> GroupedData:
+    return rows.withColumn("bin", F.pmod("cell", F.lit(bins))).groupBy("bin")
+
+
+def possible(n: np.ndarray, label: np.ndarray, side: np.ndarray, words: np.ndarray, begin: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a cell have another of a different label (and side, if there are two) that sizes and sketches
+    leave possible."""
+    size = int(np.diff(begin).min())
+    rows = np.zeros((len(n), size), np.int64)
+    for length in np.unique(np.diff(begin)).tolist():  # longer sketches are folded
+        at = np.flatnonzero(np.diff(begin) == length)
+        w = words[begin[at][:, None] + np.arange(length)]
+        rows[at] = np.bitwise_xor.reduce(w.reshape(len(at), -1, size), axis=1)
+    out, two = np.zeros(len(n), bool), len(np.unique(side)) > 1
+    for x in range(1, len(n)):
+        y = np.flatnonzero((label[:x] != label[x]) & (100 * n[:x] >= percent * n[x]) & (side[:x] != side[x] if two else True))
+        if len(y):
+            apart = np.bitwise_count((rows[y] ^ rows[x]).view(np.uint64)).sum(1, dtype=np.int64)
+            y = y[(100 + percent) * apart <= (100 - percent) * (n[y] + n[x])]
+            out[y] = True
+            out[x] |= len(y) > 0
+    return out
+
+
+def sketch_cells(cells: DataFrame, sketch: DataFrame, percent: int, block: int) -> DataFrame:
+    """The rows of mixed cells that sketches leave a partner of another component."""
+    bins = max(1, -(-(cells.agg(F.sum(F.col("n") + 500)).first()[0] or 0) // (8 * block)))
+    kind = cells.schema["rep"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("n", "ascending"), ("rep", "ascending")]).combine_chunks()
+        label = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        cell, side, n = (table.column(c).to_numpy() for c in ("cell", "s", "n"))
+        lists = table.column("sketch").combine_chunks()
+        begin, words = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        keep = np.concatenate([possible(n[a:b], label[a:b], side[a:b], words, begin[a : b + 1], percent) for a, b in runs_of(cell)])
+        out = table.select(["rep", "n", "component", "s", "cell"]).filter(pa.array(keep))
+        release()
+        return out
+
+    return by_bin(cells.join(sketch, "rep"), bins).applyInArrow(run, f"rep {kind}, n bigint, component {kind}, s int, cell bigint")
+
+
+def cell_links(docs: DataFrame, rows: DataFrame, k: int, percent: int, block: int, broadcast_rows: int) -> DataFrame:
+    """docs(doc_id, text), rows(rep, n, component, s, cell) -> a, b: links between components, enough to join all that
+    any pair of a cell joins. Sets are taken from the texts and move once, to their cells."""
     bins = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block))
-    kind = now.schema["rep"].dataType.simpleString()
+    kind = rows.schema["rep"].dataType.simpleString()
+    wanted = rows.groupBy("rep").agg(F.collect_list(F.struct("cell", "component", "s")).alias("cells"))  # as many as the class has keys
+    wanted = F.broadcast(wanted) if rows.count() <= broadcast_rows else wanted
+    sets = full_sets(docs.join(wanted, F.col("doc_id") == F.col("rep")).drop("rep"), k, "cells")
+    placed = sets.select(F.col("doc_id").alias("rep"), "shingles", F.explode("cells").alias("c")).select("rep", F.size("shingles").alias("n"), "shingles", "c.cell", "c.component", "c.s")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cell", "ascending"), ("n", "ascending"), ("rep", "ascending")]).combine_chunks()
@@ -251,9 +334,8 @@ def cell_links(now: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
         cell, side = table.column("cell").to_numpy(), table.column("s").to_numpy()
         lists = table.column("shingles").combine_chunks()
         begin, tokens = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        bounds = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
         found: list[tuple[int, int]] = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for a, b in runs_of(cell):
             at = begin[a : b + 1]
             found += [(a + x, a + y) for x, y in Cell(side[a:b], label[a:b], at - at[0], tokens[at[0] : at[-1]], percent).links()]
         reps = table.column("rep").combine_chunks()
@@ -261,8 +343,7 @@ def cell_links(now: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
         release()
         return links
 
-    met = rows.join(sets, "rep").withColumn("bin", F.pmod("cell", F.lit(bins)))
-    return met.groupBy("bin").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return by_bin(placed, bins).applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, block: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -281,25 +362,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: i
     named = cut(found.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     keys = found.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high").select("key"))
-    hits = cut(keys.join(shared, "key"))
-    some = hits.select(F.col("rep").alias("doc_id")).distinct()
-    some = F.broadcast(some) if some.count() <= broadcast_rows else some
-    sets = cut(full_sets(docs.join(some, "doc_id", "left_semi"), k).toDF("rep", "shingles"))
-    edges, now = None, hits.withColumn("component", F.col("rep"))
+    now = hits = cut(keys.join(shared, "key").withColumn("component", F.col("rep")))
+    sketch = found.select(F.col("doc_id").alias("rep"), "sketch")
+    edges = None
 
     def labelled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         label = cut(components(edges))
-        return label, hits.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        return label, hits.drop("component").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+
+    def join_all(edges: DataFrame | None, rows: DataFrame) -> DataFrame:
+        more = cut(cell_links(docs, cut(rows), k, percent, block, broadcast_rows))
+        return more if edges is None else edges.unionByName(more)
 
     for _ in range(rounds):
-        pairs = closest(now).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        linked = cut(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
-        edges = linked if edges is None else edges.unionByName(linked)
+        cells = hub_cells(cut(closest(now, sketch, percent)), now, block)
+        known = now.groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+        edges = join_all(edges, cells.join(known, "rep").withColumn("s", F.lit(0)))
         label, now = labelled(edges)
-    more = cut(cell_links(now, sets, percent, block))
-    if not more.isEmpty():
-        label, _ = labelled(edges.unionByName(more))
+    left = sketch_cells(cut(mixed_cells(now, block)), sketch, percent, block)
+    label, _ = labelled(join_all(edges, left))
     named = named.join(label, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

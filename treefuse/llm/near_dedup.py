@@ -70,16 +70,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint, sig binary")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, shingles (array of bigint)."""
+def full_sets(docs: DataFrame, k: int, *keep: str) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, the kept columns, shingles (array of bigint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in parts(batches, "__text", 1 << 18):
             sets, begin = shingle_hashes(data, at, k)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *keep)), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", *keep, "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    return docs.select("doc_id", *keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, shingles array<bigint>")
 
 
 def prefix(depth: int) -> Column:
