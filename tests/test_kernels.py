@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -18,6 +19,16 @@ def random_tree(rng, n, kind):
     return out
 
 
+def subtree_sums(parent, s):
+    out = s.copy()
+    for v in range(len(parent)):
+        at = parent[v]
+        while at >= 0:
+            out[at] += s[v]
+            at = parent[at]
+    return out
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 50), st.integers(0, 2), st.integers(0, 10**6), st.sampled_from([0.0, 0.05, 0.5, 3.0, 1e6]), st.booleans())
 def test_solution_meets_the_optimality_conditions(n, kind, seed, lam, ties):
@@ -27,7 +38,7 @@ def test_solution_meets_the_optimality_conditions(n, kind, seed, lam, ties):
     tree = Tree(parent, edge, weight)
     theta, fused = tree.solve(x, lam)
     s = weight[:, None] * (theta - x)
-    tree.up(s, lambda v, z: z)
+    s = subtree_sums(parent, s)
     for v in range(n):
         if parent[v] < 0:
             assert np.abs(s[v]).max() < 1e-9
@@ -145,15 +156,37 @@ def test_matching_is_the_best_one(seed):
     assert matching(a) == max(sum(b[i, p[i]] for i in range(k)) for p in itertools.permutations(range(k)))
 
 
-def test_nodes_that_stay_apart_are_not_solved_for():
+def test_nothing_fuses_before_the_next_fusion():
     rng = np.random.default_rng(9)
     seen = {True: 0, False: 0}
     for _ in range(200):
         n = int(rng.integers(2, 12))
         tree = Tree(np.array([-1, *(int(rng.integers(0, i)) for i in range(1, n))]), rng.random(n), rng.random(n) + 0.5)
         x, lam = rng.normal(size=(n, 2)), float(rng.random() * 0.3)
-        apart = tree.apart(x, lam)
+        apart = lam < tree.next_fusion(x)
         fused = tree.solve(x, lam)[1][1:]
         assert not (apart and fused.all(1).any())
         seen[apart] += 1
+        if n > 2 and 0 < tree.next_fusion(x[:, :1]) < np.inf:  # of a single column it is the exact penalty
+            assert tree.solve(x[:, :1], tree.next_fusion(x[:, :1]) * (1 + 1e-6) + 1e-6)[1].any()
     assert min(seen.values()) > 20
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "bushy"])
+def test_large_trees_of_any_depth(kind):
+    """The optimality conditions on 100,000 nodes, and seconds that depth does not decide."""
+    rng, n = np.random.default_rng(4), 100_000
+    parent = {"chain": np.arange(n) - 1, "star": np.where(np.arange(n) > 0, 0, -1), "bushy": np.array([-1, *(int(v) for v in rng.integers(0, np.arange(1, n)))])}[kind]
+    edge, weight, x, lam = rng.random(n), rng.integers(1, 4, n).astype(float), rng.normal(size=(n, 1)), 2.0
+    tree = Tree(parent, edge, weight)
+    began = time.process_time()
+    theta, fused = tree.solve(x, lam)
+    assert time.process_time() - began < 20
+    s = weight * (theta - x)[:, 0]
+    for v in range(n - 1, 0, -1):  # parents come first
+        s[parent[v]] += s[v]
+    gap, bound = (theta[1:] - theta[parent[1:]])[:, 0], lam * edge[1:]
+    assert abs(s[0]) < 1e-6 and (np.abs(s[1:]) <= bound + 1e-6).all()
+    apart = np.abs(gap) > 1e-7
+    assert np.allclose(s[1:][apart], (-bound * np.sign(gap))[apart], atol=1e-6)
+    assert 0.2 < fused.mean() < 1

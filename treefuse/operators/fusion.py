@@ -2,8 +2,8 @@
 
 A tree's shape goes with each block of features to one task, whose helper solves the block's columns. Blocks are
 as wide as ``task_cells`` (nodes times features; a cell takes about 85 bytes of a task's memory) allows, and
-this holds while no tree has more nodes than that. Larger trees are swept in Spark, depth by depth: one join a
-depth and sweep, and no task holds a tree.
+this holds while no tree has more nodes than that. Larger trees are solved in pieces (``tree_pieces``), and no task
+holds a tree.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treefuse.operators.kernels import Tree
-from treefuse.operators.rooted_tree import node_type, with_depth
+from treefuse.operators.rooted_tree import node_type
+from treefuse.operators.tree_pieces import lists, solve_in_pieces
+from treefuse.operators.trees import Tree
 from treefuse.shared import cut, settle
 
 TASK_CELLS = 3_000_000  # a quarter of a GB in a task
@@ -34,10 +35,6 @@ def matrix_of(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
 
 
-def lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-
-
 def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int = TASK_CELLS) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) -> g, node_id, parent_id, theta (array), fused.
 
@@ -51,7 +48,7 @@ def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((greatest(size(x), 1) - 1) div {feature_block} as int)")), lambda b: F.struct(b.alias("fb"), F.slice(F.col("x"), b * feature_block + 1, feature_block).alias("x")))
     cells = nodes.select("g", "node_id", "parent_id", "edge_weight", "node_weight", F.explode(blocks).alias("b")).select("g", "node_id", "parent_id", "edge_weight", "node_weight", "b.fb", "b.x")
     if largest > task_cells:
-        done = solve_by_depth(cells, lam)
+        done = solve_in_pieces(cells, lam, most=max(1, task_cells // feature_block))
     else:
         kind = nodes.schema["g"].dataType.simpleString()
 
@@ -68,62 +65,6 @@ def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int
     return out.select("g", "node_id", "parent_id", F.flatten("p.x").alias("theta"), (F.col("fused") & F.col("parent_id").isNotNull()).alias("fused"))
 
 
-def solve_by_depth(cells: DataFrame, lam: float) -> DataFrame:
-    """The same threshold sweeps as the task helper's, with joins: rows (g, node_id, fb) hold arrays over the
-    block's features."""
-    shape = cells.select("g", "node_id", "parent_id").distinct()
-    deep = with_depth(shape)
-    depths = [r["depth"] for r in deep.select("depth").distinct().orderBy("depth").collect()]
-    zero, at = (lambda a: F.transform(a, lambda _: F.lit(0.0))), ["g", "fb", "node_id"]
-    now = cells.join(deep.select("g", "node_id", "depth"), ["g", "node_id"]).withColumns(
-        {"bound": F.lit(lam) * F.col("edge_weight"), "pull": zero("x"), "whole": F.transform("x", lambda _: F.col("parent_id").isNotNull())}
-    )
-    scale = cells.select("g", "fb", F.posexplode("x").alias("i", "v"), "node_weight").groupBy("g", "fb", "i").agg(F.sum(F.abs(F.col("v") * F.col("node_weight"))).alias("s"), (F.max("v") - F.min("v")).alias("r"))
-    scale = scale.groupBy("g", "fb").agg(F.array_sort(F.collect_list(F.struct("i", "s", "r"))).alias("z")).select("g", "fb", F.transform("z.s", lambda s: 1e-13 * (1 + s)).alias("noise"), F.transform("z.r", lambda r: 1e-9 * (1 + r)).alias("near"))
-    now = cut(now.join(scale, ["g", "fb"]))
-
-    def add_up(rows: DataFrame, column: str, message) -> DataFrame:
-        """Adds to each node what its children send, deepest first."""
-        for d in reversed(depths[1:]):
-            sent = rows.where(F.col("depth") == d).select("g", "fb", F.col("parent_id").alias("node_id"), F.posexplode(message(F.col(column))).alias("i", "m"))
-            sent = sent.groupBy("g", "fb", "node_id", "i").agg(F.sum("m").alias("m")).groupBy("g", "fb", "node_id").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("sent"))
-            rows = cut(rows.join(sent, at, "left").withColumn(column, F.when(F.col("sent").isNull(), F.col(column)).otherwise(F.zip_with(column, "sent.m", lambda a, b: a + b))).drop("sent"))
-        return rows
-
-    def hand_down(rows: DataFrame, column: str, choose) -> DataFrame:
-        """Each node takes its parent's value where ``choose`` says so, from the root down."""
-        for d in depths[1:]:
-            above = rows.where(F.col("depth") == d - 1).select("g", "fb", F.col("node_id").alias("parent_id"), F.col(column).alias("above"))
-            level = rows.where(F.col("depth") == d).join(above, ["g", "fb", "parent_id"]).withColumn(column, choose(F.col(column), F.col("above"))).drop("above")
-            rows = cut(rows.where(F.col("depth") != d).unionByName(level))
-        return rows
-
-    masked = lambda a: F.zip_with(a, "whole", lambda v, w: F.when(w, v).otherwise(0.0))
-    inherit = lambda own, above: F.transform(own, lambda v, i: F.when(F.get("whole", i), F.get(above, i)).otherwise(v))
-    while True:
-        rows = now.withColumns({"total": F.zip_with("x", "pull", lambda x, q: F.col("node_weight") * x - q), "mass": F.transform("x", lambda _: F.col("node_weight"))})
-        rows = add_up(add_up(rows, "total", masked), "mass", masked)
-        rows = hand_down(rows.withColumn("best", F.zip_with("total", "mass", lambda t, m: t / m)).drop("total", "mass"), "best", inherit)
-        rows = rows.withColumn("slope", F.transform("best", lambda b, i: F.col("node_weight") * (b - F.get("x", i)) + F.get("pull", i)))
-        rows = add_up(rows, "slope", lambda s: masked(F.transform(s, lambda v: F.greatest(-F.col("bound"), F.least(F.col("bound"), v)))))
-        limit = lambda i: F.when(F.get("whole", i), F.col("bound")).otherwise(0.0) + F.get("noise", i)
-        rows = rows.withColumn("side", F.transform("slope", lambda s, i: F.when(s < -limit(i), 1).when(s > limit(i), -1).otherwise(0)))
-        keep = lambda own, above: F.transform(own, lambda v, i: F.when((v == 0) & F.get("whole", i), F.get(above, i)).otherwise(v))
-        rows = hand_down(rows, "side", keep)
-        above = rows.select("g", "fb", F.col("node_id").alias("parent_id"), F.col("side").alias("other"), F.col("best").alias("best_above"))
-        rows = rows.join(above, ["g", "fb", "parent_id"], "left")
-        push = F.transform("side", lambda s, i: F.when(F.get("whole", i) & (s != F.get("other", i)), F.when(s > F.get("other", i), F.col("bound")).otherwise(-F.col("bound"))))
-        rows = cut(rows.withColumn("push", push))
-        if rows.where(F.exists("push", lambda v: v.isNotNull())).isEmpty():
-            same = F.transform("best", lambda b, i: F.get("whole", i) | F.coalesce(F.abs(b - F.get("best_above", i)) <= F.get("near", i), F.lit(False)))
-            return rows.select("g", "node_id", "parent_id", "fb", F.col("best").alias("x"), F.forall(same, lambda v: v).alias("fused"))
-        back = rows.select("g", "fb", F.col("parent_id").alias("node_id"), F.posexplode("push").alias("i", "m")).where("node_id is not null")
-        back = back.groupBy("g", "fb", "node_id", "i").agg(F.sum(F.coalesce("m", F.lit(0.0))).alias("m")).groupBy("g", "fb", "node_id").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("back"))
-        rows = rows.join(back, at, "left")
-        pull = F.transform("pull", lambda q, i: q + F.coalesce(F.get("push", i), F.lit(0.0)) - F.coalesce(F.get("back.m", i), F.lit(0.0)))
-        now = cut(rows.withColumns({"pull": pull, "whole": F.transform("whole", lambda w, i: w & F.get("push", i).isNull())}).select(now.columns))
-
-
 def certificate(solution: DataFrame, nodes: DataFrame, lam: float, tolerance: float = 1e-6) -> DataFrame:
     """g, feature_idx, violations: how many nodes break the optimality conditions of ``solve``. The problem is
     strictly convex, so none means that the solution is the minimiser."""

@@ -4,107 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-
-class Tree:
-    """A rooted tree by parents' positions (-1: root), with its edges' and nodes' weights."""
-
-    def __init__(self, parent: np.ndarray, edge: np.ndarray, node: np.ndarray):
-        self.parent, self.edge, self.node = parent, edge, node
-        depth, up = (parent >= 0).astype(np.int64), parent.copy()
-        while (up >= 0).any():
-            far = up >= 0
-            depth[far] += depth[up[far]]
-            up[far] = up[up[far]]
-        order = np.lexsort((parent, depth))
-        bounds = np.searchsorted(depth[order], np.arange(1, depth.max(initial=0) + 2))
-        self.levels = []  # (nodes, parents, the distinct parents, where their children begin), root's children first
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            v = order[a:b]
-            p = parent[v]
-            first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            self.levels.append((v, p, p[first], first))
-        self.roots = np.flatnonzero(parent < 0)
-
-    def up(self, value: np.ndarray, message) -> None:
-        """Adds each node's message to its parent, deepest nodes first."""
-        for v, _, tops, first in reversed(self.levels):
-            value[tops] += np.add.reduceat(message(v, value[v]), first, axis=0)
-
-    def solve(self, x: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes x features: the minimiser of sum w (x - t)^2 / 2 + lam * sum e |t - t_parent| in each column, and
-        where a node has its parent's value.
-
-        All pieces of the tree are held at their best constants; where the tree would rather lie above its
-        piece's constant, and where below, is read off the clipped derivatives, and pieces are cut between
-        such parts until none is left (threshold sweeps; see Hochbaum 2001, Chambolle & Darbon 2009).
-        """
-        n, p = x.shape
-        bound = (lam * self.edge)[:, None]
-        wx, weight = self.node[:, None] * x, np.broadcast_to(self.node[:, None], x.shape)
-        pull = np.zeros((n, p))
-        whole = np.zeros((n, p), bool)
-        whole[self.parent >= 0] = True  # the edge above is not cut
-        noise = 1e-13 * (1 + np.abs(wx).sum(0))
-        while True:
-            total, mass = wx - pull, weight.copy()
-            self.up(total, lambda v, t: np.where(whole[v], t, 0))
-            self.up(mass, lambda v, t: np.where(whole[v], t, 0))
-            best = total / mass
-            for v, above, _, _ in self.levels:
-                best[v] = np.where(whole[v], best[above], best[v])
-            slope = weight * best - wx + pull
-            self.up(slope, lambda v, s: np.where(whole[v], np.clip(s, -bound[v], bound[v]), 0))
-            side = np.zeros((n, p), np.int8)
-            limit = np.where(whole, bound, 0) + noise
-            own = (slope < -limit).astype(np.int8) - (slope > limit).astype(np.int8)
-            side[self.roots] = own[self.roots]
-            for v, above, _, _ in self.levels:
-                side[v] = np.where((own[v] == 0) & whole[v], side[above], own[v])
-            other = np.zeros((n, p), np.int8)
-            has = self.parent >= 0
-            other[has] = side[self.parent[has]]
-            cut = whole & (side != other)
-            if not cut.any():
-                break
-            push = np.where(cut, np.where(side > other, bound, -bound), 0)
-            pull += push
-            np.add.at(pull, self.parent[has], -push[has])
-            whole &= ~cut
-        fused = whole
-        if (self.parent >= 0).any():
-            has = self.parent >= 0
-            gap = np.abs(best[has] - best[self.parent[has]])
-            fused[has] |= gap <= 1e-9 * (1 + (x.max(0) - x.min(0)))
-        return best, fused
-
-    def apart(self, x: np.ndarray, lam: float) -> bool:
-        """Whether in some column all neighbours stay apart, so that no node has its parent's value everywhere. If
-        each node moves by the pull of its edges alone and no edge changes its direction on the way, that is the
-        column's minimiser."""
-        has = np.flatnonzero(self.parent >= 0)
-        above, edge = self.parent[has], self.edge[has]
-        for column in x.T:
-            way = np.sign(column[above] - column[has])
-            pull = np.bincount(has, edge * way, len(column)) - np.bincount(above, edge * way, len(column))
-            moved = column + lam * pull / self.node
-            if ((moved[above] - moved[has]) * way > 1e-8 * (1 + np.ptp(column))).all():
-                return True
-        return False
-
-    def contract(self, x: np.ndarray, fused: np.ndarray) -> tuple[Tree, np.ndarray, np.ndarray, np.ndarray]:
-        """Fused nodes join their topmost fused ancestor: the new tree, weighted means, each node's new
-        position, and which nodes stay."""
-        top = np.where(fused, self.parent, np.arange(len(fused)))
-        while not (top == top[top]).all():
-            top = top[top]
-        stay = np.flatnonzero(~fused)
-        place = np.full(len(fused), -1)
-        place[stay] = np.arange(len(stay))
-        to = place[top]
-        weight = np.bincount(to, self.node, len(stay))
-        mean = np.stack([np.bincount(to, self.node * x[:, j], len(stay)) for j in range(x.shape[1])], 1) / weight[:, None] if x.shape[1] else np.zeros((len(stay), 0))
-        above = np.where(self.parent[stay] >= 0, to[self.parent[stay]], -1)
-        return Tree(above, self.edge[stay], weight), mean, to, stay
+from treefuse.operators.trees import Tree
 
 
 def forest_edges(u: np.ndarray, v: np.ndarray, d2: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ task; with many groups there are many such tasks. Both ways give the same tables
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from functools import reduce
 
@@ -100,19 +101,26 @@ def in_tasks(nodes: DataFrame, values: list[float], done: int) -> DataFrame:
             for column, part in zip(out, ([k] * len(node), [level] * len(node), node, rep, value, rows), strict=True):
                 column.extend(part)
 
-        for i in range(done, len(values)):
+        i, free = done, tree.next_fusion(x)
+        while i < len(values):
             before = len(ids)
-            joined = np.zeros(before, bool)
-            if not tree.apart(x, values[i]):
-                joined = tree.solve(x, values[i])[1].all(1) & (tree.parent >= 0)
+            if values[i] < free:  # nothing fuses before the first penalty that reaches it
+                rest = bisect_left(values, free, i)
+                for j in range(i, rest):
+                    add(0, j + 1, [before], [before], [values[j]], [None])
+                i = rest
+                continue
+            joined = tree.solve(x, values[i])[1].all(1) & (tree.parent >= 0)
             if joined.any():
                 tree, x, to, stay = tree.contract(x, joined)
                 add(1, i + 1, ids.tolist(), ids[stay][to].tolist(), [None] * before, [None] * before)
                 ids = ids[stay]
                 add(2, i + 1, [None] * len(ids), ids.tolist(), tree.node.tolist(), x.tolist())
+                free = tree.next_fusion(x)
             add(0, i + 1, [before], [len(ids)], [values[i]], [None])
             if len(ids) == 1:
                 break
+            i += 1
         types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
         names = ("kind", "level", "node_id", "rep_id", "value", "x")
         g = pa.array([table.column("g")[0].as_py()] * len(out[0]), table.schema.field("g").type)
