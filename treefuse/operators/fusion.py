@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from treefuse.operators.rooted_tree import node_type
 from treefuse.operators.tree_pieces import lists, solve_in_pieces
 from treefuse.operators.trees import Tree
-from treefuse.shared import cut, settle
+from treefuse.shared import cut, mark, recut, settle, tidy
 
 TASK_CELLS = 3_000_000  # a quarter of a GB in a task
 
@@ -35,6 +35,7 @@ def matrix_of(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
 
 
+@tidy
 def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int = TASK_CELLS) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) -> g, node_id, parent_id, theta (array), fused.
 
@@ -65,6 +66,25 @@ def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int
     return out.select("g", "node_id", "parent_id", F.flatten("p.x").alias("theta"), (F.col("fused") & F.col("parent_id").isNotNull()).alias("fused"))
 
 
+def next_fusion(nodes: DataFrame) -> DataFrame:
+    """nodes as for ``solve`` -> g, free: a penalty below which no node gets its parent's value in all features. As long as no
+    edge of a feature changes its direction, each node moves by the pull of its edges; the feature that lasts longest counts."""
+    up = nodes.select("g", F.col("node_id").alias("parent_id"), F.col("x").alias("__up"))
+    both = nodes.where("parent_id is not null").join(up, ["g", "parent_id"])
+    edges = both.select("g", "node_id", "parent_id", "edge_weight", F.posexplode(F.zip_with("__up", "x", lambda a, b: a - b)).alias("i", "gap"))
+    edges = edges.withColumn("pull", F.col("edge_weight") * F.signum("gap"))
+    pulls = edges.select("g", "i", "node_id", "pull").unionByName(edges.select("g", "i", F.col("parent_id").alias("node_id"), (-F.col("pull")).alias("pull")))
+    speed = pulls.groupBy("g", "i", "node_id").agg(F.sum("pull").alias("pull")).join(nodes.select("g", "node_id", "node_weight"), ["g", "node_id"])
+    speed = speed.select("g", "i", "node_id", (F.col("pull") / F.col("node_weight")).alias("speed"))
+    above = speed.select("g", "i", F.col("node_id").alias("parent_id"), F.col("speed").alias("up_speed"))
+    met = edges.join(speed, ["g", "i", "node_id"]).join(above, ["g", "i", "parent_id"])
+    ranges = nodes.select("g", F.posexplode("x").alias("i", "v")).groupBy("g", "i").agg((1e-8 * (1 + F.max("v") - F.min("v"))).alias("near"))
+    room, closing = F.abs("gap") - F.col("near"), (F.col("speed") - F.col("up_speed")) * F.signum("gap")
+    time = F.when(room <= 0, 0.0).when(closing > 0, room / closing).otherwise(F.lit(float("inf")))
+    return met.join(ranges, ["g", "i"]).groupBy("g", "i").agg(F.min(time).alias("t")).groupBy("g").agg(F.max("t").alias("free"))
+
+
+@tidy
 def certificate(solution: DataFrame, nodes: DataFrame, lam: float, tolerance: float = 1e-6) -> DataFrame:
     """g, feature_idx, violations: how many nodes break the optimality conditions of ``solve``. The problem is
     strictly convex, so none means that the solution is the minimiser."""

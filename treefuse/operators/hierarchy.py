@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treefuse.plans.path import compose
-from treefuse.shared import cut, settle
+from treefuse.shared import cut, settle, tidy
 from treefuse.sources.matrix import Fit
 
 
@@ -33,6 +33,7 @@ def start_level(levels: DataFrame, show: int = 100) -> DataFrame:
     return found.select("g", F.greatest(F.lit(1), F.least(F.coalesce("first", "last"), F.col("last") - 1)).alias("level"))
 
 
+@tidy
 def merge_table(pointers: DataFrame, levels: DataFrame, after: DataFrame | None = None) -> DataFrame:
     """g, step, left, right, height, rep_id: the merges of all levels after ``after`` (g, level; default 0).
 
@@ -62,6 +63,7 @@ def merge_table(pointers: DataFrame, levels: DataFrame, after: DataFrame | None
     return out.select("g", step.cast("bigint").alias("step"), F.col("name").cast("bigint").alias("left"), F.when(F.col("k") == 1, F.col("start")).otherwise(step - 1).cast("bigint").alias("right"), F.col("lambda").alias("height"), "rep_id")
 
 
+@tidy
 def leaf_order(merges: DataFrame, most: int = 100_000) -> DataFrame:
     """g, pos (from 1), leaf: an order in which no branches cross, each merge's left part before its right one.
     For dendrograms to look at: a group may have ``most`` merges."""
@@ -95,6 +97,7 @@ def numbered(samples_rep: DataFrame) -> DataFrame:
     return samples_rep.join(label, ["g", "key"]).select("g", "sample_id", "label")
 
 
+@tidy
 def few_labels(samples: DataFrame, fit: Fit, k: int = 2, show: int = 100) -> DataFrame:
     """At most 50 labels: the merges above the start level, without the last k - 1 of them.
 
@@ -127,6 +130,7 @@ def at_levels(samples: DataFrame, pointers: DataFrame, levels: DataFrame) -> Dat
     return compose(samples, up_to)
 
 
+@tidy
 def many_labels(samples: DataFrame, fit: Fit, k: int) -> DataFrame:
     """More than 50 labels: the clusters of the coarsest level that still has more than k (every sample its own,
     if none has)."""
@@ -149,6 +153,7 @@ def log_heights(merges: DataFrame, base: float) -> DataFrame:
     return merges.withColumn("height", F.log(base, F.col("height")))
 
 
+@tidy
 def summary(samples: DataFrame, truth: DataFrame, fit: Fit, show: int = 100, log_base: float | None = None, k: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The clusters of the start level: (g, rep_id, pos in leaf order, n, x: mean of the samples' own rows, mode
     of the given labels), their merges, and each sample's label (g, sample_id, label) when these are cut into k.

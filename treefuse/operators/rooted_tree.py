@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from treefuse.functions.weights import adjacency
 from treefuse.operators.kernels import root_at_smallest
-from treefuse.shared import cut
+from treefuse.shared import cut, mark, recut, tidy
 
 
 def node_type(n_children, is_root):
@@ -23,6 +23,7 @@ def node_type(n_children, is_root):
     return F.when(is_root, F.when(n_children == 1, 3).otherwise(4)).otherwise(F.least(n_children, F.lit(2))).cast("int")
 
 
+@tidy
 def rooted(edges: DataFrame, task_edges: int = 2_000_000) -> DataFrame:
     """g, u, v, dist, weight -> g, node_id, parent_id (null: root), dist, edge_weight (root: 0), subtree_size.
 
@@ -49,10 +50,11 @@ def rooted(edges: DataFrame, task_edges: int = 2_000_000) -> DataFrame:
     behind = ring.select("g", F.col("nbr").alias("u"), F.col("node").alias("v"), F.col("node").alias("su"), F.col("next").alias("sv"))
     behind = behind.join(starts, "g")
     last = (F.col("su") == F.col("root")) & (F.col("sv") == F.col("low"))
+    since = mark()
     tour = cut(behind.select("g", "u", "v", F.when(~last, F.col("su")).alias("su"), F.when(~last, F.col("sv")).alias("sv"), F.when(last, 0).otherwise(1).cast("bigint").alias("left")))
     while not tour.where("su is not null").isEmpty():
         hop = tour.select("g", F.col("u").alias("su"), F.col("v").alias("sv"), F.col("su").alias("tu"), F.col("sv").alias("tv"), F.col("left").alias("more"))
-        tour = cut(tour.join(hop, ["g", "su", "sv"], "left").select("g", "u", "v", F.col("tu").alias("su"), F.col("tv").alias("sv"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        tour = recut(since, tour.join(hop, ["g", "su", "sv"], "left").select("g", "u", "v", F.col("tu").alias("su"), F.col("tv").alias("sv"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
     down = tour.select("g", F.col("u").alias("parent_id"), F.col("v").alias("node_id"), F.col("left").alias("down"))
     up = tour.select("g", F.col("u").alias("node_id"), F.col("v").alias("parent_id"), F.col("left").alias("up"))
     both = down.join(up, ["g", "node_id", "parent_id"]).where("down > up")
@@ -74,10 +76,12 @@ def with_shape(tree: DataFrame) -> DataFrame:
     return all_.withColumns({"node_type": node_type(F.col("n_children"), is_root), "balance": F.least(side, F.col("n") - side)}).drop("nearest", "n")
 
 
+@tidy
 def with_depth(tree: DataFrame) -> DataFrame:
     """Adds depth (root: 0) by pointer doubling, about log(depth) self-joins."""
+    since = mark()
     now = cut(tree.select("g", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")))
     while not now.where("up is not null").isEmpty():
         hop = now.select("g", F.col("node_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
-        now = cut(now.join(hop, ["g", "up"], "left").select("g", "node_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        now = recut(since, now.join(hop, ["g", "up"], "left").select("g", "node_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
     return tree.join(now.select("g", "node_id", "depth"), ["g", "node_id"])

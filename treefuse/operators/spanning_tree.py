@@ -1,19 +1,22 @@
 """Exact Euclidean minimum spanning trees.
 
-Points are cut into blocks of neighbouring points. For each pair of blocks a small helper builds the tree of
-the pair's points; an edge that is not in it is not in the whole tree either, so the pairs' edges together
-hold the tree. Boruvka rounds pick it out of them: each component takes its smallest edge, and components
-are joined by pointer doubling.
-
-Pruning loses nothing: the trees of single blocks and the edges between consecutive blocks join all points,
-so the longest edge among them bounds every edge of the minimum tree, and block pairs that are further
-apart are left out. Edges are ordered by (squared length, smaller id, larger id) everywhere, so the tree is
+Points are cut into blocks along a curve that interleaves the bits of their widest features, so that a block's points lie
+close together. For each pair of blocks a small helper builds the tree of the pair's points; an edge that is not in it is not
+in the whole tree either, so the pairs' edges together hold the tree. Boruvka rounds pick it out of them: each component takes
+its smallest edge, and components are joined by pointer doubling.
+
+Not all pairs of blocks are looked at, and none that matters is left out. First come those no further apart than the
+longest edge inside any block. Their trees join blocks to components, and the shortest edges between consecutive blocks join
+these; the longest edge of that spanning tree bounds every edge of the minimum tree. If it is longer, pairs of blocks from different
+components follow, up to that distance, and pairs of one component up to the longest edge in it. Near pairs are found by a
+grid over the two widest features. Edges are ordered by (squared length, smaller id, larger id) everywhere, so the tree is
 unique and does not hang on blocks or partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from treefuse.functions.matrices import features_as_samples
 from treefuse.operators.kernels import forest_edges
-from treefuse.shared import cut, settle
+from treefuse.shared import cut, settle, tidy
 
 TASK_EDGES = 2_000_000
 
@@ -30,26 +33,37 @@ TASK_EDGES = 2_000_000
 def prim(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The minimum tree of a few thousand points: smaller ids, larger ids, squared lengths."""
     n = len(ids)
-    best, source = np.full(n, np.inf), np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)
-    at, out = 0, []
-    open_[0] = False
-    for _ in range(n - 1):
-        d2 = ((x - x[at]) ** 2).sum(1)
-        low, high = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-        old_low, old_high = np.minimum(ids, ids[source]), np.maximum(ids, ids[source])
-        closer = open_ & ((d2 < best) | ((d2 == best) & ((low < old_low) | ((low == old_low) & (high < old_high)))))
+    u, v, d = np.zeros(max(n - 1, 0), np.int64), np.zeros(max(n - 1, 0), np.int64), np.zeros(max(n - 1, 0))
+    x = np.ascontiguousarray(x.T)
+    live = np.arange(1, n)  # outside the tree; those that went in stay in the arrays until half have, at infinite distance
+    mine, own, best, source = x[:, 1:], ids[1:], np.full(max(n - 1, 0), np.inf), np.zeros(max(n - 1, 0), np.int64)
+    at, dead, inside = 0, np.zeros(max(n - 1, 0), bool), 0
+    for step in range(n - 1):
+        d2 = (mine[0] - x[0, at]) ** 2
+        for j in range(1, len(x)):
+            d2 += (mine[j] - x[j, at]) ** 2
+        d2[dead] = np.inf
+        closer = d2 < best
+        ties = np.flatnonzero((d2 == best) & ~dead)
+        if len(ties):  # the smaller of the two edges' ends decides
+            new, old, self_ = ids[at], ids[source[ties]], own[ties]
+            low, high, old_low, old_high = np.minimum(self_, new), np.maximum(self_, new), np.minimum(self_, old), np.maximum(self_, old)
+            closer[ties] = (low < old_low) | ((low == old_low) & (high < old_high))
         best[closer], source[closer] = d2[closer], at
-        left = np.flatnonzero(open_)
-        tied = left[best[left] == best[left].min()]
+        i = int(best.argmin())
+        tied = np.flatnonzero(best == best[i])
         if len(tied) > 1:
-            a, b = np.minimum(ids[tied], ids[source[tied]]), np.maximum(ids[tied], ids[source[tied]])
-            tied = tied[np.lexsort((b, a))]
-        at = int(tied[0])
-        open_[at] = False
-        out.append((min(ids[at], ids[source[at]]), max(ids[at], ids[source[at]]), best[at]))
-    u, v, d = zip(*out, strict=True) if out else ((), (), ())
-    return np.array(u, np.int64), np.array(v, np.int64), np.array(d, np.float64)
+            a, b = np.minimum(own[tied], ids[source[tied]]), np.maximum(own[tied], ids[source[tied]])
+            i = int(tied[np.lexsort((b, a))[0]])
+        a, b = own[i], ids[source[i]]
+        u[step], v[step], d[step] = min(a, b), max(a, b), best[i]
+        at = int(live[i])
+        best[i], dead[i], inside = np.inf, True, inside + 1
+        if 2 * inside > len(live):
+            keep = ~dead
+            live, mine, own, best, source, dead, inside = live[keep], np.ascontiguousarray(mine[:, keep]), own[keep], best[keep], source[keep], dead[keep], 0
+            dead = np.zeros(len(live), bool)
+    return u, v, d
 
 
 def forest_in_tasks(candidates: DataFrame, keys: tuple[str, str]) -> DataFrame:
@@ -64,6 +78,7 @@ def forest_in_tasks(candidates: DataFrame, keys: tuple[str, str]) -> DataFrame:
     return candidates.groupBy("g").applyInArrow(run, f"g {candidates.schema['g'].dataType.simpleString()}, u bigint, v bigint, d2 double")
 
 
+@tidy
 def minimum_forest(candidates: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """g, u, v, d2 -> the rows of the minimum spanning forest, by (d2, u, v). Rounds of joins go on until what
     is left between components fits a task a group (``task_edges``)."""
@@ -87,16 +102,71 @@ def minimum_forest(candidates: DataFrame, task_edges: int = TASK_EDGES) -> DataF
     return candidates.select("g", "u", "v", "d2").limit(0) if chosen is None else chosen
 
 
+def widest(samples: DataFrame, most: int) -> DataFrame:
+    """g, wide: array of (i, low, range), the up to ``most`` features with the largest ranges."""
+    flat = samples.select("g", F.posexplode("x").alias("i", "v")).groupBy("g", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    wide = flat.groupBy("g").agg(F.sort_array(F.collect_list(F.struct((F.col("high") - F.col("low")).alias("range"), (-F.col("i")).alias("back"), "low")), asc=False).alias("w"))
+    return wide.select("g", F.transform(F.slice("w", 1, most), lambda w: F.struct((-w["back"]).alias("i"), w["low"].alias("low"), w["range"].alias("range"))).alias("wide"))
+
+
+def along_curve(samples: DataFrame, dims: int = 6, bits: int = 10) -> DataFrame:
+    """The samples with ``key``: their widest features, in steps of a 2^bits-th of the range, bits interleaved."""
+    step = F.transform("wide", lambda w: F.when(w["range"] > 0, F.floor((F.get("x", w["i"]) - w["low"]) / w["range"] * (2**bits - 1))).otherwise(0).cast("bigint"))
+    placed = samples.join(widest(samples, dims), "g").withColumn("steps", step)
+    key = F.lit(0).cast("bigint")
+    for b in range(bits):
+        for d in range(dims):
+            bit = F.shiftright(F.coalesce(F.get("steps", F.lit(d)), F.lit(0).cast("bigint")), b).bitwiseAND(F.lit(1).cast("bigint"))
+            key = key.bitwiseOR(F.shiftleft(bit, b * dims + dims - 1 - d))
+    return placed.withColumn("key", key).drop("wide", "steps")
+
+
+def joined_labels(edges: DataFrame) -> DataFrame:
+    """edges(g, a, b) -> g, node, label: the components of all nodes with edges, each round hooking every label to its
+    smallest neighbour."""
+    ends = cut(edges.select("g", "a", "b").distinct())
+    label = cut(ends.select("g", F.col("a").alias("node")).unionByName(ends.select("g", F.col("b").alias("node"))).distinct().withColumn("label", F.col("node")))
+    while True:
+        ends = ends.where("a != b")
+        if ends.isEmpty():
+            return label
+        both = ends.unionByName(ends.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = settle(both.groupBy("g", "a").agg(F.min("b").alias("b")).select("g", F.col("a").alias("c"), F.least("a", "b").alias("p")), ["g"], "c", "p")
+        label = cut(label.join(hook, (label.g == hook.g) & (label.label == hook.c), "left").select(label.g, "node", F.coalesce("p", "label").alias("label")))
+        side = lambda c: hook.select("g", F.col("c").alias(c), F.col("p").alias(f"{c}2"))
+        ends = cut(ends.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).select("g", F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+
+
+def near_pairs(boxes: DataFrame, reach: DataFrame) -> DataFrame:
+    """boxes(g, block, box: array of (dim, low, high)), reach(g, far) -> g, block < block2, gap2: pairs of boxes at most far
+    apart, found in a grid over the two widest features. Cells are as wide as far or as a box on average, so
+    a box and what it reaches cover a few cells."""
+    flat = boxes.select("g", F.explode("box").alias("b")).groupBy("g", "b.dim").agg(F.min("b.low").alias("low"), (F.max("b.high") - F.min("b.low")).alias("range"), F.avg(F.col("b.high") - F.col("b.low")).alias("mean"))
+    wide = flat.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("range", "dim", "low", "mean")), asc=False), 1, 2).alias("wide"))
+    grid = wide.join(reach, "g").select("g", "far", F.transform("wide", lambda w: F.struct(w["dim"].alias("dim"), w["low"].alias("low"), F.greatest(w["mean"], F.col("far"), w["range"] / 1e6, F.lit(1e-300)).alias("cell"))).alias("grid"))
+    placed = boxes.join(grid, "g")
+
+    def cells(more) -> DataFrame:
+        spans = F.transform("grid", lambda d: F.sequence(F.floor((F.get("box", d["dim"])["low"] - more - d["low"]) / d["cell"]), F.floor((F.get("box", d["dim"])["high"] + more - d["low"]) / d["cell"])))
+        out = placed.withColumn("spans", spans).withColumn("c0", F.explode(F.get("spans", F.lit(0))))
+        return out.withColumn("c1", F.explode(F.coalesce(F.get("spans", F.lit(1)), F.array(F.lit(0).cast("bigint"))))).select("g", "c0", "c1", "block", "box", "far")
+
+    other = cells(F.col("far") * (1 + 1e-9)).toDF("g", "c0", "c1", "block2", "box2", "far")
+    gap = F.aggregate(F.zip_with("box", "box2", lambda a, b: F.greatest(a["low"] - b["high"], b["low"] - a["high"], F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
+    met = cells(F.lit(0.0)).drop("far").join(other, ["g", "c0", "c1"]).where("block < block2").withColumn("gap2", gap)
+    return met.where(F.col("gap2") <= F.col("far") * F.col("far") * (1 + 1e-12)).groupBy("g", "block", "block2").agg(F.min("gap2").alias("gap2"))
+
+
+@tidy
 def spanning_tree(samples: DataFrame, block_rows: int = 2048, prune: bool = True, task_edges: int = TASK_EDGES) -> DataFrame:
     """g, sample_id, x -> g, u, v (u < v), dist: n - 1 edges a group. Without ``prune`` all block pairs are
     compared; the result is the same."""
-    kind = samples.schema["g"].dataType.simpleString()
-    placed = samples.repartitionByRange("g", "x", "sample_id").withColumn("pid", F.spark_partition_id())
-    w = Window.partitionBy("g", "pid").orderBy("x", "sample_id")
+    spark, kind = samples.sparkSession, samples.schema["g"].dataType.simpleString()
+    placed = along_curve(samples).repartitionByRange("g", "key", "sample_id").withColumn("pid", F.spark_partition_id())
+    w = Window.partitionBy("g", "pid").orderBy("key", "sample_id")
     placed = placed.withColumn("block", F.shiftleft(F.col("pid").cast("bigint"), 32) + F.floor((F.row_number().over(w) - 1) / block_rows))
     points = F.array_sort(F.collect_list(F.struct("sample_id", "x")))
     blocks = cut(placed.groupBy("g", "block").agg(points.alias("points")).select("g", "block", F.col("points.sample_id").alias("ids"), F.flatten("points.x").alias("flat")))
-    near = Window.partitionBy("g").orderBy("block")  # one row a block
 
     def tree(kinds: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,24 +191,47 @@ def spanning_tree(samples: DataFrame, block_rows: int = 2048, prune: bool = True
 
     out = f"g {kind}, block bigint, block2 bigint, u bigint, v bigint, d2 double"
     none = lambda c: F.lit(None).cast(c)
-    single = blocks.select("g", "block", none("bigint").alias("block2"), "ids", "flat", none("array<bigint>").alias("ids2"), none("array<double>").alias("flat2"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    single = blocks.repartition(tasks, "g", "block").select("g", "block", none("bigint").alias("block2"), "ids", "flat", none("array<bigint>").alias("ids2"), none("array<double>").alias("flat2"))
     inner = cut(single.mapInArrow(tree("prim"), out))
     names = blocks.select("g", "block")
-    pairs = names.join(names.select("g", F.col("block").alias("block2")), "g").where("block < block2")
     second = blocks.select("g", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
-    with_points = lambda p: p.join(blocks, ["g", "block"]).join(second, ["g", "block2"]).select("g", "block", "block2", "ids", "flat", "ids2", "flat2")
-    if prune:
-        chain = names.withColumn("block2", F.lead("block").over(near)).where("block2 is not null")
-        chained = with_points(chain).mapInArrow(tree("chain"), out)
-        bound = inner.unionByName(chained).groupBy("g").agg(F.max("d2").alias("bound"))
-        dims = blocks.select("g", "block", F.posexplode("flat").alias("i", "value"), F.expr("size(flat) div size(ids)").alias("p"))
-        boxes = dims.groupBy("g", "block", (F.col("i") % F.col("p")).alias("dim")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        boxes = boxes.groupBy("g", "block").agg(F.array_sort(F.collect_list(F.struct("dim", "low", "high"))).alias("box"))
-        gap = F.aggregate(F.zip_with("box", "box2", lambda a, b: F.greatest(a["low"] - b["high"], b["low"] - a["high"], F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
-        pairs = pairs.join(boxes, ["g", "block"]).join(boxes.toDF("g", "block2", "box2"), ["g", "block2"]).join(bound, "g").where(gap <= F.col("bound") * (1 + 1e-12)).select("g", "block", "block2")
-    # Each pair's own tree; pairs hold their blocks' trees too, but a block without a pair needs its own.
-    found = inner.unionByName(with_points(pairs).mapInArrow(tree("prim"), out)).select("g", "u", "v", "d2")
-    return minimum_forest(found, task_edges).select("g", "u", "v", F.sqrt("d2").alias("dist"))
+
+    def trees(pairs: DataFrame, kinds: str = "prim") -> DataFrame:
+        """A pair is seconds of work and few bytes: dealt by number, not by size."""
+        met = pairs.join(blocks, ["g", "block"]).join(second, ["g", "block2"]).repartition(tasks, "block", "block2", "g")
+        return cut(met.select("g", "block", "block2", "ids", "flat", "ids2", "flat2").mapInArrow(tree(kinds), out))
+
+    edges = lambda *found: reduce(DataFrame.unionByName, [f.select("g", "u", "v", "d2") for f in found])
+    result = lambda *found: minimum_forest(edges(*found), task_edges).select("g", "u", "v", F.sqrt("d2").alias("dist"))
+    if not prune:
+        return result(inner, trees(names.join(names.select("g", F.col("block").alias("block2")), "g").where("block < block2")))
+    dims = blocks.select("g", "block", F.posexplode("flat").alias("i", "value"), F.expr("size(flat) div size(ids)").alias("p"))
+    boxes = dims.groupBy("g", "block", (F.col("i") % F.col("p")).alias("dim")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    boxes = cut(boxes.groupBy("g", "block").agg(F.array_sort(F.collect_list(F.struct("dim", "low", "high"))).alias("box")))
+    near = inner.groupBy("g").agg(F.max("d2").alias("d2"))
+    reach = cut(names.select("g").distinct().join(near, "g", "left").select("g", F.sqrt(F.coalesce("d2", F.lit(0.0))).alias("far")))
+    first = cut(near_pairs(boxes, reach))
+    found = trees(first)
+    # A pair's tree spans both blocks, so all blocks with a pair are joined to it.
+    links = first.join(reach, "g")
+    forest = cut(minimum_forest(edges(inner, found), task_edges))
+    place = cut(blocks.select("g", "block", F.explode("ids").alias("id")))
+    at = lambda c, name: place.select("g", F.col("id").alias(c), F.col("block").alias(name))
+    label = cut(names.join(joined_labels(links.select("g", F.col("block").alias("a"), F.col("block2").alias("b"))).withColumnRenamed("node", "block"), ["g", "block"], "left").select("g", "block", F.coalesce("label", "block").alias("label")))
+    longest = forest.join(at("u", "block"), ["g", "u"]).join(label, ["g", "block"]).groupBy("g", "label").agg(F.max("d2").alias("longest"))
+    order = Window.partitionBy("g").orderBy("block")  # a row a block
+    chain = label.withColumns({"block2": F.lead("block").over(order), "label2": F.lead("label").over(order)}).where("label != label2").select("g", "block", "block2")
+    chained = trees(chain, "chain")
+    bound = edges(forest, chained).groupBy("g").agg(F.max("d2").alias("bound"))
+    more = cut(bound.join(reach, "g").where(F.col("bound") > F.col("far") * F.col("far") * (1 + 1e-12)).select("g", F.sqrt("bound").alias("far"), F.col("far").alias("had")))
+    if more.isEmpty():
+        return result(forest)
+    other = label.select("g", F.col("block").alias("block2"), F.col("label").alias("label2"))
+    pairs = near_pairs(boxes.join(more, "g", "left_semi"), more.select("g", "far")).join(more.select("g", "had"), "g").where(F.col("gap2") > F.col("had") * F.col("had") * (1 + 1e-12))
+    pairs = pairs.join(label, ["g", "block"]).join(other, ["g", "block2"]).join(longest, ["g", "label"], "left")
+    pairs = cut(pairs.where((F.col("label") != F.col("label2")) | (F.col("gap2") <= F.coalesce("longest", F.lit(0.0)) * (1 + 1e-12))).select("g", "block", "block2"))
+    return result(forest, trees(pairs))
 
 
 def spanning_tree_of_features(samples: DataFrame, block_rows: int = 2048) -> DataFrame:

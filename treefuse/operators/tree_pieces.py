@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treefuse.operators.trees import Layout, sums_of
-from treefuse.shared import cut, settle
+from treefuse.shared import cut, forget, mark, recut, settle, tidy
 
 # What a piece and the tree of pieces tell each other, one number a feature each.
 # extra: what its children have pulled at the bottom. link: the edge above the top is not cut. through: top and bottom are in one
@@ -30,15 +30,17 @@ NUMBERS = "noise near extra link through t_top m_top t_bottom m_bottom best_up b
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """g, node_id, parent_id, size: by doubling, about log(depth) rounds of joins."""
+    since = mark()
     now = cut(tree.select("g", "node_id", "parent_id", F.col("parent_id").alias("far"), F.lit(1).cast("bigint").alias("size")))
     while not now.where("far is not null").isEmpty():
         sent = now.where("far is not null").groupBy("g", F.col("far").alias("node_id")).agg(F.sum("size").alias("more"))
         hop = now.select("g", F.col("node_id").alias("far"), F.col("far").alias("further"))
         moved = now.join(sent, ["g", "node_id"], "left").join(hop, ["g", "far"], "left")
-        now = cut(moved.select("g", "node_id", "parent_id", F.col("further").alias("far"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        now = recut(since, moved.select("g", "node_id", "parent_id", F.col("further").alias("far"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
     return now.select("g", "node_id", "parent_id", "size")
 
 
+@tidy
 def cut_tree(tree: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """tree(g, node_id, parent_id) -> g, node_id, piece; and g, piece, up_piece, bottom, a row a piece.
 
@@ -215,7 +217,6 @@ def solve_in_pieces(cells: DataFrame, lam: float, most: int) -> DataFrame:
     kind = cells.schema["g"].dataType.simpleString()
     tree = cut(cells.select("g", "node_id", "parent_id").distinct())
     placed, pieces = cut_tree(tree, most)
-    pieces = cut(pieces)
     like = lambda value: F.transform("x", lambda _: F.lit(value).cast("double"))
     has = F.col("parent_id").isNotNull()
     state = cells.join(placed, ["g", "node_id"]).select("g", "piece", "fb", "node_id", "parent_id", (F.lit(lam) * F.col("edge_weight")).alias("bound"), "node_weight", "x", like(0.0).alias("pull"), F.transform("x", lambda _: has.cast("double")).alias("whole"))
@@ -268,13 +269,15 @@ def solve_in_pieces(cells: DataFrame, lam: float, most: int) -> DataFrame:
         return rows.append_column("fused", pa.array(fused[piece.shape.place]))
 
     told = ", ".join(f"{f.split()[0]}: {f.split()[1]}" for f in about.split(", ")[3:])
-    border = in_pieces(first, border, about)
+    border, since = in_pieces(first, border, about), mark()
     while True:
         summed = cut(together(join_sums, border))
         flown = cut(in_pieces(flows, summed, about))
         sided = cut(in_pieces(bottoms, together(join_flows, flown), about))
+        last = in_pieces(finish, summed, f"g {kind}, node_id bigint, parent_id bigint, fb int, x array<double>, fused boolean")
         divided = cut(in_pieces(divide, together(join_sides, sided), f"{nodes}, told struct<{told}>"))
         border = divided.where("told is not null").select("g", "piece", "fb", "told.*")
         if not border.agg(F.sum("cuts")).first()[0]:
-            return in_pieces(finish, summed, f"g {kind}, node_id bigint, parent_id bigint, fb int, x array<double>, fused boolean")
+            return last
+        divided = forget(since, divided)
         state = divided.where("told is null").drop("told")

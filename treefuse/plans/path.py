@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +20,14 @@ from treefuse.functions.weights import gaussian, normalise, outlier_floor
 from treefuse.operators import fusion
 from treefuse.operators.rooted_tree import rooted, with_shape
 from treefuse.operators.spanning_tree import spanning_tree
-from treefuse.shared import cut, settle
+from treefuse.shared import Pile, cut, forget, mark, settle, tidy
 from treefuse.sources.matrix import Fit
 from treefuse.sources.matrix import samples as matrix
 
 TASK_CELLS = 2_000_000
 
 
+@tidy
 def start_nodes(samples: DataFrame, bandwidth: float | None = None, norm: bool = True, depth_thresh: int = 10, prob_thresh: float = 0.1, prune: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """samples(g, sample_id, x) -> g, node_id, parent_id, edge_weight, node_weight, x: the weighted tree that a
     fit starts from. A given bandwidth applies to lengths after normalising. A single sample is a root."""
@@ -49,42 +49,55 @@ def checked(lambdas: Sequence[float], gammas: Sequence[float] | None = None) ->
     return values
 
 
+@tidy
 def fit_path(samples: DataFrame, lambdas: Sequence[float], bandwidth: float | None = None, norm: bool = True, depth_thresh: int = 10, prob_thresh: float = 0.1, prune: bool = True, task_cells: int = TASK_CELLS) -> Fit:
     """samples(g, sample_id, x) -> Fit, each group until it is one cluster or the penalties end."""
     values = checked(lambdas)
     return follow(start_nodes(samples, bandwidth, norm, depth_thresh, prob_thresh, prune), values, task_cells)
 
 
+@tidy
 def follow(nodes: DataFrame, values: list[float], task_cells: int = TASK_CELLS, solve_cells: int = fusion.TASK_CELLS) -> Fit:
     """Nodes as ``start_nodes`` gives them -> Fit. ``solve_cells`` bounds what a level's solving puts into a task."""
-    levels, pointers, coordinates = [], [], []
-    live, level = nodes, 0
+    spark = nodes.sparkSession
+    levels, pointers, coordinates = (Pile(spark) for _ in range(3))
+    live, level, since = nodes, 0, mark()
     while level < len(values):
-        sizes = cut(live.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")))
-        small = sizes.where(F.col("n") * F.col("p") <= task_cells).select("g")
+        sizes = live.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p"))
+        small = cut(sizes.where(F.col("n") * F.col("p") <= task_cells).select("g"))
         if not small.isEmpty():
             rest = cut(in_tasks(live.join(small, "g", "left_semi"), values, level))
-            levels.append(rest.where("kind = 0").select("g", "level", F.col("value").alias("lambda"), F.lit(None).cast("double").alias("gamma"), F.col("node_id").alias("n_in"), F.col("rep_id").alias("n_out")))
-            pointers.append(rest.where("kind = 1").select("g", "level", "node_id", "rep_id"))
-            coordinates.append(rest.where("kind = 2").select("g", "level", "rep_id", F.col("value").alias("weight"), "x"))
+            levels.add(rest.where("kind = 0").select("g", "level", F.col("value").alias("lambda"), F.lit(None).cast("double").alias("gamma"), F.col("node_id").alias("n_in"), F.col("rep_id").alias("n_out")))
+            pointers.add(rest.where("kind = 1").select("g", "level", "node_id", "rep_id"))
+            coordinates.add(rest.where("kind = 2").select("g", "level", "rep_id", F.col("value").alias("weight"), "x"))
             live = live.join(small, "g", "left_anti")
         if live.isEmpty():
             break
-        solved = cut(fusion.solve(live, values[level], task_cells=solve_cells))
-        reps = fusion.representatives(solved)
-        fewer = fusion.contract_nodes(live, reps)
+        free = fusion.next_fusion(live).agg(F.min("free")).first()[0]
+        rest = bisect_left(values, free, level)
+        if rest > level:  # nothing fuses before
+            passed = spark.createDataFrame([(i + 1, values[i]) for i in range(level, rest)], "level int, lambda double")
+            still = live.groupBy("g").agg(F.count(F.lit(1)).alias("n_in")).join(F.broadcast(passed))
+            levels.add(still.select("g", "level", "lambda", F.lit(None).cast("double").alias("gamma"), "n_in", F.col("n_in").alias("n_out")))
+            level = rest
+            continue
+        solved = fusion.solve(live, values[level], task_cells=solve_cells)
+        reps = cut(fusion.representatives(solved))
+        fewer = cut(fusion.contract_nodes(live, reps))
         tree = fusion.contract_tree(live.select("g", "node_id", "parent_id", "edge_weight"), reps)
-        counts = reps.groupBy("g").agg(F.count(F.lit(1)).alias("n_in"), F.count(F.when(F.col("node_id") == F.col("rep_id"), 1)).alias("n_out"))
-        levels.append(counts.select("g", F.lit(level + 1).alias("level"), F.lit(values[level]).alias("lambda"), F.lit(None).cast("double").alias("gamma"), "n_in", "n_out"))
+        counts = cut(reps.groupBy("g").agg(F.count(F.lit(1)).alias("n_in"), F.count(F.when(F.col("node_id") == F.col("rep_id"), 1)).alias("n_out")))
+        levels.add(counts.select("g", F.lit(level + 1).alias("level"), F.lit(values[level]).alias("lambda"), F.lit(None).cast("double").alias("gamma"), "n_in", "n_out"))
         moved = counts.where("n_in > n_out").select("g")
-        pointers.append(reps.join(moved, "g", "left_semi").select("g", F.lit(level + 1).alias("level"), "node_id", "rep_id"))
-        coordinates.append(fewer.join(moved, "g", "left_semi").select("g", F.lit(level + 1).alias("level"), "rep_id", "weight", "x"))
+        pointers.add(reps.join(moved, "g", "left_semi").select("g", F.lit(level + 1).alias("level"), "node_id", "rep_id"))
+        coordinates.add(fewer.join(moved, "g", "left_semi").select("g", F.lit(level + 1).alias("level"), "rep_id", "weight", "x"))
         going = counts.where("n_out > 1").select("g")
         live = tree.join(fewer.withColumnRenamed("rep_id", "node_id"), ["g", "node_id"]).join(going, "g", "left_semi")
-        live = cut(live.select("g", "node_id", "parent_id", "edge_weight", F.col("weight").alias("node_weight"), "x"))
+        live = forget(since, cut(live.select("g", "node_id", "parent_id", "edge_weight", F.col("weight").alias("node_weight"), "x")))
         level += 1
-    union = lambda tables: cut(reduce(DataFrame.unionByName, tables))
-    return Fit(union(levels), union(pointers), union(coordinates))
+    empty = {"pointers": "g {}, level int, node_id bigint, rep_id bigint", "coordinates": "g {}, level int, rep_id bigint, weight double, x array<double>"}
+    kind = nodes.schema["g"].dataType.simpleString()
+    read = lambda pile, name: pile.read() if pile.schema else spark.createDataFrame([], empty[name].format(kind))
+    return Fit(levels.read(), read(pointers, "pointers"), read(coordinates, "coordinates"))
 
 
 def in_tasks(nodes: DataFrame, values: list[float], done: int) -> DataFrame:
@@ -129,6 +142,7 @@ def in_tasks(nodes: DataFrame, values: list[float], done: int) -> DataFrame:
     return nodes.groupBy("g").applyInArrow(run, f"g {kind}, kind int, level int, node_id bigint, rep_id bigint, value double, x array<double>")
 
 
+@tidy
 def compose(samples: DataFrame, pointers: DataFrame, level: int | None = None) -> DataFrame:
     """g, sample_id, rep_id: the cluster of each sample after ``level`` (default: the last). A node stops
     standing for itself once at most, so its pointers are one forest, climbed by doubling."""
@@ -166,11 +180,13 @@ def distinct_labels(solution: DataFrame) -> DataFrame:
     return rows.join(ranked, ["g", "t"]).select("g", "sample_id", "label")
 
 
+@tidy
 def fit_one(samples: DataFrame, lam: float, **options) -> DataFrame:
     """One penalty, no path: g, sample_id, label."""
     return distinct_labels(fusion.solve(start_nodes(samples, **options), lam))
 
 
+@tidy
 def search_lambda(samples: DataFrame, step: float = 1000.0, least_step: float = 50.0, stop_below: float = float("-inf"), ceiling: float | None = None, **options) -> tuple[float, list[tuple[float, int]]]:
     """The smallest penalty on a halving grid that leaves one cluster, plus the last step, and the (penalty,
     clusters) that were tried. One data set (one g). The default ceiling is half the sum of squares."""

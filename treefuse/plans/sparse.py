@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from treefuse.operators import fusion
 from treefuse.operators.kernels import shrink_factor, sparse_step
 from treefuse.plans.path import checked, start_nodes
-from treefuse.shared import cut
+from treefuse.shared import cut, tidy
 from treefuse.sources.matrix import Fit
 
 
@@ -68,6 +68,7 @@ def alternations(steps: int, lam: float, gamma: float, most: int):
     return run
 
 
+@tidy
 def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 500, threshold: float = 1e-5, feature_block: int = 64, batch: int = 10) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) of one data set -> the same rows with u."""
     kind, n = nodes.schema["g"].dataType.simpleString(), max(nodes.count(), 1)
@@ -100,6 +101,7 @@ def nonzero_features(rows: DataFrame, column: str = "u") -> DataFrame:
     return rows.select(F.posexplode(column).alias("feature_idx", "v")).groupBy("feature_idx").agg(F.sum("v").alias("s")).where("s != 0").select("feature_idx")
 
 
+@tidy
 def fit_sparse(samples: DataFrame, lambdas: Sequence[float], gammas: Sequence[float], most: int = 500, threshold: float = 1e-5, **options) -> Fit:
     """samples of one data set -> Fit with ``features``: the indices that are left after each level."""
     values = checked(lambdas, gammas)

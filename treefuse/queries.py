@@ -16,7 +16,7 @@ from treefuse.functions import evaluate, matrices, weights
 from treefuse.operators import fusion, hierarchy, rooted_tree
 from treefuse.operators.spanning_tree import spanning_tree, spanning_tree_of_features
 from treefuse.plans import bicluster, path, sparse
-from treefuse.shared import cut, cut_dir, rounded, row_numbers
+from treefuse.shared import cut, cut_dir, rounded, row_numbers, tidy
 from treefuse.sources.matrix import Fit, read_fit, samples, write_fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = tidy(f)
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -440,8 +440,8 @@ def star_level_counts(spark, sf_dir):
 
 @query(f"{_star_sql([2000.0, 1e6])} SELECT * FROM c1 UNION ALL SELECT * FROM c2")
 def star_level_counts_in_spark(spark, sf_dir):
-    """Levels as Spark jobs: no task holds the tree."""
-    return path.level_counts(star_fit(spark, sf_dir, [2000.0, 1e6], task_cells=0, solve_cells=0)[1]).drop("g")
+    """Levels as Spark jobs, solved in pieces of about 50 nodes: no task holds the tree."""
+    return path.level_counts(star_fit(spark, sf_dir, [2000.0, 1e6], task_cells=0, solve_cells=50)[1]).drop("g")
 
 
 @query(STAR_POINTERS)
