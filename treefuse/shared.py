@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SCOPES: list[list[Callable[[], None]]] = [[]]  # how to remove what each open scope has written; the first ends with the process
+_SCOPES: list[list[Callable[[], object]]] = [[]]  # how to remove what each open scope has written; the first ends with the process
 
 
 def cut_dir(spark: SparkSession) -> str:
@@ -37,7 +37,12 @@ def new_folder(spark: SparkSession, kind: str = "cut") -> str:
     return folder
 
 
-def _clear(scope: list[Callable[[], None]]) -> None:
+def at_end(remove: Callable[[], object]) -> None:
+    """Has the innermost open scope remove something else when it ends."""
+    _SCOPES[-1].append(remove)
+
+
+def _clear(scope: list[Callable[[], object]]) -> None:
     while scope:
         try:
             scope.pop()()
