@@ -8,13 +8,11 @@ rows with one doc_id the first by text stays, a null text last.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treefuse.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
-from treefuse.llm.shared import drop_scratch, remove_folder, scratch_tables, shared_dir
+from treefuse.shared import forget, mark, new_folder, scratch
 
 ORACLE_SQL = None  # a trained network and a vocabulary: tested against brute force instead
 LEAST_QUALITY = 0.5
@@ -67,13 +65,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        tables = scratch_tables()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-        drop_scratch(spark, tables)  # what the stage has left, and what it has read
-        if i:
-            remove_folder(f"{folder}/{i - 1}")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
+    for _, stage in STAGES:
+        folder = new_folder(spark, "stage")
+        with scratch():  # what the stage has cut goes with it
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = forget(since, spark.read.parquet(folder))  # and what it has read
     return docs
