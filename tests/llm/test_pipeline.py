@@ -1,6 +1,7 @@
 """Each stage and the whole run against plain restatements, on awkward rows."""
 
 import hashlib
+import os
 import re
 import uuid
 
@@ -8,7 +9,7 @@ import pytest
 
 from tests.llm.fixtures import documents, shingles, texts, words
 from treefuse.llm import quality
-from treefuse.llm.shared import scratch_tables
+from treefuse.shared import cut_dir, scratch
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 ITEMS = [(1, None), (2, ""), (3, " ".join(texts()[20][1].split()[2:16])), (4, "words that stand in no document at all, really")]
@@ -121,13 +122,16 @@ def test_tokens_stage(spark):
 
 def test_run_equals_the_plain_stages(spark):
     folder = given(spark, SOME, [])  # no labels: the first stage keeps all, so the rest can be restated
-    before = scratch_tables()
-    got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, folder).collect()}
+    at = cut_dir(spark).removeprefix("file://")
+    left_over = lambda: ({f for f in os.listdir(at) if re.match("cut-|stage-|texts-", f)}, len(spark.catalog.listTables()))
+    before = left_over()
+    with scratch():
+        got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, folder).collect()}
     stay = plain_near(SOME)
     left = plain_without_repeats([r for r in SOME if r[0] in stay])
     clean = plain_clean(left.items())
     assert got == {i: hashlib.sha256(left[i].encode()).hexdigest() for i in clean}
-    assert scratch_tables() == before
+    assert left_over() == before
 
 
 def test_run_on_nothing(spark):

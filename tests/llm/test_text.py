@@ -98,6 +98,28 @@ def test_license_votes_of_repeated_rows_count_once(spark):
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (2, 0, 2, "mit")
 
 
+WORDINGS = [
+    ("the game was released under the title of Sonic", ""),
+    ("released under the apache license", "apache"),
+    ("this work is licensed under the mit license", "mit"),
+    ("this program is licensed under the GNU General Public License v3", "gpl"),
+    ("under the terms of the GNU Lesser General Public License", "gpl,lgpl"),
+    ("you may use it under the GNU Affero General Public License", "agpl,gpl"),
+    ("this work is licensed under a creative commons attribution license", "cc-by"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("the license of this software was released to the public in general", ""),
+    ("Licensed under the License, Version 2.0; you may not use this file except in compliance with the rules of the house", ""),
+    ("This Source Code Form is subject to the terms of the Other Public License, v. 2.0. If a copy of it was not distributed with this file, You can obtain one elsewhere", ""),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the General Licence as published by the Free Software Foundation", ""),
+]
+
+
+def test_license_wordings(spark):
+    rows = licenses.scan(documents(spark, [(i, f"some words before {t} and some behind") for i, (t, _) in enumerate(WORDINGS)], repeat=False)).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {i: want for i, (_, want) in enumerate(WORDINGS)}
+
+
 def test_whole_licenses_are_found_in_prose(spark):
     prose = " of the software in the and or use to be with all " * 200
     for text, label in licenses.TEMPLATES:
@@ -238,6 +260,37 @@ def test_chats_round_trip(spark):
     assert chat_format.format_windows(rows.where("conv_id < 0")).count() == 0
 
 
+def plain_starts(turns, budget, history):
+    """At which of a conversation's (role, text) turns windows start: one greedy pass."""
+    tokens = lambda t: (len(t) + 3) // 4 + 4
+    system = tokens(turns[0][1]) if turns[0][0] == "system" else 0
+    body, used, starts = max(budget - history - system, 0), None, []
+    for i, (_, text) in enumerate(turns):
+        own = 0 if i == 0 and system else tokens(text)
+        if used is None or used + own > body:
+            starts.append(i)
+            used = own
+        else:
+            used += own
+    return starts
+
+
+@pytest.mark.parametrize("apart", [1, 2000, 10**12])
+def test_windows_do_not_depend_on_blocks_or_gaps(spark, apart):
+    rng = np.random.default_rng(7)
+    said = {c: [("system" if i == 0 and c == 2 else ("user", "assistant")[i % 2], "z" * int(rng.choice([3, 40, 300, 1500, 8000], p=[0.5, 0.3, 0.1, 0.05, 0.05]))) for i in range(n)] for c, n in ((1, 90), (2, 150), (3, 1), (4, 12))}
+    rows = [(c, i * apart + (i * i if apart > 1 else 0), *t) for c, turns in said.items() for i, t in enumerate(turns)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = []
+    for block in (4, 16, 1024):
+        windows = chat_format.format_windows(table, 300, 60, block).collect()
+        got.append(sorted((r["conv_id"], r["window"], r["text"], r["n_own"]) for r in windows))
+    assert got[0] == got[1] == got[2]
+    for c, turns in said.items():
+        starts = plain_starts(turns, 300, 60)
+        assert [r[3] for r in got[0] if r[0] == c] == np.diff([*starts, len(turns)]).tolist()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_windows_keep_to_their_budget(spark, seed):
     rng = np.random.default_rng(seed)

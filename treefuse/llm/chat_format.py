@@ -11,9 +11,11 @@ many as fit into ``history`` tokens and into what its own turns leave of the bud
 more turns of its own never exceeds the budget. The loss mask covers assistant texts, but not repeated
 ones: over all windows each is a target once.
 
-Turn numbers are cut into blocks of ``block``, and each block begins a new window, so a very long conversation is no
-single task's work (its turns without a number are one block). Where windows start follows from the turns'
-tokens alone, which are gathered without texts; a text moves once to its block and once to its window.
+A conversation of more than ``block`` turns is cut into blocks by turn number, as wide as its numbers lie apart, so
+that it is no single task's work (its turns without a number are one block, and so are those of one number). Blocks do not show
+in the result: how many tokens of an open window a block leaves to the next depends on what it gets only up to the first
+turn that starts a window, so each block has a short table of this, and the tables are read one after the other. All
+that is gathered without texts; a text moves once to its block and once to its window.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def turn_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4).cast("long") + 4
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, block: int = 1024, tokens=turn_tokens) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, block: int = 1024, tokens=turn_tokens, broadcast_rows: int = 500_000) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id, window, text, n_repeated, n_own, mask.
 
     mask is an array of (start, len) in characters of ``text``. ``tokens`` gives a text column's count, at
@@ -59,10 +61,12 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     left out. An empty table gives no windows. Other columns are ignored. The system turn is a first turn with
     role "system"; one that leaves no room makes every later turn stand alone.
     """
-    t = conversations.where("conv_id is not null").select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).alias("blk")
-    )
-    t = t.withColumn("tok", tokens(F.col("text")))
+    t = conversations.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lengths = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").cast("double").alias("low"), F.max("turn").cast("double").alias("high")).where(F.col("n") > block)
+    lengths = cut(lengths.select("conv_id", "low", F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / block)).alias("width")))
+    t = t.join(F.broadcast(lengths) if lengths.count() <= broadcast_rows else lengths, "conv_id", "left")
+    place = F.when(F.col("width").isNull(), 0).otherwise(F.floor((F.col("turn").cast("double") - F.col("low")) / F.col("width")))
+    t = t.select("conv_id", "turn", "role", "text", F.coalesce(place, F.lit(-1)).cast("long").alias("blk"), tokens(F.col("text")).alias("tok"))
     blocks = t.groupBy("conv_id", "blk").agg(F.count(F.lit(1)).alias("b_n"), F.min(F.struct("turn", "role", "tok")).alias("head"))
     past = Window.partitionBy("conv_id").orderBy("blk")
     first = F.first("head").over(past)
@@ -72,33 +76,58 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
         F.when(first["role"] == "system", first["tok"]).otherwise(0).alias("sys_tok"),
     )
     # Where windows start: places in the block, of its turns by number, role and tokens (texts only tell ties apart).
-    body = F.greatest(F.lit(budget - history) - F.col("sys_tok"), F.lit(0))
-    none = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).cast("long").alias("used"))
+    zero = F.lit(0).cast("long")
+    body = F.greatest(F.lit(budget - history) - F.col("sys_tok"), zero)
+    is_sys = lambda k: (F.col("n_before") == 0) & (k == 1) & (F.col("sys_tok") > 0)
+    light = t.groupBy("conv_id", "blk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "tok"))).alias("a")).join(blocks, ["conv_id", "blk"])
+    own = F.transform("a", lambda x, i: F.when(is_sys(i + 1), 0).otherwise(x["tok"]).cast("long"))
+    light = cut(light.select("conv_id", "blk", "n_before", "sys_tok", body.cast("long").alias("body"), own.alias("own")))
+    # What a block leaves open, by what it gets: all of its tokens more, or what follows from the turn that starts a window.
+    sum_of = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+    walk = lambda a, used: F.aggregate(a, used, lambda s, x: F.when((s < 0) | (s + x > F.col("body")), x).otherwise(s + x))
+    fits = F.aggregate("own", F.struct(zero.alias("s"), zero.alias("k")), lambda n, x: F.struct((n["s"] + x).alias("s"), (n["k"] + F.when(n["s"] + x <= F.col("body"), 1).otherwise(0)).alias("k")))["k"]
+    steps = F.sequence(F.lit(1), F.least(fits + 1, F.size("own").cast("long")).cast("int"))
+    tables = light.join(lengths.select("conv_id"), "conv_id", "left_semi").select(
+        "conv_id", "body",
+        F.struct("blk", sum_of(F.col("own")).alias("total"), F.transform(steps, lambda k: sum_of(F.slice("own", F.lit(1), k))).alias("sums"), F.transform(steps, lambda k: walk(F.slice("own", k, F.size("own")), F.lit(-1).cast("long"))).alias("left")).alias("b"),
+    )
+    start = F.struct(F.lit(-1).cast("long").alias("used"), F.expr("cast(array() as array<struct<blk: bigint, used: bigint>>)").alias("got"))
+
+    def hand_on(now: Column, b: Column) -> Column:
+        u = now["used"]
+        later = F.element_at(b["left"], F.size(F.filter(b["sums"], lambda s: (u >= 0) & (u + s <= F.col("body")))) + 1)
+        return F.struct(F.when((u >= 0) & (u + b["total"] <= F.col("body")), u + b["total"]).otherwise(later).alias("used"), F.array_append(now["got"], F.struct(b["blk"].alias("blk"), u.alias("used"))).alias("got"))
+
+    got = tables.groupBy("conv_id").agg(F.max("body").alias("body"), F.array_sort(F.collect_list("b")).alias("b")).select("conv_id", F.explode(F.aggregate("b", start, hand_on)["got"]).alias("g")).select("conv_id", "g.blk", "g.used")
+    light = light.join(got, ["conv_id", "blk"], "left").withColumn("used", F.coalesce("used", F.lit(-1).cast("long")))
+    begin = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.col("used").alias("used"))
 
     def take(now: Column, x: Column) -> Column:
-        new = (F.size(now["starts"]) == 0) | (now["used"] + x["own_tok"] > body)
-        return F.struct(F.when(new, F.array_append(now["starts"], x["k"])).otherwise(now["starts"]).alias("starts"), (F.when(new, F.lit(0).cast("long")).otherwise(now["used"]) + x["own_tok"]).alias("used"))
+        new = (now["used"] < 0) | (now["used"] + x["own"] > F.col("body"))
+        return F.struct(F.when(new, F.array_append(now["starts"], x["k"])).otherwise(now["starts"]).alias("starts"), F.when(new, x["own"]).otherwise(now["used"] + x["own"]).alias("used"))
 
-    is_sys = lambda k: (F.col("n_before") == 0) & (k == 1) & (F.col("sys_tok") > 0)
-    light = t.groupBy("conv_id", "blk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "tok"))).alias("a")).join(blocks, ["conv_id", "blk"])
-    turns = F.transform("a", lambda x, i: F.struct((i + 1).alias("k"), F.when(is_sys(i + 1), 0).otherwise(x["tok"]).cast("long").alias("own_tok")))
-    light = light.select("conv_id", "blk", "n_before", "sys_tok", F.aggregate(turns, none, take)["starts"].alias("starts"))
-    light = light.withColumn("w_before", F.sum(F.size("starts")).over(Window.partitionBy("conv_id").orderBy("blk")) - F.size("starts"))
+    numbered = F.transform("own", lambda x, i: F.struct((i + 1).alias("k"), x.alias("own")))
+    light = light.select("conv_id", "blk", "n_before", "sys_tok", "own", F.aggregate(numbered, begin, take)["starts"].alias("starts"))
+    light = cut(light.withColumn("w_before", F.sum(F.size("starts")).over(Window.partitionBy("conv_id").orderBy("blk")) - F.size("starts")))
 
     in_block = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "tok", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("k", F.count(F.lit(1)).over(in_block)).join(light, ["conv_id", "blk"])
-    t = t.withColumns({"is_sys": is_sys(F.col("k")), "window": F.col("w_before") + F.size(F.filter("starts", lambda x: x <= F.col("k"))) - 1}).withColumn("own_tok", F.when(F.col("is_sys"), 0).otherwise(F.col("tok")).cast("long"))
-    to_end = Window.partitionBy("conv_id", "blk", "window").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"idx": F.col("k") + F.col("n_before"), "rest": F.sum("own_tok").over(to_end)})
-    t = cut(t.select("conv_id", "window", "idx", "role", "text", "is_sys", "own_tok", "sys_tok", "rest"))
-    starts = t.groupBy("conv_id", "window").agg(F.sum("own_tok").alias("used"), F.max("sys_tok").alias("sys"))
+    window_of = lambda k: F.col("w_before") + F.size(F.filter("starts", lambda x: x <= k)) - 1
+    t = t.withColumn("k", F.count(F.lit(1)).over(in_block)).join(light.drop("own"), ["conv_id", "blk"])
+    t = cut(t.select("conv_id", window_of(F.col("k")).alias("window"), (F.col("k") + F.col("n_before")).alias("idx"), "role", "text", is_sys(F.col("k")).alias("is_sys")))
+    # From which of a window's turns on the next one repeats them, without texts.
+    turns = light.select("conv_id", "blk", "n_before", "sys_tok", "w_before", "starts", F.posexplode("own").alias("i", "own"))
+    turns = turns.select("conv_id", window_of(F.col("i") + 1).alias("window"), "sys_tok", "own", (F.col("i") + 1 + F.col("n_before")).alias("idx"), is_sys(F.col("i") + 1).alias("is_sys"))
+    starts = cut(turns.groupBy("conv_id", "window").agg(F.sum("own").alias("used"), F.max("sys_tok").alias("sys"), F.array_sort(F.collect_list(F.struct("idx", "own", "is_sys"))).alias("a")))
+    room = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(budget) - F.col("sys") - F.col("used")))
+    after = starts.select("conv_id", (F.col("window") - 1).alias("window"), room.cast("long").alias("room"))
+    seen = F.struct(zero.alias("s"), F.lit(None).cast("long").alias("since"))
+    back_to = F.aggregate(F.reverse("a"), seen, lambda n, x: F.struct((n["s"] + x["own"]).alias("s"), F.when((n["s"] + x["own"] <= F.col("room")) & ~x["is_sys"], x["idx"]).otherwise(n["since"]).alias("since")))["since"]
+    since = starts.select("conv_id", "window", "a").join(after, ["conv_id", "window"]).select("conv_id", "window", back_to.alias("since")).where("since is not null")
 
     own = t.select("conv_id", "window", F.lit(2).alias("kind"), "idx", "role", "text")
-    room = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(budget) - F.col("sys") - F.col("used")))
-    after = starts.select("conv_id", (F.col("window") - 1).alias("window"), room.alias("room"))
-    back = t.where(~F.col("is_sys") & (F.col("rest") <= history)).join(after, ["conv_id", "window"]).where("rest <= room")
+    back = t.where(~F.col("is_sys")).join(since, ["conv_id", "window"]).where("idx >= since")
     back = back.select("conv_id", (F.col("window") + 1).alias("window"), F.lit(1).alias("kind"), "idx", "role", "text")
-    system = t.where("is_sys").select("conv_id", "role", "text", "idx").join(starts.where("window > 0"), "conv_id")
+    system = t.where("is_sys").select("conv_id", "role", "text", "idx").join(starts.where("window > 0").select("conv_id", "window"), "conv_id")
     system = system.select("conv_id", "window", F.lit(0).alias("kind"), "idx", "role", "text")
     rows = own.unionByName(back).unionByName(system).withColumns({"e_role": escape_role(F.col("role")), "e_text": escape(F.col("text"))})
     rows = rows.withColumn("piece", F.concat(F.lit(OPEN), "e_role", F.lit("\n"), "e_text", F.lit(CLOSE)))
@@ -159,10 +188,10 @@ WITH RECURSIVE c AS (
 ), m AS (
   SELECT *, greatest(before - sys_tok, 0) AS place, idx = 1 AND sys_tok > 0 AS is_sys, CASE WHEN idx = 1 AND sys_tok > 0 THEN 0 ELSE tok END AS own FROM n
 ), walk AS (
-  SELECT conv_id, idx, turn // 1024 AS blk, 0::BIGINT AS win, own::BIGINT AS used FROM m WHERE idx = 1
+  SELECT conv_id, idx, 0::BIGINT AS win, own::BIGINT AS used FROM m WHERE idx = 1
   UNION ALL
-  SELECT m.conv_id, m.idx, m.turn // 1024, CASE WHEN fresh THEN win + 1 ELSE win END, CASE WHEN fresh THEN m.own ELSE used + m.own END
-  FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.idx = w.idx + 1, LATERAL (SELECT m.turn // 1024 IS DISTINCT FROM w.blk OR used + m.own > greatest(1024 - 256 - m.sys_tok, 0) AS fresh)
+  SELECT m.conv_id, m.idx, CASE WHEN fresh THEN win + 1 ELSE win END, CASE WHEN fresh THEN m.own ELSE used + m.own END
+  FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.idx = w.idx + 1, LATERAL (SELECT used + m.own > greatest(1024 - 256 - m.sys_tok, 0) AS fresh)
 ), p AS (SELECT m.*, win FROM m JOIN walk USING (conv_id, idx)),
 starts AS (SELECT conv_id, win, min(place) AS begins, least(256, greatest(0, 1024 - max(sys_tok) - sum(own))) AS room FROM p GROUP BY ALL),
 written AS (

@@ -4,9 +4,10 @@ All rolling word k-gram hashes of all texts are joined with the grams of license
 text position p with template position q votes for the diagonal p - q, once for each q. A diagonal needs
 ``grams // 40 + 1`` votes, so that a long template's everyday words make none. Neighbouring diagonals, as
 small insertions and gaps leave them, are merged; and a merged span is verified word by word: how many of
-the template's words, each counted once, stand in the span beside their right neighbours, and that the
-span is not much longer than the template. A phrase is a template of which every word must be found on one
-diagonal, so its places are exactly where its words stand consecutively.
+the template's words, each counted once, stand in the span beside their right neighbours, that the words
+which tell licenses apart are among them, and that the span is not much longer than the template. A phrase,
+and a template of at most ``SHORT`` words, must be found whole on one diagonal: its places are exactly where its words
+stand consecutively, so half of a short sentence that any text may hold labels nothing.
 
 The template grams are broadcast after a check of their size. Texts are not shuffled: only votes are, and
 they are gathered into sets before they are.
@@ -53,9 +54,10 @@ TEMPLATES = [
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program " + _GNU_END.format("") + " program. If not, see https://www.gnu.org/licenses/", "gpl"),
     ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
-    ("This work is licensed under the GNU General Public License, version 3", "gpl"),
+    ("GNU General Public License", "gpl"),
     ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library " + _GNU_END.format("Lesser") + " library", "lgpl"),
-    ("under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("GNU Lesser General Public License", "lgpl"),
+    ("GNU Affero General Public License", "agpl"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl"),
     (_BSD_HEAD + " " + _BSD_TAIL, "bsd"),
     (_BSD_HEAD + " " + _BSD_NAMES + " " + _BSD_TAIL, "bsd"),
@@ -64,13 +66,16 @@ TEMPLATES = [
     ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "isc"),
     ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unlicense"),
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("Creative Commons Attribution License", "cc-by"),
+    ("Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Creative Commons Attribution 3.0", "cc-by"),
+    ("Creative Commons Attribution-ShareAlike", "cc-by-sa"),
+    ("Creative Commons Attribution-NonCommercial", "cc-by-nc"),
     ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "cc0"),
-    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("CC BY-NC 4.0", "cc-by-nc"),
 ]
-K = 2
+TELLING = ["affero", "apache", "gnu", "lesser", "mozilla"]  # words that a longer template's span must hold, if the template does
+K, SHORT = 2, 12
 
 
 def text_words(text: str) -> np.ndarray:
@@ -80,15 +85,26 @@ def text_words(text: str) -> np.ndarray:
 
 
 def template_grams(spark: SparkSession, phrases: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
-    """gram, t (number), q (position), grams (in the template), label, phrase: one row for each gram. A row
-    with t = -1 stands for the mark that each text sends along with its number of words."""
-    rows = [(0, -1, 0, 1, "", False)]
+    """gram, t (number), q (position), grams (in the template), label, phrase, whole (all grams on one diagonal): one row for
+    each gram. A row with t = -1 stands for the mark that each text sends along with its number of words."""
+    rows = [(0, -1, 0, 1, "", False, False)]
     for t, (text, label, phrase) in enumerate([(*p, True) for p in phrases] + [(*x, False) for x in templates]):
         found = gram_hashes(text_words(text), K).view(np.int64).tolist()
         if not found:
             raise ValueError(f"a template needs {K} words: {text!r}")
-        rows += [(g, t, q, len(found), label, phrase) for q, g in enumerate(found)]
-    return spark.createDataFrame(rows, "gram bigint, t int, q int, grams int, label string, phrase boolean")
+        rows += [(g, t, q, len(found), label, phrase, phrase or len(found) + K - 1 <= SHORT) for q, g in enumerate(found)]
+    return spark.createDataFrame(rows, "gram bigint, t int, q int, grams int, label string, phrase boolean, whole boolean")
+
+
+def telling_places(spark: SparkSession, phrases: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
+    """t, telling: for each telling word of a template, the positions of the grams that hold it."""
+    rows = []
+    for t, (text, _) in enumerate(phrases + templates):
+        found = text_words(text).tolist()
+        known = {w: int(text_words(w)[0]) for w in TELLING}
+        places = [sorted({q for i, h in enumerate(found) if h == known[w] for q in (i - 1, i) if 0 <= q < len(found) - K + 1}) for w in TELLING if known[w] in found]
+        rows.append((t, places))
+    return spark.createDataFrame(rows, "t int, telling array<array<int>>")
 
 
 def rolling_grams(docs: DataFrame) -> DataFrame:
@@ -128,17 +144,17 @@ def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, slack: int = 3,
     # A set of places: repeated rows of a text vote once, and no set is larger than its template.
     votes = (
         rolling_grams(docs).join(F.broadcast(grams) if small else grams, "gram")
-        .groupBy("doc_id", "h", "t", "label", "phrase", "grams", (F.col("p") - F.col("q")).alias("diagonal"))
+        .groupBy("doc_id", "h", "t", "label", "phrase", "whole", "grams", (F.col("p") - F.col("q")).alias("diagonal"))
         .agg(F.collect_set("q").alias("places"), F.max("n_words").alias("n_words"))
-        .where(F.size("places") >= F.when(F.col("phrase"), F.col("grams")).otherwise(F.floor(F.col("grams") / 40) + 1))
+        .where(F.size("places") >= F.when(F.col("whole"), F.col("grams")).otherwise(F.floor(F.col("grams") / 40) + 1))
     )
-    # A phrase stays on one diagonal, where nothing has to be merged; for other templates a new span begins
+    # What is found whole stays on one diagonal, where nothing has to be merged; for other templates a new span begins
     # where the next diagonal is too far away.
-    line = Window.partitionBy("doc_id", "h", "t", F.when(F.col("phrase"), F.col("diagonal"))).orderBy("diagonal")
+    line = Window.partitionBy("doc_id", "h", "t", F.when(F.col("whole"), F.col("diagonal"))).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > slack, F.lit(True))
     merged = (
-        votes.withColumn("span", F.sum(apart.cast("int")).over(line)).withColumn("span", F.when(F.col("phrase"), F.col("diagonal")).otherwise(F.col("span")))
-        .groupBy("doc_id", "h", "t", "label", "phrase", "grams", "span")
+        votes.withColumn("span", F.sum(apart.cast("int")).over(line)).withColumn("span", F.when(F.col("whole"), F.col("diagonal")).otherwise(F.col("span")))
+        .groupBy("doc_id", "h", "t", "label", "phrase", "whole", "grams", "span")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("n_words").alias("n_words"),
             F.min(F.col("diagonal") + F.array_min("places")).alias("first"), F.max(F.col("diagonal") + F.array_max("places") + K).alias("end"),
@@ -148,7 +164,9 @@ def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, slack: int = 3,
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda q: F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda j: q + j)))))
     merged = merged.withColumn("coverage", F.when(F.col("t") < 0, 0.0).otherwise(covered / (F.col("grams") + K - 1)))
     fits = F.col("end") - F.col("first") <= 2 * (F.col("grams") + K) + slack
-    ok = F.col("phrase") | (F.col("t") < 0) | (fits & (F.col("coverage") >= least))
+    merged = merged.join(F.broadcast(telling_places(docs.sparkSession, phrases, templates)), "t", "left")  # a row a template
+    told = F.forall("telling", lambda places: F.arrays_overlap(places, F.col("places")))
+    ok = F.col("whole") | (F.col("t") < 0) | (fits & told & (F.col("coverage") >= least))
     return merged.where(ok).select("doc_id", "h", "n_words", "t", "label", "phrase", "first", (F.col("end") - 1).alias("last"), "coverage")
 
 
@@ -178,23 +196,27 @@ def _values() -> str:
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
-WITH tw AS (SELECT t, label, phrase, {_WORDS} AS w FROM (VALUES {_values()}) v(t, text, label, phrase)),
-tg AS (SELECT t, label, phrase, i - 1 AS q, w[i] || ' ' || w[i + 1] AS gram, len(w) - 1 AS grams FROM tw, unnest(range(1, len(w))) u(i)),
+WITH tw AS (SELECT *, phrase OR len(w) <= {SHORT} AS whole FROM (SELECT t, label, phrase, {_WORDS} AS w FROM (VALUES {_values()}) v(t, text, label, phrase))),
+tg AS (SELECT t, label, phrase, whole, i - 1 AS q, w[i] || ' ' || w[i + 1] AS gram, len(w) - 1 AS grams FROM tw, unnest(range(1, len(w))) u(i)),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 dg AS (SELECT doc_id, i - 1 AS p, w[i] || ' ' || w[i + 1] AS gram FROM d, unnest(range(1, len(w))) u(i)),
 votes AS (
-  SELECT doc_id, t, label, phrase, grams, p - q AS diagonal, list_sort(list(DISTINCT q)) AS places FROM dg JOIN tg USING (gram) GROUP BY ALL
-  HAVING count(DISTINCT q) >= CASE WHEN phrase THEN grams ELSE grams // 40 + 1 END
+  SELECT doc_id, t, label, phrase, whole, grams, p - q AS diagonal, list_sort(list(DISTINCT q)) AS places FROM dg JOIN tg USING (gram) GROUP BY ALL
+  HAVING count(DISTINCT q) >= CASE WHEN whole THEN grams ELSE grams // 40 + 1 END
 ), marked AS (
-  SELECT *, phrase OR coalesce(diagonal - lag(diagonal) OVER w > 3, true) AS apart FROM votes WINDOW w AS (PARTITION BY doc_id, t ORDER BY diagonal)
+  SELECT *, whole OR coalesce(diagonal - lag(diagonal) OVER w > 3, true) AS apart FROM votes WINDOW w AS (PARTITION BY doc_id, t ORDER BY diagonal)
 ), numbered AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM marked),
 merged AS (
-  SELECT doc_id, t, label, phrase, grams, list_distinct(flatten(list(places))) AS places, min(diagonal + list_min(places)) AS first, max(diagonal + list_max(places)) + 2 AS stop
-  FROM numbered GROUP BY doc_id, t, label, phrase, grams, span
+  SELECT doc_id, t, label, phrase, whole, grams, span, list_distinct(flatten(list(places))) AS places, min(diagonal + list_min(places)) AS first, max(diagonal + list_max(places)) + 2 AS stop
+  FROM numbered GROUP BY doc_id, t, label, phrase, whole, grams, span
 ), measured AS (
   SELECT *, len(list_distinct(list_concat(places, list_transform(places, lambda q: q + 1)))) / (grams + 1)::DOUBLE AS coverage FROM merged
+), telling AS (SELECT t, x, i - 1 AS place FROM tw, unnest(range(1, len(w) + 1)) u(i), unnest({TELLING}) v(x) WHERE w[i] = x),
+missing AS (
+  SELECT doc_id, t, span FROM measured JOIN telling USING (t) WHERE NOT whole GROUP BY doc_id, t, span, x
+  HAVING NOT bool_or(list_contains(places, place) OR list_contains(places, place - 1))
 ), fit AS (
-  SELECT * FROM measured WHERE phrase OR (stop - first <= 2 * (grams + 2) + 3 AND coverage >= 0.5)
+  SELECT * FROM measured m WHERE whole OR (stop - first <= 2 * (grams + 2) + 3 AND coverage >= 0.5 AND NOT EXISTS (SELECT 1 FROM missing x WHERE x.doc_id = m.doc_id AND x.t = m.t AND x.span = m.span))
 ), found AS (
   SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage)::DOUBLE AS score

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treefuse.shared import at_end
+from treefuse.shared import cut as cut
 from treefuse.shared import cut_dir as shared_dir
+from treefuse.shared import new_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder; later jobs read them from there, and Spark
-    removes them when nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -30,26 +25,8 @@ def only(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(c.alias(k) for k, c in columns.items()))
 
 
-_TABLES: list[str] = []
-
-
-def scratch_table(kind: str) -> str:
-    """A new name for a table in the warehouse."""
-    _TABLES.append(f"{kind}_{uuid.uuid4().hex}")
-    return _TABLES[-1]
-
-
-def scratch_tables() -> int:
-    """How many there are so far."""
-    return len(_TABLES)
-
-
-def drop_scratch(spark: SparkSession, since: int) -> None:
-    """Drops the tables that operators have made after the first ``since``: for when what comes from them is written."""
-    while len(_TABLES) > since:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-
-
-def remove_folder(uri: str) -> None:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.delete_dir(path)
+def scratch_table(spark: SparkSession, kind: str) -> tuple[str, str]:
+    """A new name for a table and a place for it in the shared folder; both go when the innermost open scope ends."""
+    folder, name = new_folder(spark, kind), f"{kind}_{uuid.uuid4().hex}"
+    at_end(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    return name, folder

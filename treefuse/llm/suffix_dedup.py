@@ -184,9 +184,9 @@ def chunks(docs: DataFrame, chunk_bytes: int, length: int) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The same rows as a table in the warehouse, dealt by the key once: later joins on it leave these rows in place."""
-    name = scratch_table("texts")
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "none").saveAsTable(name)
+    """The same rows as a table in the shared folder, dealt by the key once: later joins on it leave these rows in place."""
+    name, folder = scratch_table(df.sparkSession, "texts")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "none").option("path", folder).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
