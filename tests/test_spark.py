@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from treefuse.functions import evaluate, matrices, weights
+from treefuse.functions.quantiles import exact_quantiles
 from treefuse.operators import fusion, hierarchy, rooted_tree
-from treefuse.operators.spanning_tree import prim, spanning_tree
+from treefuse.operators.spanning_tree import near_pairs, prim, spanning_tree, spanning_tree_of_features
 from treefuse.plans import bicluster, path, sparse
-from treefuse.shared import cut
+from treefuse.shared import cut, running_sums
 from treefuse.sources.matrix import read_fit, samples, write_fit
 
 
@@ -32,6 +33,65 @@ def test_spanning_tree_is_unique_whatever_the_blocks(spark, shape):
     assert pairs(spanning_tree(points, block_rows=1000, prune=False)) == want
 
 
+def test_far_groups_of_blocks_are_joined(spark):
+    """Clouds far apart, an outlier, and a chain between two of them: what no near pair of blocks joins."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(40, 2)) * 0.1 + c for c in ((0, 0), (9, 1), (4, 30))] + [np.array([[60.0, -40.0]]), np.stack([np.linspace(0.5, 8.5, 9), np.zeros(9)], 1)])
+    u, v, _ = prim(np.arange(len(x)), x)
+    assert pairs(spanning_tree(cut(matrix(spark, x)), block_rows=10)) == set(zip(u.tolist(), v.tolist(), strict=True))
+
+
+def test_near_pairs_grow_with_blocks(spark):
+    """Boxes of a grid over a square: each has the same few neighbours, however many there are."""
+    found = {}
+    for side in (8, 24):
+        at = [(i * side + j, i / side, j / side) for i in range(side) for j in range(side)]
+        rows = [(0, b, [(0, x, x + 1 / side), (1, y, y + 1 / side)]) for b, x, y in at]
+        boxes = spark.createDataFrame(rows, "g int, block long, box array<struct<dim: long, low: double, high: double>>")
+        reach = spark.createDataFrame([(0, 0.5 / side)], "g int, far double")
+        got = {(r["block"], r["block2"]) for r in near_pairs(boxes, reach).collect()}
+        assert got == {(a, b) for a, x, y in at for b, z, w in at if a < b and max(abs(x - z), abs(y - w)) < 1.5 / side}
+        found[side] = len(got) / len(at)
+    assert found[24] < 1.2 * found[8]
+
+
+def test_levels_without_fusion_cost_no_jobs(spark):
+    """Two far points among many penalties below their fusion: one look passes over all of them."""
+    nodes = path.start_nodes(matrix(spark, np.array([[0.0], [1.0], [50.0]])), norm=False, bandwidth=1e9)
+    jobs = lambda lambdas: (spark.sparkContext.setJobGroup(f"n{len(lambdas)}", ""), path.follow(nodes, lambdas, task_cells=0), len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"n{len(lambdas)}")))[1:]
+    few, n_few = jobs([0.1, 0.2])
+    many, n_many = jobs([0.1 + 0.2 * i / 300 for i in range(300)])
+    spark.sparkContext.setJobGroup("", "")
+    assert n_many == n_few and many.levels.count() == 300 and many.levels.where("n_in != 3 or n_out != 3").count() == 0
+    assert many.levels.select("level").distinct().count() == 300
+
+
+def test_quantiles_by_selection(spark):
+    rng = np.random.default_rng(12)
+    groups = {0: rng.normal(size=501).tolist(), 1: [3.0] * 400 + [5.0], 2: [7.0], 3: rng.integers(0, 4, 100).astype(float).tolist()}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [(0, None), (9, None)], "g int, v double")
+    probabilities = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "v", probabilities).collect()}
+    assert got.keys() == {(g, p) for g in groups for p in probabilities}
+    assert all(np.isclose(q, np.quantile(groups[g], p), atol=1e-12) for (g, p), q in got.items())
+
+
+def test_running_sums_and_leaf_order_by_joins(spark):
+    df = spark.createDataFrame([(i % 2, i, i % 5) for i in range(50)], "g int, o long, v long")
+    got = {(r["g"], r["o"]): r["s"] for r in running_sums(df, ["g"], ["o"], "s", F.col("v")).collect()}
+    assert got == {(i % 2, i): sum(j % 5 for j in range(i % 2, i + 1, 2)) for i in range(50)}
+    merges = spark.createDataFrame([(0, 1, -3, -1), (0, 2, -5, 1), (0, 3, -2, -4), (0, 4, 3, 2), (1, 1, -2, -1)], "g int, step long, left long, right long")
+    a, b = ({tuple(r) for r in hierarchy.leaf_order(merges, n).collect()} for n in (0, 100))
+    assert a == b and len(a) == 7
+
+
+def test_spanning_tree_of_columns_by_tiles(spark):
+    x = np.round(np.random.default_rng(13).normal(size=(40, 11)), 1)
+    x[:, 4] = x[:, 9]
+    u, v, _ = prim(np.arange(11), x.T.copy())
+    assert pairs(spanning_tree_of_features(matrix(spark, x), tile=4)) == set(zip(u.tolist(), v.tolist(), strict=True))
+
+
 def test_spanning_tree_by_joins(spark):
     x = np.random.default_rng(1).integers(0, 5, (30, 2)).astype(float)
     u, v, _ = prim(np.arange(30), x)

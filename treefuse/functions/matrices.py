@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treefuse.functions.quantiles import exact_quantiles
+
 
 def cells(samples: DataFrame) -> DataFrame:
     """g, sample_id, x -> g, sample_id, feature_idx (from 0), value."""
@@ -34,8 +36,7 @@ def sample_rows(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
 
 def quantiles(samples: DataFrame, probabilities: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
     """g, p, value: exact quantiles of all cells, nulls left out, linear between neighbours."""
-    found = cells(samples).where("value is not null").groupBy("g").agg(F.percentile("value", F.array(*map(F.lit, probabilities))).alias("q"))
-    return found.select("g", F.explode(F.arrays_zip(F.array(*map(F.lit, probabilities)).alias("p"), F.col("q").alias("value"))).alias("z")).select("g", F.col("z.p").alias("p"), F.col("z.value").alias("value"))
+    return exact_quantiles(cells(samples), "value", probabilities).withColumnRenamed("q", "value")
 
 
 def breaks(samples: DataFrame, n: int) -> DataFrame:

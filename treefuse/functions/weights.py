@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treefuse.functions.quantiles import exact_quantiles
+
 
 def normalise(edges: DataFrame) -> DataFrame:
     """Lengths divided by the root of their mean square. A group whose lengths are all 0 keeps them."""
@@ -14,7 +16,7 @@ def normalise(edges: DataFrame) -> DataFrame:
 
 def bandwidth(edges: DataFrame) -> DataFrame:
     """g, bandwidth: the median of squared lengths (exact)."""
-    return edges.groupBy("g").agg(F.median(F.col("dist") * F.col("dist")).alias("bandwidth"))
+    return exact_quantiles(edges.select("g", (F.col("dist") * F.col("dist")).alias("d2")), "d2", [0.5]).select("g", F.col("q").alias("bandwidth"))
 
 
 def gaussian(edges: DataFrame, width: DataFrame | float) -> DataFrame:
@@ -42,6 +44,6 @@ def adjacency_lists(edges: DataFrame) -> DataFrame:
 def outlier_floor(tree: DataFrame, depth_thresh: int = 10, prob_thresh: float = 0.1) -> DataFrame:
     """Nodes that cut off fewer than ``depth_thresh`` others get at least the ``prob_thresh`` quantile of such
     nodes' edge weights. The root's 0 counts among them where its balance is that small."""
-    floor = tree.where(F.col("balance") < depth_thresh).groupBy("g").agg(F.percentile("edge_weight", F.lit(prob_thresh)).alias("__floor"))
+    floor = exact_quantiles(tree.where(F.col("balance") < depth_thresh), "edge_weight", [prob_thresh]).select("g", F.col("q").alias("__floor"))
     lifted = F.when((F.col("balance") < depth_thresh) & F.col("parent_id").isNotNull(), F.greatest("edge_weight", "__floor")).otherwise(F.col("edge_weight"))
     return tree.join(floor, "g", "left").withColumn("edge_weight", lifted).drop("__floor")

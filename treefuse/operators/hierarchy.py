@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treefuse.plans.path import compose
-from treefuse.shared import cut, settle, tidy
+from treefuse.operators.tree_pieces import subtree_sizes
+from treefuse.shared import cut, mark, recut, running_sums, settle, tidy
 from treefuse.sources.matrix import Fit
 
 
@@ -45,10 +46,10 @@ def merge_table(pointers: DataFrame, levels: DataFrame, after: DataFrame | None
     """
     after = levels.select("g").distinct().withColumn("after", F.lit(0)) if after is None else after.withColumnRenamed("level", "after")
     used = pointers.join(after, "g").where("level > after").drop("after")
-    leaves = used.groupBy("g", "node_id").agg(F.min("level").alias("l")).select("g", "node_id", F.row_number().over(Window.partitionBy("g").orderBy("node_id")).alias("leaf"))
+    leaves = running_sums(used.select("g", "node_id").distinct(), ["g"], ["node_id"], "leaf")
     sized = used.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("g", "level", "rep_id"))).where("members > 1")
     clusters = sized.groupBy("g", "level", "rep_id").agg(F.count(F.lit(1)).alias("members"))
-    clusters = cut(clusters.withColumn("last", F.sum(F.col("members") - 1).over(Window.partitionBy("g").orderBy("level", "rep_id"))))
+    clusters = cut(running_sums(clusters, ["g"], ["level", "rep_id"], "last", F.col("members") - 1))
     # What a member is called: the last step of the latest earlier cluster that it stands for, else its leaf.
     earlier = clusters.select("g", F.col("rep_id").alias("node_id"), F.col("level").alias("made"), F.col("last").alias("step"))
     named = sized.join(earlier, ["g", "node_id"], "left").groupBy("g", "level", "rep_id", "node_id").agg(F.max(F.when(F.col("made") < F.col("level"), F.col("step"))).alias("step"))
@@ -64,14 +65,14 @@ def merge_table(pointers: DataFrame, levels: DataFrame, after: DataFrame | None
 
 
 @tidy
-def leaf_order(merges: DataFrame, most: int = 100_000) -> DataFrame:
-    """g, pos (from 1), leaf: an order in which no branches cross, each merge's left part before its right one.
-    For dendrograms to look at: a group may have ``most`` merges."""
+def leaf_order(merges: DataFrame, task_merges: int = 100_000) -> DataFrame:
+    """g, pos (from 1), leaf: an order in which no branches cross, each merge's left part before its right one. Where a group has
+    more than ``task_merges`` merges, all are ordered by joins."""
     kind = merges.schema["g"].dataType.simpleString()
+    if (merges.groupBy("g").count().agg(F.max("count")).first()[0] or 0) > task_merges:
+        return order_by_joins(merges)
 
     def run(table: pa.Table) -> pa.Table:
-        if table.num_rows > most:
-            raise ValueError(f"a dendrogram of more than {most} merges")
         rows = {s: (a, b) for s, a, b in zip(*(table.column(c).to_pylist() for c in ("step", "left", "right")), strict=True)}
         stack, out = [max(rows)], []
         while stack:
@@ -85,6 +86,22 @@ def leaf_order(merges: DataFrame, most: int = 100_000) -> DataFrame:
     return merges.select("g", "step", "left", "right").groupBy("g").applyInArrow(run, f"g {kind}, pos int, leaf bigint")
 
 
+def order_by_joins(merges: DataFrame) -> DataFrame:
+    """The same for trees of any size: a leaf stands behind the leaves of all left parts beside its way to the root, which
+    are added up by doubling, about log(depth) rounds of joins."""
+    sides = [merges.select("g", F.col(c).alias("node_id"), F.col("step").alias("parent_id"), F.when(F.lit(c) == "right", F.col("left")).alias("beside")) for c in ("left", "right")]
+    tops = merges.groupBy("g").agg(F.max("step").alias("node_id")).select("g", "node_id", F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast("bigint").alias("beside"))
+    nodes = cut(sides[0].unionByName(sides[1]).unionByName(tops))
+    # Each merge has two parts, so n nodes have (n + 1) / 2 leaves.
+    leaves = subtree_sizes(nodes.select("g", "node_id", "parent_id")).select("g", F.col("node_id").alias("beside"), ((F.col("size") + 1) / 2).cast("bigint").alias("more"))
+    since = mark()
+    now = cut(nodes.join(leaves, ["g", "beside"], "left").select("g", "node_id", F.col("parent_id").alias("far"), F.coalesce("more", F.lit(0)).alias("before")))
+    while not now.where("far is not null").isEmpty():
+        hop = now.select("g", F.col("node_id").alias("far"), F.col("far").alias("further"), F.col("before").alias("more"))
+        now = recut(since, now.join(hop, ["g", "far"], "left").select("g", "node_id", F.col("further").alias("far"), (F.col("before") + F.coalesce("more", F.lit(0))).alias("before")))
+    return now.where("node_id < 0").select("g", (F.col("before") + 1).cast("int").alias("pos"), (-F.col("node_id")).alias("leaf"))
+
+
 def leaf_labels(order: DataFrame, labels: DataFrame) -> DataFrame:
     """order(g, pos, leaf), labels(g, leaf, label) -> g, pos, label: the colours under a dendrogram."""
     return order.join(labels, ["g", "leaf"], "left").select("g", "pos", "label")
@@ -93,7 +110,7 @@ def leaf_labels(order: DataFrame, labels: DataFrame) -> DataFrame:
 def numbered(samples_rep: DataFrame) -> DataFrame:
     """g, sample_id, key -> g, sample_id, label: keys numbered from 1 by their smallest sample."""
     first = samples_rep.groupBy("g", "key").agg(F.min("sample_id").alias("first"))
-    label = first.withColumn("label", F.row_number().over(Window.partitionBy("g").orderBy("first"))).drop("first")
+    label = running_sums(first, ["g"], ["first"], "label").withColumn("label", F.col("label").cast("int")).drop("first")
     return samples_rep.join(label, ["g", "key"]).select("g", "sample_id", "label")
 
 
@@ -119,7 +136,7 @@ def cut_merges(samples: DataFrame, whole: Fit, after: DataFrame, k: int) -> Data
     tops = kept.select("g", F.col("step").alias("c")).join(parts.select("g", "c"), ["g", "c"], "left_anti").withColumn("p", F.col("c"))
     top = settle(parts.unionByName(tops), ["g"], "c", "p")
     used = whole.pointers.join(after.withColumnRenamed("level", "after"), "g").where("level > after")
-    leaves = used.select("g", "node_id").distinct().withColumn("c", -F.row_number().over(Window.partitionBy("g").orderBy("node_id")).cast("bigint"))
+    leaves = running_sums(used.select("g", "node_id").distinct(), ["g"], ["node_id"], "n").select("g", "node_id", (-F.col("n")).alias("c"))
     group = leaves.join(top, ["g", "c"], "left").select("g", F.col("node_id").alias("rep_id"), F.coalesce("p", "c").alias("key"))
     return numbered(at_levels(samples, whole.pointers, after).join(group, ["g", "rep_id"], "left").select("g", "sample_id", F.coalesce("key", -F.col("rep_id") - (1 << 40)).alias("key")))
 

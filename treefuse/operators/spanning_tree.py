@@ -20,10 +20,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treefuse.functions.matrices import features_as_samples
 from treefuse.operators.kernels import forest_edges
 from treefuse.shared import cut, settle, tidy
 
@@ -213,12 +213,16 @@ def spanning_tree(samples: DataFrame, block_rows: int = 2048, prune: bool = True
     reach = cut(names.select("g").distinct().join(near, "g", "left").select("g", F.sqrt(F.coalesce("d2", F.lit(0.0))).alias("far")))
     first = cut(near_pairs(boxes, reach))
     found = trees(first)
-    # A pair's tree spans both blocks, so all blocks with a pair are joined to it.
-    links = first.join(reach, "g")
-    forest = cut(minimum_forest(edges(inner, found), task_edges))
+    forest = minimum_forest(edges(inner, found), task_edges)
+    tree_of = lambda f: f.select("g", "u", "v", F.sqrt("d2").alias("dist"))
+    sizes = blocks.groupBy("g").agg(F.sum(F.size("ids")).alias("n")).join(reach, "g")
+    whole = sizes.join(forest.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max("d2").alias("d2")), "g", "left")
+    if whole.where((F.col("n") > 1 + F.coalesce("m", F.lit(0))) | (F.col("d2") > F.col("far") * F.col("far"))).isEmpty():
+        return tree_of(forest)  # every tree is whole, and no pair of blocks is left that could shorten it
     place = cut(blocks.select("g", "block", F.explode("ids").alias("id")))
     at = lambda c, name: place.select("g", F.col("id").alias(c), F.col("block").alias(name))
-    label = cut(names.join(joined_labels(links.select("g", F.col("block").alias("a"), F.col("block2").alias("b"))).withColumnRenamed("node", "block"), ["g", "block"], "left").select("g", "block", F.coalesce("label", "block").alias("label")))
+    # A pair's tree spans both blocks, so all blocks with a pair are joined to it.
+    label = cut(names.join(joined_labels(first.select("g", F.col("block").alias("a"), F.col("block2").alias("b"))).withColumnRenamed("node", "block"), ["g", "block"], "left").select("g", "block", F.coalesce("label", "block").alias("label")))
     longest = forest.join(at("u", "block"), ["g", "u"]).join(label, ["g", "block"]).groupBy("g", "label").agg(F.max("d2").alias("longest"))
     order = Window.partitionBy("g").orderBy("block")  # a row a block
     chain = label.withColumns({"block2": F.lead("block").over(order), "label2": F.lead("label").over(order)}).where("label != label2").select("g", "block", "block2")
@@ -226,7 +230,7 @@ def spanning_tree(samples: DataFrame, block_rows: int = 2048, prune: bool = True
     bound = edges(forest, chained).groupBy("g").agg(F.max("d2").alias("bound"))
     more = cut(bound.join(reach, "g").where(F.col("bound") > F.col("far") * F.col("far") * (1 + 1e-12)).select("g", F.sqrt("bound").alias("far"), F.col("far").alias("had")))
     if more.isEmpty():
-        return result(forest)
+        return tree_of(forest)
     other = label.select("g", F.col("block").alias("block2"), F.col("label").alias("label2"))
     pairs = near_pairs(boxes.join(more, "g", "left_semi"), more.select("g", "far")).join(more.select("g", "had"), "g").where(F.col("gap2") > F.col("had") * F.col("had") * (1 + 1e-12))
     pairs = pairs.join(label, ["g", "block"]).join(other, ["g", "block2"]).join(longest, ["g", "label"], "left")
@@ -234,6 +238,35 @@ def spanning_tree(samples: DataFrame, block_rows: int = 2048, prune: bool = True
     return result(forest, trees(pairs))
 
 
-def spanning_tree_of_features(samples: DataFrame, block_rows: int = 2048) -> DataFrame:
-    """The tree over the columns: ids are feature indices."""
-    return spanning_tree(features_as_samples(samples), block_rows)
+@tidy
+def spanning_tree_of_features(samples: DataFrame, tile: int = 512, task_edges: int = TASK_EDGES) -> DataFrame:
+    """The tree over the columns: ids are feature indices. Squared distances of all pairs of columns are added up
+    from batches of rows, in tiles of columns, so nothing holds a whole column."""
+    kind = samples.schema["g"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for g in batch.column("g").unique().to_pylist():
+                part = batch.filter(pc.equal(batch.column("g"), pa.scalar(g, batch.schema.field("g").type)))
+                x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+                for i in range(0, x.shape[1], tile):
+                    for j in range(i, x.shape[1], tile):
+                        a, b = x[:, i : i + tile], x[:, j : j + tile]
+                        d2 = np.stack([((b - a[:, k : k + 1]) ** 2).sum(0) for k in range(a.shape[1])])
+                        sums[g, i, j] = sums.get((g, i, j), 0) + d2
+                if len(sums) * tile * tile > 1 << 23:  # what a task holds
+                    yield from out(sums, batch.schema.field("g").type)
+                    sums = {}
+            kind_of = batch.schema.field("g").type
+        if sums:
+            yield from out(sums, kind_of)
+
+    def out(sums: dict, kind_of: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for (g, i, j), d2 in sums.items():
+            u, v = np.nonzero(np.arange(d2.shape[0])[:, None] + i < np.arange(d2.shape[1]) + j)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(u), kind_of), pa.array(u + i, pa.int64()), pa.array(v + j, pa.int64()), pa.array(d2[u, v])], names=["g", "u", "v", "d2"])
+
+    parts = samples.select("g", "x").mapInArrow(run, f"g {kind}, u bigint, v bigint, d2 double")
+    pairs = parts.groupBy("g", "u", "v").agg(F.sum("d2").alias("d2"))
+    return minimum_forest(pairs, task_edges).select("g", "u", "v", F.sqrt("d2").alias("dist"))

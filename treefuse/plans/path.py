@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treefuse.functions.weights import bandwidth as median_bandwidth
@@ -20,7 +20,7 @@ from treefuse.functions.weights import gaussian, normalise, outlier_floor
 from treefuse.operators import fusion
 from treefuse.operators.rooted_tree import rooted, with_shape
 from treefuse.operators.spanning_tree import spanning_tree
-from treefuse.shared import Pile, cut, forget, mark, settle, tidy
+from treefuse.shared import Pile, cut, forget, mark, running_sums, settle, tidy
 from treefuse.sources.matrix import Fit
 from treefuse.sources.matrix import samples as matrix
 
@@ -176,7 +176,7 @@ def distinct_labels(solution: DataFrame) -> DataFrame:
     rows = solution.select("g", F.col("node_id").alias("sample_id"), F.transform("theta", lambda v: F.round(v, 9) + 0.0).alias("t"))
     groups = rows.groupBy("g", "t").agg(F.min("sample_id").alias("first"))
     # A label is the rank of its first sample among the groups' first samples: one row a distinct solution.
-    ranked = groups.withColumn("label", F.row_number().over(Window.partitionBy("g").orderBy("first")))
+    ranked = running_sums(groups, ["g"], ["first"], "label").withColumn("label", F.col("label").cast("int"))
     return rows.join(ranked, ["g", "t"]).select("g", "sample_id", "label")
 
 

@@ -140,6 +140,12 @@ def mst_rows(spark, sf_dir):
     return ranked_lengths(spanning_tree(suppliers(spark, sf_dir), block_rows=40))
 
 
+@query(ORACLE["mst_rows"].replace("AS d2 FROM z\n", "AS d2, NULL::BIGINT AS u, NULL::BIGINT AS v FROM z\n").replace("best.d2 FROM (", "best.d2, best.u, best.v FROM (").replace(", id := b.id)", ", u := least(a.id, b.id), v := greatest(a.id, b.id), id := b.id)").replace("SELECT row_number() OVER (ORDER BY d2) AS rank, round", "SELECT u, v, round"))
+def mst_edges(spark, sf_dir):
+    """The tree's edges themselves: one total order makes them unique."""
+    return spanning_tree(suppliers(spark, sf_dir), block_rows=40).select("u", "v", rounded("dist").alias("dist"))
+
+
 def ranked_lengths(edges: DataFrame) -> DataFrame:
     return row_numbers(edges.select("dist"), "dist", name="rank").select("rank", rounded("dist").alias("dist"))
 
@@ -178,7 +184,7 @@ prim AS (
 SELECT row_number() OVER (ORDER BY d2) AS rank, round(sqrt(d2), 6) AS dist FROM prim WHERE d2 IS NOT NULL
 """)
 def mst_columns(spark, sf_dir):
-    return ranked_lengths(spanning_tree_of_features(vectors(spark, sf_dir), block_rows=32))
+    return ranked_lengths(spanning_tree_of_features(vectors(spark, sf_dir), tile=24))
 
 
 # Weights and rooted trees.
@@ -304,6 +310,12 @@ def tree_solve(spark, sf_dir):
     return fusion.solve(solve_nodes(spark, sf_dir), 500.0).select("node_id", rounded(F.get("theta", F.lit(0))).alias("theta"))
 
 
+@query(ORACLE["tree_solve"])
+def tree_solve_in_pieces(spark, sf_dir):
+    """The same solution with no more than about 200 nodes in a task."""
+    return fusion.solve(solve_nodes(spark, sf_dir), 500.0, task_cells=200).select("node_id", rounded(F.get("theta", F.lit(0))).alias("theta"))
+
+
 @query("SELECT (i - 1)::INTEGER AS feature_idx, 0::BIGINT AS violations FROM range(1, 65) t(i)")
 def tree_solve_certificate(spark, sf_dir):
     nodes = path.start_nodes(vectors(spark, sf_dir))
@@ -766,6 +778,12 @@ def leaf_order(spark, sf_dir):
     return hierarchy.leaf_order(tree_merges(spark, sf_dir)).select("pos", "leaf")
 
 
+@query(ORACLE["leaf_order"])
+def leaf_order_by_joins(spark, sf_dir):
+    """The same order with no task that holds a group's merges."""
+    return hierarchy.leaf_order(tree_merges(spark, sf_dir), task_merges=0).select("pos", "leaf")
+
+
 @query(MERGES.replace("WITH c AS", "WITH RECURSIVE c AS") + """, walk AS (
   SELECT max(step) AS node, 'a' AS way FROM merges
   UNION ALL SELECT CASE side WHEN 'a' THEN l ELSE r END, way || side FROM walk JOIN merges ON step = node, (VALUES ('a'), ('b')) v(side)

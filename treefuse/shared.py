@@ -169,3 +169,14 @@ def row_numbers(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
     inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return dealt.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + inner).cast("bigint")).drop("__range", "__before")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], name: str, value: Column | None = None) -> DataFrame:
+    """The rows with the sum of ``value`` (default: 1, so their number) up to each in order within its keys. As
+    ``row_numbers``, so a group of any size is dealt over ranges."""
+    dealt = df.withColumn("__v", F.lit(1) if value is None else value).repartitionByRange(*keys, *order)
+    dealt = cut(dealt.withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "__range").agg(F.sum("__v").alias("__n"))  # a row a group and range
+    before = sums.select(*keys, "__range", (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__n")).alias("__before"))
+    inner = F.sum("__v").over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(before, [*keys, "__range"]).withColumn(name, (F.col("__before") + inner).cast("bigint")).drop("__range", "__before", "__v")
