@@ -8,6 +8,8 @@ a whole path takes about log2(length) steps of doubling.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 
@@ -131,6 +133,10 @@ class Tree:
     def __init__(self, parent: np.ndarray, edge: np.ndarray, node: np.ndarray):
         self.parent, self.edge, self.node = parent, edge, node
 
+    @cached_property
+    def shape(self) -> Layout:
+        return Layout(self.parent)
+
     def solve(self, x: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
         """Nodes x features: the minimiser of sum w (x - t)^2 / 2 + lam * sum e |t - t_parent| in each column, and
         where a node has its parent's value.
@@ -139,7 +145,7 @@ class Tree:
         piece's constant, and where below, is read off the clipped derivatives, and pieces are cut between
         such parts until none is left (threshold sweeps; see Hochbaum 2001, Chambolle & Darbon 2009).
         """
-        shape = Layout(self.parent)
+        shape = self.shape
         order, up = shape.nodes, shape.up
         has = up >= 0
         column, bound = x[order], (lam * self.edge[order])[:, None]
