@@ -19,11 +19,6 @@ def transpose(samples: DataFrame) -> DataFrame:
     return cells(samples).groupBy("g", "feature_idx").agg(ordered.alias("v")).select("g", "feature_idx", F.col("v.value").alias("values"))
 
 
-def features_as_samples(samples: DataFrame) -> DataFrame:
-    """The transposed matrix as samples: sample_id is the feature's index."""
-    return transpose(samples).select("g", F.col("feature_idx").cast("bigint").alias("sample_id"), F.col("values").alias("x"))
-
-
 def ordered_by_label(df: DataFrame, label: str, id_col: str) -> DataFrame:
     """All rows, by label, then id."""
     return df.orderBy(label, id_col)

@@ -35,6 +35,22 @@ def matrix_of(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
 
 
+def solve_blocks(cells: DataFrame, lam: float, largest: int, width: int, task_cells: int = TASK_CELLS) -> DataFrame:
+    """cells(g, node_id, parent_id, edge_weight, node_weight, fb, x), where x has at most ``width`` features of block fb and
+    no tree more than ``largest`` nodes -> g, node_id, parent_id, fb, x (solved), fused (in the block's features)."""
+    if largest * width > task_cells:
+        return solve_in_pieces(cells, lam, most=max(1, task_cells // width))
+    kind = cells.schema["g"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        tree, _ = tree_of(table)
+        theta, fused = tree.solve(matrix_of(table.column("x"), table.num_rows), lam)
+        return pa.table({"g": table.column("g"), "node_id": table.column("node_id"), "parent_id": table.column("parent_id"), "fb": table.column("fb"), "x": lists(theta), "fused": pa.array(fused.all(1))})
+
+    return cells.groupBy("g", "fb").applyInArrow(run, f"g {kind}, node_id bigint, parent_id bigint, fb int, x array<double>, fused boolean")
+
+
 @tidy
 def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int = TASK_CELLS) -> DataFrame:
     """nodes(g, node_id, parent_id, edge_weight, node_weight, x) -> g, node_id, parent_id, theta (array), fused.
@@ -48,18 +64,7 @@ def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int
     feature_block = max(1, min(feature_block, task_cells // max(largest, 1)))
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((greatest(size(x), 1) - 1) div {feature_block} as int)")), lambda b: F.struct(b.alias("fb"), F.slice(F.col("x"), b * feature_block + 1, feature_block).alias("x")))
     cells = nodes.select("g", "node_id", "parent_id", "edge_weight", "node_weight", F.explode(blocks).alias("b")).select("g", "node_id", "parent_id", "edge_weight", "node_weight", "b.fb", "b.x")
-    if largest > task_cells:
-        done = solve_in_pieces(cells, lam, most=max(1, task_cells // feature_block))
-    else:
-        kind = nodes.schema["g"].dataType.simpleString()
-
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("node_id")
-            tree, _ = tree_of(table)
-            theta, fused = tree.solve(matrix_of(table.column("x"), table.num_rows), lam)
-            return pa.table({"g": table.column("g"), "node_id": table.column("node_id"), "parent_id": table.column("parent_id"), "fb": table.column("fb"), "x": lists(theta), "fused": pa.array(fused.all(1))})
-
-        done = cells.groupBy("g", "fb").applyInArrow(run, f"g {kind}, node_id bigint, parent_id bigint, fb int, x array<double>, fused boolean")
+    done = solve_blocks(cells, lam, largest, feature_block, task_cells)
     parts = F.array_sort(F.collect_list(F.struct("fb", "x")))
     # Fused is judged over all features: one row a node.
     out = done.groupBy("g", "node_id").agg(F.first("parent_id").alias("parent_id"), parts.alias("p"), F.bool_and("fused").alias("fused"))

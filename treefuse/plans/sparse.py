@@ -1,43 +1,43 @@
 """The fit that drops noise features: columns are shrunk and fused in turn until the objective settles.
 
-Columns do not exchange data within an alternation; only the stop rule joins them. A job therefore runs
-several alternations for each block of features, with the tree beside it, and hands back every one of them;
-the objective of each comes from sums over its cells, and the first at which it has settled is taken.
+Columns do not exchange data within an alternation; only the stop rule joins them. A group of at most ``task_cells``
+cells alternates in one task. A larger one alternates in Spark: norms of columns, a solve by blocks of features (in pieces of
+the tree where it is too large for a task), and the objective are sums over its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treefuse.operators import fusion
-from treefuse.operators.kernels import shrink_factor, sparse_step
-from treefuse.plans.path import checked, start_nodes
-from treefuse.shared import cut, tidy
+from treefuse.operators.kernels import shrink_factor, sparse_loss, sparse_step
+from treefuse.plans.alternation import alternate, by_cells, has_settled, pair_sum, plus
+from treefuse.plans.path import TASK_CELLS, checked, start_nodes
+from treefuse.shared import Pile, cut, forget, mark, tidy
 from treefuse.sources.matrix import Fit
 
 
-def column_shrink(columns: DataFrame, lam: float, most: int = 100) -> DataFrame:
-    """g, feature_idx, values -> the same with ``factor``, by which the shrinkage multiplies the column, and
-    ``values`` shrunk. Only the norm decides; the recursion runs on one number a column."""
+def factor_of(norm: Column, lam: float, most: int) -> Column:
+    """What the shrinkage multiplies a column of this norm by. Only the norm decides; the recursion runs on one number."""
 
     @F.pandas_udf("double")
     def factor(norm: pd.Series) -> pd.Series:
         return norm.map(lambda v: shrink_factor(float(v), lam, most))
 
-    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v))
-    return columns.withColumn("factor", factor(norm)).withColumn("values", F.transform("values", lambda v: v * F.col("factor")))
+    return factor(norm)
 
 
-def pair_sum(values: Column) -> Column:
-    """The sum of |a - b| over all pairs of an array, by sorting."""
-    ordered, m = F.array_sort(values), F.size(values)
-    return F.aggregate(F.transform(ordered, lambda v, i: v * (2 * (i + 1) - m - 1)), F.lit(0.0), lambda s, v: s + v)
+def column_shrink(columns: DataFrame, lam: float, most: int = 100) -> DataFrame:
+    """g, feature_idx, values -> the same with ``factor``, by which the shrinkage multiplies the column, and
+    ``values`` shrunk."""
+    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v))
+    return columns.withColumn("factor", factor_of(norm, lam, most)).withColumn("values", F.transform("values", lambda v: v * F.col("factor")))
 
 
 def sparse_objective(rows: DataFrame, lam: float, gamma: float) -> DataFrame:
@@ -48,94 +48,95 @@ def sparse_objective(rows: DataFrame, lam: float, gamma: float) -> DataFrame:
     return rows.groupBy("g").agg(F.sum(0.5 * error + lam * pair_sum(F.col("u")) + gamma * norm).alias("loss"))
 
 
-def alternations(steps: int, lam: float, gamma: float, most: int):
-    """A task's work: ``steps`` alternations on one block of features. Each one's u is handed back, since any may
-    be the last; p and q only with the last one, where the next job goes on."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node_id")
-        tree, _ = fusion.tree_of(table)
-        u, p, q = (fusion.matrix_of(table.column(c), table.num_rows) for c in ("u", "p", "q"))
-        out = []
-        for i in range(steps):
-            u, p, q = sparse_step(tree, u, p, q, lam, gamma, most)
-            same = table.drop_columns(["u", "p", "q"]).append_column("u", fusion.lists(u))
-            for name, values in (("p", p), ("q", q)):
-                same = same.append_column(name, fusion.lists(values) if i == steps - 1 else pa.nulls(len(u), pa.list_(pa.float64())))
-            out.append(same.append_column("step", pa.array([i + 1] * len(u), pa.int32())))
-        return pa.concat_tables(out)
-
-    return run
-
-
 @tidy
-def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 500, threshold: float = 1e-5, feature_block: int = 64, batch: int = 10) -> DataFrame:
-    """nodes(g, node_id, parent_id, edge_weight, node_weight, x) of one data set -> the same rows with u."""
-    kind, n = nodes.schema["g"].dataType.simpleString(), max(nodes.count(), 1)
-    feature_block = max(1, min(feature_block, fusion.TASK_CELLS // n))
-    batch = max(1, min(batch, fusion.TASK_CELLS // (n * feature_block)))
-    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(x) - 1) div {feature_block} as int)")), lambda b: F.struct(b.alias("fb"), F.slice(F.col("x"), b * feature_block + 1, feature_block).alias("u")))
-    shape = nodes.select("g", "node_id", "parent_id", "edge_weight", "node_weight", F.explode(blocks).alias("b"))
-    zero = F.transform("b.u", lambda _: F.lit(0.0))
-    state = cut(shape.select("g", "node_id", "parent_id", "edge_weight", "node_weight", "b.fb", "b.u", zero.alias("p"), zero.alias("q")))
-    base = cut(nodes.select("g", "node_id", "x"))
-    before = sparse_objective(base.withColumn("u", F.col("x")), lam, gamma).first()["loss"]
-    done = 0
-    while True:
-        steps = min(batch, most - done)
-        fields = f"g {kind}, node_id bigint, parent_id bigint, edge_weight double, node_weight double, fb int, u array<double>, p array<double>, q array<double>, step int"
-        tried = cut(state.groupBy("g", "fb").applyInArrow(alternations(steps, lam, gamma, most), fields))
-        whole = tried.groupBy("g", "node_id", "step").agg(F.array_sort(F.collect_list(F.struct("fb", "u"))).alias("b")).select("g", "node_id", "step", F.flatten("b.u").alias("u"))
-        scored = whole.join(base, ["g", "node_id"]).withColumn("g", F.col("step"))
-        losses = [r["loss"] for r in sparse_objective(scored, lam, gamma).orderBy("g").collect()]  # one number a step
-        for i, loss in enumerate(losses):
-            if before == 0 or abs(loss - before) / before < threshold or done + i + 1 == most:
-                return nodes.join(whole.where(F.col("step") == i + 1).select("g", "node_id", "u"), ["g", "node_id"])
-            before = loss
-        done += steps
-        state = tried.where(F.col("step") == steps).drop("step")
-
-
-def nonzero_features(rows: DataFrame, column: str = "u") -> DataFrame:
-    """feature_idx (from 0) of the columns whose sum is not 0."""
-    return rows.select(F.posexplode(column).alias("feature_idx", "v")).groupBy("feature_idx").agg(F.sum("v").alias("s")).where("s != 0").select("feature_idx")
+def settled(nodes: DataFrame, lam: float, gamma: float, most: int = 500, threshold: float = 1e-5, task_cells: int = TASK_CELLS, solve_cells: int = fusion.TASK_CELLS) -> DataFrame:
+    """nodes(g, node_id, parent_id, edge_weight, node_weight, x) -> the same rows with u, each group's at which its own
+    objective has settled. ``solve_cells`` bounds what an alternation in Spark puts into a task."""
+    small, large = by_cells(nodes, task_cells)
+    sides = []
+    if small is not None:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("node_id")
+            tree, _ = fusion.tree_of(table)
+            x = fusion.matrix_of(table.column("x"), table.num_rows)
+            u, p, q = x, np.zeros_like(x), np.zeros_like(x)
+            before = sparse_loss(x, u, lam, gamma)
+            for _ in range(most):
+                u, p, q = sparse_step(tree, u, p, q, lam, gamma, most)
+                loss = sparse_loss(x, u, lam, gamma)
+                if has_settled(before, loss, threshold):
+                    break
+                before = loss
+            return table.append_column("u", fusion.lists(u))
+
+        sides.append(small.groupBy("g").applyInArrow(run, f"{fields}, u array<double>"))
+    if large is not None:
+        zero = F.transform("x", lambda _: F.lit(0.0))
+        step = lambda now: next_state(now, lam, gamma, most, solve_cells)
+        last = alternate(large.withColumns({"u": F.col("x"), "p": zero, "q": zero}), step, lambda now: sparse_objective(now, lam, gamma), most, threshold)
+        sides.append(last.drop("p", "q"))
+    return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+
+
+def next_state(now: DataFrame, lam: float, gamma: float, most: int, solve_cells: int) -> DataFrame:
+    """One alternation of whole groups: each column shrunk by its norm, then fused along the tree."""
+    z = now.withColumn("z", plus("u", "p"))
+    norms = z.select("g", F.posexplode("z").alias("i", "v")).groupBy("g", "i").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    factors = norms.withColumn("f", factor_of(F.col("norm"), gamma, most)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("f"))
+    # A row a group, written, so that Spark knows its size and sends it to the rows where it is small.
+    met = z.join(cut(factors.select("g", F.col("f.f").alias("f"))), "g").withColumn("y", F.zip_with("z", "f", lambda v, f: v * f))
+    half = cut(met.withColumns({"p": plus("z", "y", -1), "w": plus("y", "q")}).drop("u", "q", "y", "z", "f"))
+    solved = fusion.solve(half.withColumn("x", F.col("w")), lam, task_cells=solve_cells).select("g", "node_id", F.col("theta").alias("u"))
+    return half.join(solved, ["g", "node_id"]).withColumn("q", plus("w", "u", -1))
+
+
+def nonzero_features(rows: DataFrame, column: str = "u", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, feature_idx (from 0) of the columns whose sum is not 0."""
+    return rows.select(*keys, F.posexplode(column).alias("feature_idx", "v")).groupBy(*keys, "feature_idx").agg(F.sum("v").alias("s")).where("s != 0").select(*keys, "feature_idx")
 
 
 @tidy
-def fit_sparse(samples: DataFrame, lambdas: Sequence[float], gammas: Sequence[float], most: int = 500, threshold: float = 1e-5, **options) -> Fit:
-    """samples of one data set -> Fit with ``features``: the indices that are left after each level."""
+def fit_sparse(samples: DataFrame, lambdas: Sequence[float], gammas: Sequence[float], most: int = 500, threshold: float = 1e-5, task_cells: int = TASK_CELLS, solve_cells: int = fusion.TASK_CELLS, **options) -> Fit:
+    """samples -> Fit with ``features``: the indices that are left after each level. Each group loses features of its own
+    and goes on until it is one cluster or the penalties end. A group with one feature or one sample left is not solved."""
     values = checked(lambdas, gammas)
     live = start_nodes(samples, **options)
-    row = live.agg(F.max(F.size("x")), F.count(F.lit(1))).first()
-    left, n = list(range(row[0] or 0)), row[1]
-    spark = samples.sparkSession
-    levels, pointers, coordinates, kept = [], [], [], []
+    none = F.expr("cast(array() as array<int>)")
+    wide = live.groupBy("g").agg(F.max(F.size("x")).alias("p"))
+    left = cut(wide.select("g", F.when(F.col("p") > 0, F.sequence(F.lit(0), F.col("p") - 1)).otherwise(none).alias("left")))
+    levels, pointers, coordinates, kept = (Pile(samples.sparkSession) for _ in range(4))
+    since = mark()
     for i, (lam, gamma) in enumerate(zip(values, gammas, strict=True)):
         at = F.lit(i + 1).alias("level")
-        if n > 1 and len(left) > 1:
-            solved = cut(settled(live, lam, float(gamma), most, threshold))
-        else:  # one feature or one sample is left: nothing is solved
-            solved = live.withColumn("u", F.col("x"))
-        stay = sorted(r["feature_idx"] for r in nonzero_features(solved).collect())  # indices of features
-        left = [left[j] for j in stay]
-        pick = lambda c, stay=stay: F.array(*(F.get(c, F.lit(j)) for j in stay)).cast("array<double>")
-        solved = cut(solved.withColumns({"x": pick("x"), "u": pick("u")}))
-        tested = fusion.fused_edges(solved.select("g", "node_id", "parent_id", F.col("u").alias("theta")), 1e-9)
-        reps = fusion.representatives(tested)
-        live_tree = fusion.contract_tree(solved.select("g", "node_id", "parent_id", "edge_weight"), reps)
-        merged = fusion.contract_nodes(solved, reps) if stay else solved.join(reps, ["g", "node_id"]).groupBy("g", "rep_id").agg(F.sum("node_weight").alias("weight")).withColumn("x", F.expr("cast(array() as array<double>)"))
-        counts = reps.groupBy("g").agg(F.count(F.lit(1)).alias("n_in"), F.count(F.when(F.col("node_id") == F.col("rep_id"), 1)).alias("n_out"))
-        merged = cut(merged)
-        levels.append(counts.select("g", at, F.lit(lam).alias("lambda"), F.lit(float(gamma)).alias("gamma"), "n_in", "n_out"))
-        pointers.append(reps.select("g", at, "node_id", "rep_id"))
-        coordinates.append(merged.select("g", at, "rep_id", "weight", "x"))
-        kept.append(spark.createDataFrame([(j,) for j in left], "feature_idx int").join(live.select("g").limit(1)).select("g", at, "feature_idx"))
-        live = cut(live_tree.join(merged.withColumnRenamed("rep_id", "node_id"), ["g", "node_id"]).select("g", "node_id", "parent_id", "edge_weight", F.col("weight").alias("node_weight"), "x"))
-        n = live.count()
-        if n == 1:
+        sizes = live.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p"))
+        work = cut(sizes.where("n > 1 AND p > 1").select("g"))
+        solved = settled(live.join(work, "g", "left_semi"), lam, float(gamma), most, threshold, task_cells, solve_cells)
+        solved = cut(solved.unionByName(live.join(work, "g", "left_anti").withColumn("u", F.col("x"))))
+        stay = nonzero_features(solved, keys=["g"]).groupBy("g").agg(F.sort_array(F.collect_list("feature_idx")).alias("stay"))
+        left = left.join(stay, "g", "left").withColumn("stay", F.coalesce("stay", none))
+        left = cut(left.select("g", "stay", F.transform("stay", lambda j: F.get("left", j)).alias("left")))
+        pick = lambda c: F.transform("stay", lambda j: F.get(F.col(c), j))
+        solved = cut(solved.join(left.select("g", "stay"), "g").withColumns({"x": pick("x"), "u": pick("u")}).drop("stay"))
+        reps = cut(fusion.representatives(fusion.fused_edges(solved.select("g", "node_id", "parent_id", F.col("u").alias("theta")), 1e-9)))
+        weight = solved.join(reps, ["g", "node_id"]).groupBy("g", "rep_id").agg(F.sum("node_weight").alias("weight"))
+        means = fusion.contract_nodes(solved, reps).select("g", "rep_id", "x")  # no row where no feature is left
+        merged = cut(weight.join(means, ["g", "rep_id"], "left").withColumn("x", F.coalesce("x", F.expr("cast(array() as array<double>)"))))
+        counts = cut(reps.groupBy("g").agg(F.count(F.lit(1)).alias("n_in"), F.count(F.when(F.col("node_id") == F.col("rep_id"), 1)).alias("n_out")))
+        levels.add(counts.select("g", at, F.lit(lam).alias("lambda"), F.lit(float(gamma)).alias("gamma"), "n_in", "n_out"))
+        pointers.add(reps.select("g", at, "node_id", "rep_id"))
+        coordinates.add(merged.select("g", at, "rep_id", "weight", "x"))
+        kept.add(left.select("g", at, F.explode("left").alias("feature_idx")))
+        going = counts.where("n_out > 1").select("g")
+        tree = fusion.contract_tree(solved.select("g", "node_id", "parent_id", "edge_weight"), reps)
+        live = tree.join(merged.withColumnRenamed("rep_id", "node_id"), ["g", "node_id"]).join(going, "g", "left_semi")
+        live = cut(live.select("g", "node_id", "parent_id", "edge_weight", F.col("weight").alias("node_weight"), "x"))
+        left = cut(left.join(going, "g", "left_semi").select("g", "left"))
+        forget(since, live, left)
+        if live.isEmpty():
             break
-    union = lambda tables: cut(reduce(DataFrame.unionByName, tables))
-    return Fit(union(levels), union(pointers), union(coordinates), union(kept))
+    return Fit(levels.read(), pointers.read(), coordinates.read(), kept.read())
 
 
 def expand_features(expanded: DataFrame, features: DataFrame, p: int) -> DataFrame:

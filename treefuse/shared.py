@@ -113,11 +113,12 @@ def recut(since: int, df: DataFrame) -> DataFrame:
     return forget(since, cut(df))
 
 
-def forget(since: int, last: DataFrame) -> DataFrame:
-    """Removes what the scope has written after ``since`` and before ``last``, which was written last."""
-    old, _SCOPES[-1][since:] = _SCOPES[-1][since:-1], _SCOPES[-1][-1:]
+def forget(since: int, *last: DataFrame) -> DataFrame:
+    """Removes what the scope has written after ``since`` and before the tables ``last``, which were written last.
+    Returns the first of these."""
+    old, _SCOPES[-1][since:] = _SCOPES[-1][since : -len(last)], _SCOPES[-1][-len(last) :]
     _clear(old)
-    return last
+    return last[0]
 
 
 class Pile:
