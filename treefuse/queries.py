@@ -634,7 +634,11 @@ def sparse_expand(spark, sf_dir):
 @query(f"WITH {COLUMNS_SQL} SELECT 1::BIGINT AS n_out, (SELECT count(*) FROM embeddings)::DOUBLE AS weight, feature_idx, round(mean, 5) + 0.0 AS mean FROM c")
 def sparse_fused(spark, sf_dir):
     """All rows fuse and nothing is shrunk."""
-    fit = sparse.fit_sparse(vectors(spark, sf_dir), [1e9], [0.0], bandwidth=1e6)
+    return fused_means(spark, sf_dir)
+
+
+def fused_means(spark, sf_dir, **options) -> DataFrame:
+    fit = sparse.fit_sparse(vectors(spark, sf_dir), [1e9], [0.0], bandwidth=1e6, **options)
     kept = row_numbers(fit.features.select("feature_idx"), "feature_idx")
     cells = fit.coordinates.select("weight", F.posexplode("x").alias("i", "mean")).join(kept, F.col("i") + 1 == F.col("pos"))
     return cells.crossJoin(fit.levels.select("n_out")).select("n_out", "weight", "feature_idx", rounded("mean", 5).alias("mean"))
@@ -683,6 +687,37 @@ def bi_rows_fused_in_spark(spark, sf_dir):
     return bi_means(spark, sf_dir, 1e9, 0.0, task_cells=0).groupBy("feature_idx").agg(F.count(F.lit(1)).alias("cells"), rounded(F.min("theta"), 5).alias("low"), rounded(F.max("theta"), 5).alias("high"))
 
 
+@query(ORACLE["sparse_fused"])
+def sparse_fused_in_spark(spark, sf_dir):
+    """The same with alternations as Spark jobs and the tree in pieces: no task holds a group or its tree."""
+    return fused_means(spark, sf_dir, task_cells=0, solve_cells=50)
+
+
+def vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), F.col("label"))
+
+
+NORMS_SQL = "n AS (SELECT label, (i - 1)::INTEGER AS feature_idx, sqrt(sum(embedding[i]::DOUBLE ** 2)) AS norm FROM embeddings, range(1, 65) t(i) GROUP BY label, i)"
+
+
+@query(f"WITH {NORMS_SQL} SELECT label, feature_idx FROM n WHERE norm > (SELECT quantile_disc(norm, 0.5) + 1e-9 FROM n)")
+def sparse_features_per_group(spark, sf_dir):
+    """A fit for each label of the vectors, all at once: nothing fuses, and each loses features of its own."""
+    norms = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.sqrt(F.sum(F.col("v").cast("double") ** 2)).alias("n"))
+    middle = norms.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)")).first()[0] + 1e-9
+    fit = sparse.fit_sparse(vectors_by_label(spark, sf_dir), [0.0], [middle / 2])
+    return fit.features.select(F.col("g").alias("label"), "feature_idx")
+
+
+@query("SELECT label, (i - 1)::BIGINT AS feature_idx, count(*) AS cells, round(avg(embedding[i]::DOUBLE), 5) + 0.0 AS low, round(avg(embedding[i]::DOUBLE), 5) + 0.0 AS high FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
+def bi_rows_fused_per_group(spark, sf_dir):
+    """A two-sided fit for each label: the samples of a label fuse and no feature does."""
+    points = vectors_by_label(spark, sf_dir)
+    fit = bicluster.fit_bi(points, [1e9], [0.0], bandwidth_s=1e6, bandwidth_f=1e6)
+    cells = bicluster.expand_blocks(points, fit, 1).groupBy(F.col("g").alias("label"), "feature_idx")
+    return cells.agg(F.count(F.lit(1)).alias("cells"), rounded(F.min("theta"), 5).alias("low"), rounded(F.max("theta"), 5).alias("high"))
+
+
 # Labels and hierarchies, on pointers that follow the hierarchy tree: customers to nations to regions to the root.
 
 
