@@ -689,8 +689,8 @@ def bi_rows_fused_in_spark(spark, sf_dir):
 
 @query(ORACLE["sparse_fused"])
 def sparse_fused_in_spark(spark, sf_dir):
-    """The same with alternations as Spark jobs and the tree in pieces: no task holds a group or its tree."""
-    return fused_means(spark, sf_dir, task_cells=0, solve_cells=50)
+    """The same with alternations as Spark jobs: a task holds the tree and a block of features."""
+    return fused_means(spark, sf_dir, task_cells=0)
 
 
 def vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
