@@ -5,7 +5,7 @@ import pytest
 
 from treefuse.queries import ORACLE, QUERIES
 
-NAMES = ["matrix_quantiles", "mst_rows", "subtree_balance", "outlier_floor", "tree_solve", "contract_tree", "merge_table", "leaf_order", "labels_small_k", "column_shrink", "sparse_loss", "bi_loss", "star_pointers", "mst_rows_1d_rounds", "rooted_tree_tour", "single_lambda_labels", "bi_columns_fused", "sparse_kept_features"]
+NAMES = ["matrix_quantiles", "mst_rows", "subtree_balance", "outlier_floor", "tree_solve", "contract_tree", "merge_table", "leaf_order", "labels_small_k", "column_shrink", "sparse_loss", "bi_loss", "star_pointers", "mst_rows_1d_rounds", "rooted_tree_tour", "single_lambda_labels", "bi_columns_fused", "sparse_kept_features", "tree_path_counts", "tree_path_clusters", "several_lambda_labels"]
 
 
 def plain(rows):

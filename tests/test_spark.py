@@ -221,6 +221,63 @@ def test_one_penalty_equals_a_path_of_one(spark):
     assert tried and best > 0
 
 
+def test_penalties_side_by_side_equal_each_alone(spark):
+    x = np.round(np.random.default_rng(9).normal(size=(40, 3)), 1)
+    nodes = path.start_nodes(matrix(spark, x, np.arange(40) % 2))
+    values = [0.0, 0.3, 2.0]
+    both = {(r["g"]["g"], r["g"]["lambda"], r["node_id"]): r for r in fusion.solve_each(nodes, [2.0, 0.3, *values]).collect()}
+    pieces = {(r["g"]["g"], r["g"]["lambda"], r["node_id"]): r for r in fusion.solve_each(nodes, values, task_cells=6).collect()}
+    assert len(both) == len(pieces) == 40 * len(values)
+    for lam in values:
+        for r in fusion.solve(nodes, lam).collect():
+            for got in (both, pieces):
+                found = got[r["g"], lam, r["node_id"]]
+                assert np.allclose(found["theta"], r["theta"], atol=1e-9) and found["fused"] == r["fused"] and found["parent_id"] == r["parent_id"]
+    labels = path.fit_each(matrix(spark, x), [0.5, 1.0])
+    for lam in (0.5, 1.0):
+        alone = {tuple(r) for r in path.fit_one(matrix(spark, x), lam).collect()}
+        assert {(r["g"], r["sample_id"], r["label"]) for r in labels.where(F.col("lambda") == lam).collect()} == alone
+    with pytest.raises(ValueError):
+        fusion.solve_each(nodes, [])
+    with pytest.raises(ValueError):
+        fusion.solve_each(nodes, [-1.0, 2.0])
+
+
+def chain_search(spark, x, monkeypatch, **options):
+    """The search on a chain with weights of 1, and in how many rounds it has solved."""
+    points, rounds, solved = cut(matrix(spark, np.array(x)[:, None])), [], path.cluster_counts
+    edges = spark.createDataFrame([(0, i, i + 1, 1.0) for i in range(len(x) - 1)], "g int, u long, v long, dist double")
+    with monkeypatch.context() as m:
+        m.setattr(path, "cluster_counts", lambda nodes, lambdas: rounds.append(len(lambdas)) or solved(nodes, lambdas))
+        return *path.search_lambda(points, edges=edges, bandwidth=1e15, norm=False, **options), rounds
+
+
+def test_a_search_tries_the_same_whatever_is_solved_at_once(spark, monkeypatch):
+    x = [0.0, 3.0, 9.5, 11.0]
+    one, eight = (chain_search(spark, x, monkeypatch, step=1.0, least_step=0.3, ceiling=100.0, width=w) for w in (1, 8))
+    assert one[:2] == eight[:2] and one[1][-1][1] == 1
+    assert len(one[2]) == len(one[1]) and len(eight[2]) < len(one[2]) and max(eight[2]) <= 8
+    # Below the penalty that leaves one cluster there are several, from it on one.
+    assert all((n == 1) == (lam >= one[0]) for lam, n in one[1])
+
+
+def test_a_search_ends_where_its_first_hit_is_the_smallest(spark, monkeypatch):
+    """Two values 4 apart meet at a penalty of exactly 2: halving towards it from below never gets there."""
+    best, tried, rounds = chain_search(spark, [0.0, 4.0], monkeypatch, step=2.0, least_step=0.5, ceiling=100.0)
+    assert best == 2.0 and tried[0] == (2.0, 1) and all(n == 2 for _, n in tried[1:])
+    assert len(tried) < 30 and len(rounds) < len(tried) / 2
+    with pytest.raises(ValueError):
+        path.search_lambda(matrix(spark, np.ones((2, 1))), least_step=0.0)
+
+
+def test_a_search_may_stop_at_few_clusters_and_has_a_ceiling(spark, monkeypatch):
+    x = [0.0, 3.0, 9.5, 11.0]
+    best, tried, _ = chain_search(spark, x, monkeypatch, step=1.0, least_step=0.3, ceiling=100.0, stop_below=4)
+    assert tried[-1][1] < 4 and all(n >= 4 for _, n in tried[:-1]) and best == tried[-1][0] + 1.0
+    best, tried, rounds = chain_search(spark, x, monkeypatch, step=1.0, least_step=0.3, ceiling=1.0)
+    assert (best, tried, rounds) == (2.0, [], [])
+
+
 def test_reshaping(spark):
     points = matrix(spark, np.arange(12.0).reshape(4, 3))
     rows = {r["feature_idx"]: r["values"] for r in matrices.transpose(points).collect()}

@@ -8,6 +8,8 @@ holds a tree.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +73,18 @@ def solve(nodes: DataFrame, lam: float, feature_block: int = 64, task_cells: int
     return out.select("g", "node_id", "parent_id", F.flatten("p.x").alias("theta"), (F.col("fused") & F.col("parent_id").isNotNull()).alias("fused"))
 
 
+@tidy
+def solve_each(nodes: DataFrame, lambdas: Sequence[float], **options) -> DataFrame:
+    """As ``solve``, for several penalties side by side: g becomes a struct of g and lambda, so each penalty has tasks of
+    its own in the same jobs. A penalty scales its copy's edge weights. Equal penalties count once."""
+    values = sorted({float(v) for v in lambdas})
+    if not values or values[0] < 0:
+        raise ValueError("there must be penalties, none of them negative")
+    copies = nodes.withColumn("lambda", F.explode(F.array(*map(F.lit, values))))
+    copies = cut(copies.select(F.struct("g", "lambda").alias("g"), "node_id", "parent_id", (F.col("edge_weight") * F.col("lambda")).alias("edge_weight"), "node_weight", "x"))
+    return solve(copies, 1.0, **options)
+
+
 def next_fusion(nodes: DataFrame) -> DataFrame:
     """nodes as for ``solve`` -> g, free: a penalty below which no node gets its parent's value in all features. As long as no
     edge of a feature changes its direction, each node moves by the pull of its edges; the feature that lasts longest counts."""

@@ -8,6 +8,7 @@ task; with many groups there are many such tasks. Both ways give the same tables
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -187,30 +188,68 @@ def fit_one(samples: DataFrame, lam: float, **options) -> DataFrame:
 
 
 @tidy
-def search_lambda(samples: DataFrame, step: float = 1000.0, least_step: float = 50.0, stop_below: float = float("-inf"), ceiling: float | None = None, **options) -> tuple[float, list[tuple[float, int]]]:
+def fit_each(samples: DataFrame, lambdas: Sequence[float], **options) -> DataFrame:
+    """Several penalties, each as in ``fit_one`` and all in the same jobs: g, lambda, sample_id, label."""
+    labels = distinct_labels(fusion.solve_each(start_nodes(samples, **options), lambdas))
+    return labels.select("g.g", "g.lambda", "sample_id", "label")
+
+
+def cluster_counts(nodes: DataFrame, lambdas: Sequence[float]) -> dict[float, int]:
+    """Clusters that each penalty leaves of one data set."""
+    solved = fusion.solve_each(nodes, lambdas)
+    rows = solved.select("g.lambda", F.transform("theta", lambda v: F.round(v, 9) + 0.0).alias("t")).distinct().groupBy("lambda").count()
+    return {r["lambda"]: r["count"] for r in rows.collect()}
+
+
+def _tried(lam: float, stride: float, collapsed: bool, n: int) -> tuple[float, float, bool]:
+    """Where the search goes from a penalty that leaves n clusters."""
+    collapsed = collapsed or n == 1
+    stride = stride / 2 if collapsed else stride
+    return (lam + stride if n > 1 else lam - stride), stride, collapsed
+
+
+def _ahead(at: tuple[float, float, bool], ceiling: float, finest: float, width: int) -> list[float]:
+    """The next ``width`` penalties that the search may ask for: upwards until one has left one cluster, then both ways."""
+    found, queue = [], deque([at])
+    while queue and len(found) < width:
+        at = queue.popleft()
+        if at[0] < ceiling and at[1] >= finest:
+            found.append(at[0])
+            queue.extend(_tried(*at, n) for n in ((2, 1) if at[2] else (2,)))
+    return found
+
+
+@tidy
+def search_lambda(samples: DataFrame, step: float = 1000.0, least_step: float = 50.0, stop_below: float = float("-inf"), ceiling: float | None = None, width: int = 8, **options) -> tuple[float, list[tuple[float, int]]]:
     """The smallest penalty on a halving grid that leaves one cluster, plus the last step, and the (penalty,
-    clusters) that were tried. One data set (one g). The default ceiling is half the sum of squares."""
+    clusters) that were tried. One data set (one g). The default ceiling is half the sum of squares.
+
+    ``width`` penalties that may be asked for next are solved in one round, as copies of the tree; what is tried does not
+    depend on it. The published search ends at a penalty that leaves one cluster, once its step is below ``least_step``;
+    where the first such penalty is the smallest of all, it would go on for ever. Here a millionth of ``least_step``
+    ends it, at the smallest penalty tried that leaves one cluster."""
+    if step <= 0 or least_step <= 0:
+        raise ValueError("steps must be positive")
     nodes = start_nodes(samples, **options)
     if ceiling is None:
         ceiling = samples.agg(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)) / 2).first()[0] or 0.0
+    known: dict[float, int] = {}
     tried: list[tuple[float, int]] = []
-    lam, stride, collapsed = step, step, False
-    while lam < ceiling:
-        solution = fusion.solve(nodes, lam)
-        n = solution.select(F.transform("theta", lambda v: F.round(v, 9) + 0.0).alias("t")).distinct().count()
+    at, finest = (step, step, False), least_step * 1e-6
+    while at[0] < ceiling:
+        if at[1] < finest:
+            return min(lam for lam, n in tried if n == 1), tried
+        lam = at[0]
+        if lam not in known:
+            known |= cluster_counts(nodes, _ahead(at, ceiling, finest, width))
+        n = known[lam]
         tried.append((lam, n))
-        collapsed = collapsed or n == 1
         if n < stop_below:
             break
-        if collapsed:
-            stride /= 2
-        if n > 1:
-            lam += stride
-        else:
-            lam -= stride
-            if stride < least_step:
-                break
-    return lam + stride, tried
+        at = _tried(*at, n)
+        if n == 1 and at[1] < least_step:
+            break
+    return at[0] + at[1], tried
 
 
 def group_fits(df: DataFrame, id_col: str, features: list[str], group_col: str, lambdas: Sequence[float], **options) -> Fit:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -264,26 +265,28 @@ def solve_nodes(spark, sf_dir):
     return rows.select("g", "node_id", "parent_id", F.when(F.col("parent_id").isNull(), 0.0).otherwise(1.0).alias("edge_weight"), F.lit(1.0).alias("node_weight"), F.array(F.coalesce("x", F.lit(0.0))).alias("x"))
 
 
-@query(f"""
-WITH RECURSIVE {TREE_SQL}, p AS (SELECT id, up, coalesce(x, 0) AS x FROM nodes), lam AS (SELECT 500.0::DOUBLE AS l),
+def _solve_sql(nodes: str) -> str:
+    """node_id, theta of the hierarchy tree by bisection, from nodes(id, up, x, l: the bound of the edge to the parent)."""
+    return f"""
+WITH RECURSIVE p AS ({nodes}),
 nb AS (  -- bounds of each nation, by bisection on its derivative with its customers' clipped ones
-  SELECT id * 2 + s AS k, id, up, x, CASE s WHEN 0 THEN -l ELSE l END AS target, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step FROM p, lam, (VALUES (0), (1)) v(s) WHERE id >= 2000000
+  SELECT id * 2 + s AS k, id, up, x, CASE s WHEN 0 THEN -l ELSE l END AS target, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step FROM p, (VALUES (0), (1)) v(s) WHERE id >= 2000000
   UNION ALL
   SELECT b.k, any_value(b.id), any_value(b.up), any_value(b.x), any_value(b.target),
-    CASE WHEN any_value((lo + hi) / 2 - b.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0) < any_value(b.target) THEN any_value((lo + hi) / 2) ELSE any_value(lo) END,
-    CASE WHEN any_value((lo + hi) / 2 - b.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0) < any_value(b.target) THEN any_value(hi) ELSE any_value((lo + hi) / 2) END, any_value(step) + 1
-  FROM nb b CROSS JOIN lam LEFT JOIN p c ON c.up = b.id WHERE step < 70 GROUP BY b.k
+    CASE WHEN any_value((lo + hi) / 2 - b.x) + coalesce(sum(greatest(-c.l, least(c.l, (lo + hi) / 2 - c.x))), 0) < any_value(b.target) THEN any_value((lo + hi) / 2) ELSE any_value(lo) END,
+    CASE WHEN any_value((lo + hi) / 2 - b.x) + coalesce(sum(greatest(-c.l, least(c.l, (lo + hi) / 2 - c.x))), 0) < any_value(b.target) THEN any_value(hi) ELSE any_value((lo + hi) / 2) END, any_value(step) + 1
+  FROM nb b LEFT JOIN p c ON c.up = b.id WHERE step < 70 GROUP BY b.k
 ),
 nation_b AS (SELECT id, any_value(up) AS up, any_value(x) AS x, min(lo) FILTER (target < 0) AS lb, max(lo) FILTER (target > 0) AS ub FROM nb WHERE step = 70 GROUP BY id),
 rb AS (
-  SELECT id * 2 + s AS k, id, x, CASE s WHEN 0 THEN -l ELSE l END AS target, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step FROM p, lam, (VALUES (0), (1)) v(s) WHERE id >= 1000000 AND id < 2000000
+  SELECT id * 2 + s AS k, id, x, CASE s WHEN 0 THEN -l ELSE l END AS target, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS step FROM p, (VALUES (0), (1)) v(s) WHERE id >= 1000000 AND id < 2000000
   UNION ALL
   SELECT k, any_value(id), any_value(x), any_value(target), CASE WHEN any_value(mid - x) + coalesce(sum(m), 0) < any_value(target) THEN any_value(mid) ELSE any_value(lo) END,
     CASE WHEN any_value(mid - x) + coalesce(sum(m), 0) < any_value(target) THEN any_value(hi) ELSE any_value(mid) END, any_value(step) + 1
   FROM (
     SELECT b.k, n.id AS nid, any_value(b.id) AS id, any_value(b.x) AS x, any_value(target) AS target, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(step) AS step,
-      CASE WHEN n.id IS NULL THEN 0 ELSE greatest(-any_value(l), least(any_value(l), any_value((lo + hi) / 2 - n.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0))) END AS m
-    FROM rb b CROSS JOIN lam LEFT JOIN p n ON n.up = b.id LEFT JOIN p c ON c.up = n.id WHERE step < 70 GROUP BY b.k, n.id
+      CASE WHEN n.id IS NULL THEN 0 ELSE greatest(-any_value(n.l), least(any_value(n.l), any_value((lo + hi) / 2 - n.x) + coalesce(sum(greatest(-c.l, least(c.l, (lo + hi) / 2 - c.x))), 0))) END AS m
+    FROM rb b LEFT JOIN p n ON n.up = b.id LEFT JOIN p c ON c.up = n.id WHERE step < 70 GROUP BY b.k, n.id
   ) GROUP BY k
 ),
 region_b AS (SELECT id, any_value(x) AS x, min(lo) FILTER (target < 0) AS lb, max(lo) FILTER (target > 0) AS ub FROM rb WHERE step = 70 GROUP BY id),
@@ -293,9 +296,9 @@ root AS (
   SELECT CASE WHEN d < 0 THEN mid ELSE lo END, CASE WHEN d < 0 THEN hi ELSE mid END, step + 1 FROM (
     SELECT any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(step) AS step, any_value(mid) + sum(greatest(-l, least(l, own + inner_))) AS d FROM (
       SELECT r.id, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(step) AS step, any_value(l) AS l, any_value(mid - r.x) AS own, sum(m) AS inner_ FROM (
-        SELECT r.id, n.id AS nid, any_value(r.x) AS x, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(step) AS step, any_value(l) AS l,
-          CASE WHEN n.id IS NULL THEN 0 ELSE greatest(-any_value(l), least(any_value(l), any_value((lo + hi) / 2 - n.x) + coalesce(sum(greatest(-l, least(l, (lo + hi) / 2 - c.x))), 0))) END AS m
-        FROM root CROSS JOIN lam CROSS JOIN (SELECT * FROM p WHERE id >= 1000000 AND id < 2000000) r LEFT JOIN p n ON n.up = r.id LEFT JOIN p c ON c.up = n.id WHERE step < 70 GROUP BY r.id, n.id
+        SELECT r.id, n.id AS nid, any_value(r.x) AS x, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(step) AS step, any_value(r.l) AS l,
+          CASE WHEN n.id IS NULL THEN 0 ELSE greatest(-any_value(n.l), least(any_value(n.l), any_value((lo + hi) / 2 - n.x) + coalesce(sum(greatest(-c.l, least(c.l, (lo + hi) / 2 - c.x))), 0))) END AS m
+        FROM root CROSS JOIN (SELECT * FROM p WHERE id >= 1000000 AND id < 2000000) r LEFT JOIN p n ON n.up = r.id LEFT JOIN p c ON c.up = n.id WHERE step < 70 GROUP BY r.id, n.id
       ) r GROUP BY r.id
     )
   ) WHERE step IS NOT NULL
@@ -303,9 +306,12 @@ root AS (
 t0 AS (SELECT lo AS t FROM root WHERE step = 70),
 t1 AS (SELECT id, greatest(lb, least(ub, t)) AS t FROM region_b, t0),
 t2 AS (SELECT n.id, greatest(lb, least(ub, t1.t)) AS t FROM nation_b n JOIN t1 ON t1.id = n.up),
-t3 AS (SELECT c.id, greatest(c.x - l, least(c.x + l, t2.t)) AS t FROM p c JOIN t2 ON t2.id = c.up, lam WHERE c.id < 1000000 AND c.id >= 0)
+t3 AS (SELECT c.id, greatest(c.x - c.l, least(c.x + c.l, t2.t)) AS t FROM p c JOIN t2 ON t2.id = c.up WHERE c.id < 1000000 AND c.id >= 0)
 SELECT id AS node_id, round(t, 6) + 0.0 AS theta FROM (SELECT -1 AS id, t FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)
-""")
+"""
+
+
+@query(f"WITH {TREE_SQL} SELECT * FROM ({_solve_sql('SELECT id, up, coalesce(x, 0) AS x, 500.0::DOUBLE AS l FROM nodes')})")
 def tree_solve(spark, sf_dir):
     return fusion.solve(solve_nodes(spark, sf_dir), 500.0).select("node_id", rounded(F.get("theta", F.lit(0))).alias("theta"))
 
@@ -404,6 +410,82 @@ def single_lambda_labels(spark, sf_dir):
     return found.groupBy("label").agg(F.min("sample_id").alias("first"), F.count(F.lit(1)).alias("n")).drop("label")
 
 
+# The hierarchy tree at several penalties, with two features: a node joins its parent where both agree. In SQL a level is
+# one bisection a feature over the whole tree, where the edges of those who have joined before have no bound.
+
+TREE_LAMBDAS = [100.0, 500.0, 2000.0, 20000.0, 1e6]
+FEATURES = ("coalesce(x, 0)", "abs(coalesce(x, 0))")
+
+
+def _both(lam: float, x: tuple[str, str], bound: str, source: str) -> str:
+    one, two = (_solve_sql(f"SELECT id, up, {v} AS x, {bound} AS l FROM {source}") for v in x)
+    return f"SELECT {lam}::DOUBLE AS \"lambda\", a.node_id, a.theta AS t0, b.theta AS t1 FROM ({one}) a JOIN ({two}) b USING (node_id)"
+
+
+def _tree_path_sql(lambdas) -> str:
+    parts = ["f0 AS (SELECT 0 AS level, 0.0::DOUBLE AS \"lambda\", id, up, coalesce(x, 0) AS x, false AS fused FROM nodes)"]
+    for k, lam in enumerate(lambdas, 1):
+        solved = _both(lam, FEATURES, f"CASE WHEN fused THEN 1e15 ELSE {lam} END::DOUBLE", f"f{k - 1}")
+        parts += [
+            f"th{k} AS MATERIALIZED ({solved})",
+            f"f{k} AS MATERIALIZED (SELECT {k} AS level, a.\"lambda\", n.id, n.up, n.x, coalesce(abs(a.t0 - b.t0) < 1e-5 AND abs(a.t1 - b.t1) < 1e-5, false) AS fused FROM f{k - 1} n JOIN th{k} a ON a.node_id = n.id LEFT JOIN th{k} b ON b.node_id = n.up)",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, len(lambdas) + 1))
+    return f"""
+WITH RECURSIVE {TREE_SQL}, {", ".join(parts)}, f AS MATERIALIZED ({every}),
+rep AS (SELECT level, id, id AS rep FROM f WHERE up IS NULL UNION ALL SELECT f.level, f.id, CASE WHEN f.fused THEN rep.rep ELSE f.id END FROM f JOIN rep ON rep.id = f.up AND rep.level = f.level),
+c AS (SELECT level, any_value("lambda") AS "lambda", count(*) FILTER (NOT fused) AS n_out, count(*) AS n FROM f GROUP BY level)
+"""
+
+
+TREE_PATH_SQL = _tree_path_sql(TREE_LAMBDAS)
+
+
+def tree_points(spark, sf_dir):
+    return tree_nodes(spark, sf_dir).select("g", F.col("node_id").alias("sample_id"), F.array(F.coalesce("x", F.lit(0.0)), F.abs(F.coalesce("x", F.lit(0.0)))).alias("x"))
+
+
+def tree_path(spark, sf_dir, **options) -> tuple[DataFrame, Fit]:
+    points = tree_points(spark, sf_dir)
+    return points, path.follow(path.start_nodes(points, 1e15, norm=False, edges=tree_edges(spark, sf_dir)), TREE_LAMBDAS, **options)
+
+
+@query(TREE_PATH_SQL + "SELECT * FROM (SELECT level, \"lambda\", coalesce(lag(n_out) OVER (ORDER BY level), n) AS n_in, n_out FROM c) WHERE n_in > 1")
+def tree_path_counts(spark, sf_dir):
+    """Levels of a path on a whole tree between its ends, in two features."""
+    return path.level_counts(tree_path(spark, sf_dir)[1]).drop("g")
+
+
+@query(ORACLE["tree_path_counts"])
+def tree_path_counts_in_spark(spark, sf_dir):
+    """The same levels as Spark jobs; trees of more than 1000 nodes are solved in pieces."""
+    return path.level_counts(tree_path(spark, sf_dir, task_cells=0, solve_cells=1000)[1]).drop("g")
+
+
+@query(TREE_PATH_SQL + "SELECT level, id AS sample_id, rep AS rep_id FROM rep WHERE level <= 4")
+def tree_path_clusters(spark, sf_dir):
+    """Who is with whom at each level: pointers, followed to their end."""
+    points, fit = tree_path(spark, sf_dir)
+    each = [path.compose(points, fit.pointers, level).select(F.lit(level).alias("level"), "sample_id", "rep_id") for level in range(1, 5)]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(TREE_PATH_SQL + """SELECT level, id AS sample_id, round(avg(x) OVER w + 3.3e-7, 5) + 0.0 AS theta0, round(avg(abs(x)) OVER w + 3.3e-7, 5) + 0.0 AS theta1
+FROM rep JOIN f USING (level, id) WHERE level <= 4 WINDOW w AS (PARTITION BY level, rep)""")
+def tree_path_means(spark, sf_dir):
+    """Cluster means at each level; moved a little, so that means of cents don't lie half-way between two rounded values."""
+    points, fit = tree_path(spark, sf_dir)
+    means = path.expand(points, fit, [1, 2, 3, 4])
+    return means.select("level", "sample_id", *(rounded(F.get("theta", F.lit(i)) + 3.3e-7, 5).alias(f"theta{i}") for i in (0, 1)))
+
+
+@query(f"WITH {TREE_SQL} SELECT \"lambda\", min(node_id) AS first, count(*) AS n FROM ({' UNION ALL '.join(_both(v, FEATURES, f'{v}::DOUBLE', 'nodes') for v in TREE_LAMBDAS)}) GROUP BY \"lambda\", t0, t1")
+def several_lambda_labels(spark, sf_dir):
+    """Single penalties side by side, in the same jobs."""
+    found = path.fit_each(tree_points(spark, sf_dir), TREE_LAMBDAS, edges=tree_edges(spark, sf_dir), bandwidth=1e15, norm=False)
+    return found.groupBy("lambda", "label").agg(F.min("sample_id").alias("first"), F.count(F.lit(1)).alias("n")).drop("label")
+
+
 # A star: all suppliers hang on the first one. Its levels can be solved in closed form: the centre's value is
 # where a sum of clipped differences is 0, which is found between two of its breakpoints.
 
