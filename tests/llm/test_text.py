@@ -57,6 +57,26 @@ def test_contamination_equals_brute_force(spark, broadcast):
     assert got == brute_contamination(texts(), ITEMS)
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_items_without_ids_hit_and_rows_of_one_id_stay_apart(spark, broadcast):
+    base = texts()[5][1]
+    items = [(None, "two words"), (7, " ".join(base.split()[:12]))]
+    docs = [(1, base), (1, "two words and no more"), (1, base), (2, None), (None, "Two WORDS")]
+    got = decontaminate.contamination(documents(spark, docs, repeat=False), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast)
+    want = [(d, *brute_contamination([(d, t)], items)[d]) for d, t in (docs[i] for i in (0, 1, 3, 4))]
+    assert sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_many_documents_past_the_broadcast_limit(spark):
+    """A word that every document has, and a row for every document, whether or not it meets a window."""
+    items = [(i, f"the common word {i} and nine more that follow it here") for i in range(40)] + [(99, "the")]
+    docs = [(i, f"The common word {i % 80} and nine more that follow it here, the end" if i % 3 else f"the {i}") for i in range(2000)]
+    got = decontaminate.contamination(documents(spark, docs, repeat=False), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()} == brute_contamination(docs, items)
+    assert "Union" in plan  # marks come beside the join
+
+
 def test_items_may_have_string_ids(spark):
     items = spark.createDataFrame([(f"it-{i}", t) for i, t in ITEMS], "item_id string, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(documents(spark), items).collect()}

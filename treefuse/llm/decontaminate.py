@@ -8,7 +8,8 @@ and the rest is compared word for word with the document at that place.
 
 The window table is broadcast only while it measures at most ``broadcast_bytes``. Then exploding, joining
 and comparing are one stage in which the document's word array is never copied. A larger table is joined
-by a shuffle on the rare word, and matches go back to their documents by a second join.
+by a shuffle on the rare word, and matches go back to their documents by a second join; documents' own rows,
+which carry their word counts, stay out of both.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from treefuse.llm.shared import ascii_lower, cut
 
 NOT_WORD = r"[\x00-/:-@\[-`{-\x7f]+"
-MARK = "\x01"  # no word: stands before a document's words and carries its word count through the join
+MARK = "\x01"  # no word: stands before a document's words and carries its word count through the broadcast join
 
 
 def raw_words(text: Column) -> Column:
@@ -52,31 +53,37 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
     keys = placed.select("key").distinct()
     bound = keys.agg(F.coalesce(F.sum(F.length("key") + 48), F.lit(0)).alias("b")).first()["b"]
     words = d.select(F.explode("words").alias("word")).select(F.lower("word").alias("key"))
-    counts = words.join(F.broadcast(keys) if bound <= broadcast_bytes else keys, "key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    number = F.count(F.lit(1)).alias("df")
+    if bound <= broadcast_bytes:
+        counts = words.join(F.broadcast(keys), "key").groupBy("key").agg(number)
+    else:  # words are counted where they are read, so a frequent one is a row a task before it moves
+        counts = words.groupBy("key").agg(number).join(keys, "key")
     rarest = placed.join(counts, "key", "left").groupBy("win", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "off")).alias("r"))
-    probe = (
-        rarest.where("r.df > 0").select("win", "n", "r.key", "r.off").join(windows.select("win", "item_id"), "win")
-        .unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("win"), F.lit(1).alias("n"), F.lit(MARK).alias("key"), F.lit(0).alias("off"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")))
-    )
-    probe = cut(probe)  # both its size and the join ask for it: the corpus is counted once
-    bound = probe.agg(F.sum(F.length("win") + F.length("key") + 96).alias("b")).first()["b"]
+    probe = cut(rarest.where("r.df > 0").select("win", "n", "r.key", "r.off").join(windows.select("win", "item_id"), "win"))  # the corpus is counted once
+    bound = probe.agg(F.coalesce(F.sum(F.length("win") + F.length("key") + 96), F.lit(0)).alias("b")).first()["b"]
+    no_item = F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")
 
     inside = F.when(
         (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("words")),
         ascii_lower(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")) == F.col("win"),
     ).otherwise(False)
-    if bound <= broadcast_bytes:
+    shuffled = bound > broadcast_bytes
+    if not shuffled:
+        mark = docs.sparkSession.range(1).select(F.lit(MARK).alias("win"), F.lit(1).alias("n"), F.lit(MARK).alias("key"), F.lit(0).alias("off"), no_item)
+        probe = probe.unionByName(mark)
         at = d.select("doc_id", "h", "n_words", "words", F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
         hits = at.join(F.broadcast(probe), "key").withColumn("start", F.col("pos") - F.col("off")).where(inside)
     else:
         # Only words that some window is looked up by are shuffled: their list is far smaller than the windows'.
         asked = cut(probe.select("key").distinct())
-        bound = asked.agg(F.sum(F.length("key") + 48).alias("b")).first()["b"]
+        bound = asked.agg(F.coalesce(F.sum(F.length("key") + 48), F.lit(0)).alias("b")).first()["b"]
         at = d.select("doc_id", "h", F.posexplode("words").alias("pos", "word")).select("doc_id", "h", "pos", F.lower("word").alias("key"))
         at = at.join(F.broadcast(asked), "key", "left_semi") if bound <= broadcast_bytes else at
         may = at.join(probe, "key").select(F.struct("doc_id", "h").alias("k"), (F.col("pos") - F.col("off")).alias("start"), "win", "n", "item_id").distinct()
         hits = may.join(d.withColumn("k", F.struct("doc_id", "h")).dropDuplicates(["k"]), "k").where(inside)
     hits = hits.select("doc_id", "h", "n_words", "start", (F.col("start") + F.col("n")).alias("end"), "item_id", (F.col("win") == MARK).alias("mark"))
+    if shuffled:  # all documents' marks would meet on one key of that join
+        hits = hits.unionByName(d.select("doc_id", "h", "n_words", F.lit(0).alias("start"), F.lit(1).alias("end"), no_item, F.lit(True).alias("mark")))
 
     # Words under several windows count once: each window adds what reaches beyond all earlier ones.
     w = Window.partitionBy("doc_id", "h").orderBy("start", "end")
