@@ -355,6 +355,30 @@ def test_neighbours(spark):
     assert nearest.nearest(table.where("vec_id < 0"), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["dense clusters", "far from zero", "many scales", "many ties"])
+def test_neighbours_of_odd_rows_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(4)
+    n, dims = 2400, 16
+    if kind == "dense clusters":
+        x = rng.normal(size=(4, dims))[np.arange(n) % 4] + 1e-4 * rng.normal(size=(n, dims))
+    elif kind == "far from zero":
+        x = 1000 + 0.1 * rng.normal(size=(n, dims))
+    elif kind == "many scales":
+        x = rng.normal(size=(n, dims)) * 10.0 ** rng.uniform(-4, 4, (n, 1))
+    else:
+        x = rng.integers(0, 2, (n, dims)) + np.eye(dims)[np.arange(n) % dims]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = nearest.nearest(table, F.col("id") % 100 == 0, rerank=50, code_block=500).collect()
+    want = []
+    for q in range(0, n, 100):
+        total = np.zeros(n)
+        for c in range(dims):
+            total += (x[:, c] - x[q, c]) ** 2
+        best = sorted((d, i) for i, d in enumerate(np.sqrt(total).tolist()) if i != q)[:10]
+        want += [(q, rank, i, d) for rank, (d, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_digest_queries_have_the_promised_columns(spark, sf_dir):
     from treefuse.llm.queries import QUERIES
 

@@ -2,13 +2,20 @@
 
 Vectors are cut into pairs of components; each pair is replaced by one of 16 codewords (four bits). The
 codewords are fitted, and each vector is encoded, under a loss that weighs the part of the error along the
-vector ``eta`` times as much as the part across it: errors along it are what changes large inner products
-(Guo et al. 2020). A query's inner products with all codewords make small tables; a scan adds up one
-entry for each byte of a code. With the exact norms this ranks by Euclidean distance; the best ``rerank``
-of each query are measured again on the original vectors.
+vector's direction from the sample's centre ``eta`` times as much as the part across it: errors along it are
+what changes large inner products (Guo et al. 2020). A query's squared distances from all codewords make small
+tables; a scan adds up one entry for each byte of a code. That is the distance from what a code stands for,
+and less the squared length of the code's error it ranks a block's vectors; the best ``rerank`` are measured on
+the original vectors.
+
+A code alone can't tell vectors apart that are nearer to each other than its error: dense clusters, far
+outliers, rows unlike the sample. So each code keeps the length of its error. By the triangle inequality no vector is
+nearer than the scanned distance less that length; all whose bound is within the k-th distance measured so far
+are measured as well, beside their codes. Nothing is missed, whatever the rows; where codes tell little, more is
+measured.
 
 Codebooks are fitted on at most ``sample`` vectors, the first by a hash of their ids; every vector is
-encoded and scanned. Codes stay where they were written; blocks of queries come past them in rounds, each
+encoded and scanned. Codes and vectors stay where they were written; blocks of queries come past them in rounds, each
 round a broadcast of at most about ``broadcast_bytes``. Equal vectors are one row with its smallest ids, and
 vectors of another length are another search.
 """
@@ -35,6 +42,7 @@ ANSWER = "query_id bigint, rank int, vec_id bigint, score double"
 class Codebook:
     words: np.ndarray  # pairs x 16 x 2
     eta: float
+    centre: np.ndarray
 
     @property
     def dims(self) -> int:
@@ -54,7 +62,7 @@ def encode_rows(book: Codebook, x: np.ndarray, sweeps: int = 2, codes: np.ndarra
     """rows x pairs codes: nearest words first, then each pair in turn takes the word that makes the
     weighted loss smallest with the others held."""
     n, pairs = len(x), len(book.words)
-    parts, unit = x.reshape(n, pairs, 2), directions(x).reshape(n, pairs, 2)
+    parts, unit = x.reshape(n, pairs, 2), directions(x - book.centre).reshape(n, pairs, 2)
     if codes is None:
         codes = np.stack([((parts[:, s, None] - book.words[s]) ** 2).sum(2).argmin(1) for s in range(pairs)], 1)
     left = parts - book.words[np.arange(pairs), codes]
@@ -78,8 +86,8 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 4, seed: int = 11)
     pairs = dims // 2
     eta = max(1.0, (dims - 1) * threshold**2 / (1 - threshold**2))
     rng = np.random.default_rng(seed)
-    book = Codebook(np.zeros((pairs, WORDS, 2)), eta)
-    parts, unit = x.reshape(n, pairs, 2), directions(x).reshape(n, pairs, 2)
+    book = Codebook(np.zeros((pairs, WORDS, 2)), eta, x.mean(0))
+    parts, unit = x.reshape(n, pairs, 2), directions(x - book.centre).reshape(n, pairs, 2)
     for s in range(pairs):  # plain k-means to begin with
         words = parts[rng.choice(n, WORDS, replace=n < WORDS), s].copy()
         for _ in range(8):
@@ -108,14 +116,35 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 4, seed: int = 11)
     return book
 
 
+def errors(book: Codebook, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """How far each vector is from what its code stands for."""
+    left = x.reshape(len(x), -1, 2) - book.words[np.arange(len(book.words)), codes]
+    return np.sqrt((left**2).sum((1, 2)))
+
+
 def byte_tables(book: Codebook, q: np.ndarray) -> np.ndarray:
-    """queries x bytes x 256: inner products of a query with what the two codes of a byte stand for."""
+    """queries x bytes x 256: squared distances of a query from what the two codes of a byte stand for."""
     q = even(q, book.dims).reshape(len(q), -1, 1, 2)
-    each = (q * book.words[None]).sum(3)  # queries x pairs x 16
+    each = ((q - book.words[None]) ** 2).sum(3)  # queries x pairs x 16
     if each.shape[1] % 2:
         each = np.pad(each, ((0, 0), (0, 1), (0, 0)))
     low, high = each[:, 0::2], each[:, 1::2]
-    return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(q), -1, 256).astype(np.float32)
+    return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(q), -1, 256)
+
+
+def distances(columns: np.ndarray, q: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Of these rows from q, component after component, so that ties fall as in any other plain sum."""
+    total = np.zeros(columns[0][which].shape)
+    for x, y in zip(columns, q, strict=True):
+        away = x[which] - y
+        away *= away
+        total += away
+    return np.sqrt(total)
+
+
+def within(scanned: np.ndarray, error: np.ndarray, limit: float) -> np.ndarray:
+    """Which rows can be as near as ``limit``, by their scanned squared distances: all but those that surely aren't."""
+    return np.flatnonzero(~(scanned > (error + limit) ** 2 * (1 + 1e-9) + 1e-300))  # for rounding and underflow
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -133,15 +162,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def squared_distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """vectors(id, vector) and a condition on ``id`` -> query_id, rank (from 1), vec_id, score.
 
     Each query's k nearest of all other vectors of its length by Euclidean distance, ties to the smaller id;
-    fewer if there are fewer. Vectors that are null, zero, or hold a null or a non-finite component take no
+    fewer if there are fewer. None is missed. Vectors that are null, zero, or hold a null or a non-finite component take no
     part. Repeated ids count once, with their first vector in order. An empty table gives no rows. Other
     columns are ignored. ``options`` are those of ``search``.
     """
@@ -150,8 +175,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], ANSWER)
 
 
-def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample: int = 20_000, query_block: int = 256, code_block: int = 16_384, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """rows(id, v, h1, h2: hashes of v), all of one length."""
+def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample: int = 20_000, query_block: int = 256, code_block: int = 16_384, code_bytes: int = 2 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """rows(id, v, h1, h2: hashes of v), all of one length. ``code_bytes``: of a block's vectors, one at least."""
+    rerank = max(rerank, k + 1)
     # Equal vectors: one row with the k + 1 smallest ids, which is all that any query can return of them.
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2", "v").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = cut(ranked.groupBy("h1", "h2", "v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")))
@@ -170,45 +196,60 @@ def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample:
                 for a in range(0, batch.num_rows, size):
                     part = batch.slice(a, size)
                     x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
-                    body = packed(encode_rows(book, even(x, book.dims))).tobytes() if encoded else x.tobytes()
+                    codes, error, body = b"", b"", x
+                    if encoded:
+                        full = even(x, book.dims)
+                        found = encode_rows(book, full)
+                        codes, error, body = packed(found).T.tobytes(), errors(book, full, found).tobytes(), x.T
                     name = (TaskContext.get().partitionId() << 32) + made
                     made += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([part.column("rep").to_numpy().tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([(x**2).sum(1).astype(np.float32).tobytes()], pa.binary())], names=["block", "ids", "body", "norms"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([v], pa.binary()) for v in (part.column("rep").to_numpy().tobytes(), codes, error, body.tobytes()))], names=["block", "ids", "codes", "errors", "body"])
 
         return run
 
-    kind = "block bigint, ids binary, body binary, norms binary"
+    kind = "block bigint, ids binary, codes binary, errors binary, body binary"
+    code_block = max(1, min(code_block, code_bytes // (8 * book.dims)))
     codes = cut(distinct.select("rep", "v").mapInArrow(blocks(code_block, True), kind))
     dealt = asked.repartition(-(-n_asked // query_block), "rep")
     asked_blocks = cut(dealt.mapInArrow(blocks(query_block, False), kind)).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
     rounds = -(-asked_blocks.agg(F.sum(F.octet_length("q_ids") + F.octet_length("q_body"))).first()[0] // broadcast_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_body"], np.float64).reshape(len(q_ids), -1)
-                ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
-                body = np.ascontiguousarray(np.frombuffer(row["body"], np.uint8).reshape(len(ids), -1).T)
-                out = ([], [], [])
-                for i, table in zip(q_ids, byte_tables(book, q), strict=True):
-                    total = table[0].take(body[0])
-                    for b in range(1, len(body)):
-                        total += table[b].take(body[b])
-                    near = norms - 2 * total
-                    best = np.argpartition(near, rerank - 1)[:rerank] if len(near) > rerank else np.arange(len(near))
-                    for o, x in zip(out, (np.full(len(best), i), ids[best], near[best].astype(np.float64)), strict=True):
-                        o.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "rep", "near"])
+        limits: dict[int, np.ndarray] = {}  # of each query block: what a query's (k + 1)-th distance can't exceed
+        for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            q_ids = np.frombuffer(row["q_ids"], np.int64)
+            q = np.frombuffer(row["q_body"], np.float64).reshape(len(q_ids), -1)
+            limit = limits.setdefault(row["q_block"], np.full(len(q_ids), np.inf))
+            ids, error = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"])
+            body, columns = (np.frombuffer(row[c], t).reshape(-1, len(ids)) for c, t in (("codes", np.uint8), ("body", np.float64)))
+            gain = error**2
+            out = ([], [], [])
+            for i in range(len(q)):
+                table = byte_tables(book, q[i : i + 1])[0]
+                scanned = table[0].take(body[0])
+                for t, code in zip(table[1:], body[1:], strict=True):
+                    scanned += t.take(code)
+                some = within(scanned, error, limit[i])
+                if len(some) > rerank:
+                    first = some[np.argpartition((scanned - gain)[some], rerank - 1)[:rerank]]
+                    limit[i] = min(limit[i], np.partition(distances(columns, q[i], first), k)[k])
+                    some = some[within(scanned[some], error[some], limit[i])]
+                score = distances(columns, q[i], some if len(some) < len(ids) else slice(None))
+                best = np.flatnonzero(~(score > limit[i]))
+                if len(best) > k + 1:
+                    best = best[score[best] <= np.partition(score[best], k)[k]]
+                    best = best[np.lexsort((ids[some[best]], score[best]))][: k + 1]
+                if len(best) == k + 1:
+                    limit[i] = min(limit[i], score[best].max())
+                for o, x in zip(out, (np.full(len(best), q_ids[i]), ids[some[best]], score[best]), strict=True):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "rep", "score"])
 
     def near(part: DataFrame) -> DataFrame:
         """q, score, vec_id of a round's queries: all codes are scanned, so what a query finds is final."""
-        found = codes.crossJoin(F.broadcast(part)).mapInArrow(scan, "q bigint, rep bigint, near double")
-        found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("near", "rep"))).where(F.col("r") <= rerank)
-        exact = found.join(distinct.select("rep", "v", "ids"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q")
-        exact = exact.select("q", "rep", "ids", F.sqrt(squared_distance("v", "qv")).alias("score"))
+        exact = codes.crossJoin(F.broadcast(part)).mapInArrow(scan, "q bigint, rep bigint, score double")
         exact = exact.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
-        each = exact.select("q", "score", F.explode("ids").alias("vec_id"))
+        each = exact.join(distinct.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
         return each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
 
     each = near(asked_blocks) if rounds == 1 else reduce(DataFrame.unionByName, [cut(near(asked_blocks.where(F.pmod(F.xxhash64("q_block"), F.lit(rounds)) == i))) for i in range(rounds)])
