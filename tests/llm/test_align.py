@@ -88,3 +88,20 @@ def test_shared_cuts_equal_intersection():
             begin.append(len(ends_a))
         got = token_align.shared_cuts(np.array(ends_a, np.int64), np.array(ends_b, np.int64), np.array(begin))
         assert got.tolist() == [i for i, e in enumerate(ends_a) if e in {*ends_b}]
+
+
+@pytest.mark.parametrize("memory", [1 << 20, 0])
+def test_fragments_are_cut_into_groups_once(monkeypatch, memory):
+    from treefuse.llm.bpe import public_vocabulary
+
+    seen, cuts = [], token_align.shared_cuts
+    monkeypatch.setattr(token_align, "shared_cuts", lambda a, b, begin: seen.append(len(a)) or cuts(a, b, begin))
+    encoder = token_align.PairEncoder(*token_align.vocabularies(public_vocabulary(), token_align.public_pieces()), memory)
+    rows = [(i, t) for i, t in texts() + AWKWARD if i != 30] + [(200 + i, "unhappily misspelt wrods, again and again " * 30) for i in range(40)]
+    data = [(" " + (t or "")).encode() for _, t in rows]
+    want = {r[0]: (r[1], r[2], r[3], r[7]) for r in brute(rows)}
+    for _ in range(3):
+        n_a, n_b, shas, pairs, begin = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data]))))
+        assert {i: x for (i, _), *x in zip(rows, n_a, n_b, np.diff(begin), shas, strict=True)} == {i: list(x) for i, x in want.items()}
+        assert len(pairs) == begin[-1]
+    assert len(seen) == (1 if memory else 3) and max(seen) < sum(n_a) / 4

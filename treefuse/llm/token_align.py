@@ -6,11 +6,12 @@ end at one byte, the text can be cut, and what lies between two cuts is a group.
 Cuts are found by divide and conquer on the ends of A's tokens: near the middle of an interval, going outwards,
 the first end is taken that bisecting B's ends finds there too, and both sides are searched on. Ends that were
 tried in vain lie beside the new cut and need no second try, so each is tried once; an interval without any
-common end is a leaf group. All intervals of a run of texts go through a round together, as arrays.
+common end is a leaf group. All intervals of many fragments go through a round together, as arrays.
 
-Texts are encoded in fragments that begin at a space after something that isn't white space: neither vocabulary
-can join bytes across such a place. A worker process reads its vocabularies once and remembers fragments up to a
-number of bytes.
+Texts are cut into fragments that begin at a space after something that isn't white space: neither vocabulary
+can join bytes across such a place, so fragments end together in A and B, and a text's groups are its fragments' in a
+row. Each distinct fragment is encoded and cut into groups once; its groups, spelt out, and its links are remembered
+up to a number of bytes. A worker process reads its vocabularies once.
 
 Corpus-wide counts of linked id pairs come from a group-by. The most frequent pairs, a fixed number, are looked up
 in an array that goes to all tasks; the others, each rare, are joined by a shuffle, so no key is hot in it.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,66 +73,6 @@ def public_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Sequences:
-    """Growing number sequences in one array."""
-
-    def __init__(self):
-        self.parts, self.begin = [np.zeros(0, np.int32)], [0]
-
-    def add(self, rows: list[list[int]]) -> None:
-        self.parts.append(np.fromiter((i for r in rows for i in r), np.int32))
-        self.begin.extend((self.begin[-1] + np.cumsum([len(r) for r in rows], dtype=np.int64)).tolist())
-
-    def pick(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sequences of these numbers in a row, and where each begins (one more than sequences)."""
-        self.parts = [np.concatenate(self.parts)]
-        begin = np.asarray(self.begin, np.int64)
-        lens = begin[which + 1] - begin[which]
-        ends = np.cumsum(lens)
-        at = np.repeat(begin[which] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.parts[0][at], np.concatenate(([0], ends))
-
-
-class PairEncoder:
-    ENTRY = 260  # bytes of a dictionary entry with its key's and numbers' objects
-
-    def __init__(self, a: Vocabulary, b: Pieces, memory: int):
-        self.a, self.b, self.memory = a, b, memory
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.left, self.right, self.same, self.held = Sequences(), Sequences(), [], 0
-
-    def encode(self, data: np.ndarray, at: np.ndarray):
-        """For the rows of a run: A's ids and where each row's begin, the same of B, and whether both spell the row.
-        Each row begins with a space."""
-        cuts = self.a.cuts(data, at)
-        inner = cuts[1:-1]
-        rows = np.isin(inner, at)
-        cuts = np.concatenate((cuts[:1], inner[rows | ((data[inner] == 0x20) & ~self.b.into_space[data[inner - 1]])], cuts[-1:]))
-        raw, bounds = data.tobytes(), cuts.tolist()
-        found = [raw[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        if self.held > self.memory:
-            self.forget()
-        known = self.known
-        if new := list({f for f in found if f not in known}):
-            texts = [f.decode() for f in new]
-            left = [e.ids for e in self.a.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            right = self.b.encode(texts)
-            spelt = lambda table, ids: b"".join(map(table.__getitem__, ids))
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.same += [spelt(self.a.bytes, x) == f == spelt(self.b.bytes, y) for f, x, y in zip(new, left, right, strict=True)]
-            self.left.add(left)
-            self.right.add(right)
-            self.held += sum(map(len, new)) + 4 * sum(len(x) + len(y) for x, y in zip(left, right, strict=True)) + self.ENTRY * len(new)
-        which = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-        row = np.searchsorted(cuts, at)
-        (a, begin_a), (b, begin_b) = self.left.pick(which), self.right.pick(which)
-        wrong = np.concatenate(([0], np.cumsum(~np.asarray(self.same, bool)[which])))
-        return a, begin_a[row], b, begin_b[row], wrong[row[1:]] == wrong[row[:-1]]
-
-
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Positions in ends_a, in order, of the ends that ends_b has too. ``begin``: where each row's tokens begin
     (one more than rows); ends ascend over all rows, and a row's last end is common."""
@@ -182,37 +124,153 @@ def spell_groups(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.nd
     return [words[i] for i in out.tolist()]
 
 
-def align(docs: DataFrame, a: str | Callable[[], str], b: str | Callable[[], str], text: str = "text", memory: int = 64 << 20) -> DataFrame:
+class Growing:
+    """Numbers in one array that is appended to in place."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            self.room = np.concatenate((self.room[: self.n], np.zeros(max(end, 2 * len(self.room)) - self.n, self.room.dtype)))
+        self.room[self.n : end] = values
+        self.n = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def running(counts: np.ndarray) -> np.ndarray:
+    """Sums of what stands before each, and of all."""
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for, and lists those."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class PairEncoder:
+    ENTRY = 280  # bytes of a dictionary entry with its key's, number's and spelling's objects
+    JOINED = 256  # fragments that A encodes as one text
+
+    def __init__(self, a: Vocabulary, b: Pieces, memory: int):
+        self.a, self.b, self.memory = a, b, memory
+        self.len_a, self.len_b = (np.array([len(x) for x in v.bytes], np.int64) for v in (a, b))
+        self.shift = max(len(self.len_a), len(self.len_b))
+        self.words = [b"%d%b" % (i, mark) for mark in (b",", b"|", b",", b";") for i in range(self.shift)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.spelt, self.held = Numbers(), [], 0
+        self.same, self.n_a, self.n_b = Growing(bool), Growing(np.int32), Growing(np.int32)
+        self.pairs, self.begin = Growing(np.int64), Growing(np.int64)  # a fragment's links, and where they begin
+        self.begin.add(np.zeros(1, np.int64))
+
+    def fragments(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where fragments begin, and the end of the data; each begins with a space, as each row does."""
+        row = np.zeros(len(data) + 1, bool)
+        row[at] = True
+        cuts = self.a.cuts(data, at)
+        inner = cuts[1:-1]
+        return np.concatenate((cuts[:1], inner[row[inner] | ((data[inner] == 0x20) & ~self.b.into_space[data[inner - 1]])], cuts[-1:]))
+
+    def encode_a(self, new: list[bytes], texts: list[str], data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids of the fragments, where each one's begin, and whether they spell it. Where A can't join bytes across
+        fragments' borders, several are encoded as one text."""
+        free = np.zeros(len(data) + 1, bool)
+        free[self.a.cuts(data, at[[0, -1]])] = True
+        ends = np.append(np.flatnonzero(~free[at[1:-1]] | (np.arange(1, len(new)) % self.JOINED == 0)) + 1, len(new)).tolist()
+        encode = lambda x: [e.ids for e in self.a.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        ids = np.concatenate([np.array(x, np.int64) for x in encode(["".join(texts[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)])])
+        token = running(self.len_a[ids])
+        begin = np.searchsorted(token, at)
+        if b"".join(map(self.a.bytes.__getitem__, ids.tolist())) == data.tobytes() and (token[begin] == at).all():
+            return ids, begin, np.ones(len(new), bool)
+        each = encode(texts)
+        same = [b"".join(map(self.a.bytes.__getitem__, x)) == f for x, f in zip(each, new, strict=True)]
+        return np.array([i for x in each for i in x], np.int64), running([len(x) for x in each]), np.array(same)
+
+    def encode_b(self, new: list[bytes], texts: list[str], data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = self.b.encode(texts)
+        flat = list(chain.from_iterable(each))
+        ids, begin = np.array(flat, np.int64), running(np.fromiter(map(len, each), np.int64, len(each)))
+        if b"".join(map(self.b.bytes.__getitem__, flat)) == data.tobytes() and (running(self.len_b[ids])[begin] == at).all():
+            return ids, begin, np.ones(len(new), bool)
+        return ids, begin, np.array([b"".join(map(self.b.bytes.__getitem__, x)) == f for x, f in zip(each, new, strict=True)])
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encodes fragments and cuts them into groups."""
+        data, at = np.frombuffer(b"".join(new), np.uint8), running(np.fromiter(map(len, new), np.int64, len(new)))
+        texts = [f.decode() for f in new]
+        (ia, begin_a, same), (ib, begin_b, same_b) = self.encode_a(new, texts, data, at), self.encode_b(new, texts, data, at)
+        same = same & same_b
+        ends_a, ends_b = token_ends(ia, begin_a, self.len_a, at), token_ends(ib, begin_b, self.len_b, at)
+        if not same.all():
+            (ends_a, _), (ends_b, _) = take_rows(ends_a, begin_a, same), take_rows(ends_b, begin_b, same)
+            (ia, begin_a), (ib, begin_b) = take_rows(ia, begin_a, same), take_rows(ib, begin_b, same)
+        last_a = shared_cuts(ends_a, ends_b, begin_a)
+        last_b = np.searchsorted(ends_b, ends_a[last_a])
+        words, both = spell_groups(ia, ib, last_a, last_b, self.words, self.shift), (begin_a + begin_b).tolist()
+        spelt = [b"".join(words[i:j]) for i, j in zip(both[:-1], both[1:], strict=True)]
+        self.spelt += spelt
+        self.same.add(same)
+        self.n_a.add(np.diff(begin_a))
+        self.n_b.add(np.diff(begin_b))
+        self.begin.add(self.pairs.n + np.searchsorted(last_a, begin_a[1:]))
+        self.pairs.add((ia[last_a] << B_BITS) | ib[last_b])
+        self.held += len(data) + sum(map(len, spelt)) + 8 * len(last_a) + self.ENTRY * len(new)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """For the rows of a run, which begin with a space: how many tokens A and B have, their groups' digest, all
+        links, and where each row's begin. Rows of one byte or that either side doesn't spell have none."""
+        cuts = self.fragments(data, at)
+        raw, bounds = data.tobytes(), cuts.tolist()
+        if self.held > self.memory:
+            self.forget()
+        found = map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:]))
+        which = np.fromiter(map(self.known.__getitem__, found), np.int64, len(bounds) - 1)
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
+        row = np.searchsorted(cuts, at)
+        total = lambda v: np.diff(running(v.values[which])[row])
+        same = (total(self.same) == np.diff(row)) & (np.diff(at) > 1)
+        begin = self.begin.values[which]
+        lens = self.begin.values[which + 1] - begin
+        ends = running(lens)
+        pairs, of = take_rows(self.pairs.values[np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])], ends[row], same)
+        spelt, of_row = [self.spelt[i] for i in which.tolist()], row.tolist()
+        shas = [hashlib.sha256(b"".join(spelt[i:j])[:-1]).hexdigest() if ok else "" for i, j, ok in zip(of_row[:-1], of_row[1:], same.tolist(), strict=True)]
+        return total(self.n_a) * same, total(self.n_b) * same, shas, pairs, of
+
+
+def align(docs: DataFrame, a: str | Callable[[], str], b: str | Callable[[], str], text: str = "text", memory: int = 128 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups_sha256, pairs, times: each row's tokens, its groups, and its distinct links
     (A's id * 2^20 + B's id) with how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = vocabularies(a() if callable(a) else a, b() if callable(b) else b)
         encoder = PairEncoder(left, right, memory)
-        len_a, len_b = (np.array([len(x) for x in v.bytes], np.int64) for v in (left, right))
-        shift = max(len(len_a), len(len_b))
-        words = [b"%d%b" % (i, mark) for mark in (b",", b"|", b",", b";") for i in range(shift)]
         for rows, data, at in parts(batches, "__text", 1 << 18):
-            ia, begin_a, ib, begin_b, same = encoder.encode(data, at)
-            same &= np.diff(at) > 1  # else the text is null or empty
-            ends_a, ends_b = token_ends(ia, begin_a, len_a, at), token_ends(ib, begin_b, len_b, at)
-            (ends_a, _), (ends_b, _) = take_rows(ends_a, begin_a, same), take_rows(ends_b, begin_b, same)
-            (ia, begin_a), (ib, begin_b) = take_rows(ia, begin_a, same), take_rows(ib, begin_b, same)
-            last_a = shared_cuts(ends_a, ends_b, begin_a)
-            last_b = np.searchsorted(ends_b, ends_a[last_a])
-            group = np.searchsorted(last_a, begin_a)
-            spelt = spell_groups(ia, ib, last_a, last_b, words, shift)
-            both = (begin_a + begin_b).tolist()
-            shas = [hashlib.sha256(b"".join(spelt[i:j])[:-1]).hexdigest() if j > i else "" for i, j in zip(both[:-1], both[1:], strict=True)]
-            pair = (ia[last_a].astype(np.int64) << B_BITS) | ib[last_b]
-            of = np.repeat(np.arange(len(same)), np.diff(group))
-            order = np.lexsort((pair, of))
-            pair, of = pair[order], of[order]
-            first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (of[1:] != of[:-1]))))[: len(pair)]
-            times = np.diff(np.append(first, len(pair)))
-            begin = pa.array(np.searchsorted(of[first], np.arange(len(same) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(begin, pa.array(v, pa.int64())) for v in (pair[first], times)]
-            counts = [pa.array(np.diff(v), pa.int64()) for v in (begin_a, begin_b, group)]
+            n_a, n_b, shas, pair, group = encoder.encode(data, at)
+            # A run has at most 2^18 rows, of a byte at least: row and pair are one number.
+            key = np.sort((np.repeat(np.arange(len(shas)), np.diff(group)) << 2 * B_BITS) | pair)
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+            times, key = np.diff(np.append(first, len(key))), key[first]
+            begin = pa.array(np.searchsorted(key >> 2 * B_BITS, np.arange(len(shas) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(begin, pa.array(v, pa.int64())) for v in (key & ((1 << 2 * B_BITS) - 1), times)]
+            counts = [pa.array(v, pa.int64()) for v in (n_a, n_b, np.diff(group))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *counts, pa.array(shas, pa.string()), *lists], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
