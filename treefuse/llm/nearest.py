@@ -132,16 +132,25 @@ def byte_tables(book: Codebook, q: np.ndarray) -> np.ndarray:
     return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(q), -1, 256)
 
 
-def distances(columns: np.ndarray, q: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+def rough_distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of these rows from q, but for rounding."""
+    away = rows - q
+    return np.sqrt(np.einsum("ij,ij->i", away, away))
+
+
+def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Of these rows from q, component after component, so that ties fall as in any other plain sum."""
-    total = np.zeros(columns[0][which].shape)
-    for x, y in zip(columns, q, strict=True):
-        away = x[which] - y
-        away *= away
-        total += away
+    total = np.zeros(len(rows))
+    for x, y in zip(rows.T, q, strict=True):
+        total += (x - y) ** 2
     return np.sqrt(total)
 
 
+def kth(rough: np.ndarray, k: int) -> float:
+    """What the (k + 1)-th of these distances surely doesn't exceed."""
+    return np.partition(rough, k)[k] * (1 + 1e-9) + 1e-150 if len(rough) > k else np.inf
+
+
 def within(scanned: np.ndarray, error: np.ndarray, limit: float) -> np.ndarray:
     """Which rows can be as near as ``limit``, by their scanned squared distances: all but those that surely aren't."""
     return np.flatnonzero(~(scanned > (error + limit) ** 2 * (1 + 1e-9) + 1e-300))  # for rounding and underflow
@@ -200,7 +209,7 @@ def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample:
                     if encoded:
                         full = even(x, book.dims)
                         found = encode_rows(book, full)
-                        codes, error, body = packed(found).T.tobytes(), errors(book, full, found).tobytes(), x.T
+                        codes, error, body = packed(found).T.tobytes(), errors(book, full, found).tobytes(), x
                     name = (TaskContext.get().partitionId() << 32) + made
                     made += 1
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([v], pa.binary()) for v in (part.column("rep").to_numpy().tobytes(), codes, error, body.tobytes()))], names=["block", "ids", "codes", "errors", "body"])
@@ -221,7 +230,7 @@ def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample:
             q = np.frombuffer(row["q_body"], np.float64).reshape(len(q_ids), -1)
             limit = limits.setdefault(row["q_block"], np.full(len(q_ids), np.inf))
             ids, error = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"])
-            body, columns = (np.frombuffer(row[c], t).reshape(-1, len(ids)) for c, t in (("codes", np.uint8), ("body", np.float64)))
+            body, x = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids)), np.frombuffer(row["body"]).reshape(len(ids), -1)
             gain = error**2
             out = ([], [], [])
             for i in range(len(q)):
@@ -232,17 +241,15 @@ def search(rows: DataFrame, is_query: Column, k: int, rerank: int = 200, sample:
                 some = within(scanned, error, limit[i])
                 if len(some) > rerank:
                     first = some[np.argpartition((scanned - gain)[some], rerank - 1)[:rerank]]
-                    limit[i] = min(limit[i], np.partition(distances(columns, q[i], first), k)[k])
+                    limit[i] = min(limit[i], kth(rough_distances(x[first], q[i]), k))
                     some = some[within(scanned[some], error[some], limit[i])]
-                score = distances(columns, q[i], some if len(some) < len(ids) else slice(None))
-                best = np.flatnonzero(~(score > limit[i]))
-                if len(best) > k + 1:
-                    best = best[score[best] <= np.partition(score[best], k)[k]]
-                    best = best[np.lexsort((ids[some[best]], score[best]))][: k + 1]
-                if len(best) == k + 1:
-                    limit[i] = min(limit[i], score[best].max())
-                for o, x in zip(out, (np.full(len(best), q_ids[i]), ids[some[best]], score[best]), strict=True):
-                    o.append(x)
+                rough = rough_distances(x[some], q[i])
+                limit[i] = min(limit[i], kth(rough, k))
+                some = some[~(rough > limit[i])]
+                score = distances(x[some], q[i])
+                best = np.lexsort((ids[some], score))[: k + 1]
+                for o, v in zip(out, (np.full(len(best), q_ids[i]), ids[some[best]], score[best]), strict=True):
+                    o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "rep", "score"])
 
     def near(part: DataFrame) -> DataFrame:
