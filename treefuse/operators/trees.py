@@ -137,9 +137,9 @@ class Tree:
     def shape(self) -> Layout:
         return Layout(self.parent)
 
-    def solve(self, x: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    def solve(self, x: np.ndarray, lam: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes x features: the minimiser of sum w (x - t)^2 / 2 + lam * sum e |t - t_parent| in each column, and
-        where a node has its parent's value.
+        where a node has its parent's value. ``lam`` may have a value for each column.
 
         All pieces of the tree are held at their best constants; where the tree would rather lie above its
         piece's constant, and where below, is read off the clipped derivatives, and pieces are cut between
@@ -148,13 +148,13 @@ class Tree:
         shape = self.shape
         order, up = shape.nodes, shape.up
         has = up >= 0
-        column, bound = x[order], (lam * self.edge[order])[:, None]
+        column, bound = x[order], np.broadcast_to(self.edge[order][:, None] * lam, x.shape)
         weight = np.broadcast_to(self.node[order][:, None], column.shape)
         wx = weight * column
         noise, near = 1e-13 * (1 + np.abs(wx).sum(0)), 1e-9 * (1 + np.ptp(column, 0)) if len(x) else np.zeros(x.shape[1])
         theta, fused = np.empty_like(column), np.zeros(column.shape, bool)
         left = np.arange(x.shape[1])  # the columns that are not done
-        pull, whole = np.zeros(column.shape), np.repeat(has[:, None], len(left), 1)  # whole: the edge above is not cut
+        pull, whole = np.zeros(column.shape), has[:, None] & (bound > 0)  # whole: the edge above is not cut; one without weight pulls at nothing
         while len(left):
             source = shape.source(~whole)
             total, mass = sums_of(source, wx - pull, weight)
@@ -172,9 +172,9 @@ class Tree:
                 same = np.abs(theta[:, done] - theta[up][:, done]) <= near[~going]
                 fused[:, done] = (whole[:, ~going] | same) & has[:, None]
                 left, cut, side = left[going], cut[:, going], side[:, going]
-                pull, whole, wx, weight, noise, near = pull[:, going], whole[:, going], wx[:, going], weight[:, going], noise[going], near[going]
+                pull, whole, wx, weight, bound, noise, near = pull[:, going], whole[:, going], wx[:, going], weight[:, going], bound[:, going], noise[going], near[going]
             i, j = np.nonzero(cut)
-            push = np.where(side[i, j] > side[up[i], j], bound[i, 0], -bound[i, 0])
+            push = np.where(side[i, j] > side[up[i], j], bound[i, j], -bound[i, j])
             pull[i, j] += push
             np.subtract.at(pull, (up[i], j), push)
             whole[i, j] = False

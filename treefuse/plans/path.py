@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from treefuse.sources.matrix import Fit
 from treefuse.sources.matrix import samples as matrix
 
 TASK_CELLS = 2_000_000
+ROUND = 1024  # penalties that a round of the search has at most
 
 
 @tidy
@@ -194,6 +196,50 @@ def fit_each(samples: DataFrame, lambdas: Sequence[float], **options) -> DataFra
     return labels.select("g.g", "g.lambda", "sample_id", "label")
 
 
+def to_nine(v: np.ndarray) -> np.ndarray:
+    """Rounded to 9 places as Spark does: half away from zero in the shortest decimals."""
+    scaled = np.abs(v) * 1e9
+    near = np.rint(scaled)
+    out = np.copysign(near / 1e9, v)
+    for i in np.flatnonzero((scaled > 2.0**52) | (np.abs(np.abs(scaled - near) - 0.5) < 1e-6 + 1e-15 * scaled)):
+        out.flat[i] = float(Decimal(repr(float(v.flat[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP, Context(prec=400)))
+    return out + 0.0
+
+
+def packed(nodes: DataFrame) -> DataFrame:
+    """The nodes of one data set in one row, so that a task can solve its tree for some penalties."""
+    fields = ("node_id", "parent_id", "edge_weight", "node_weight", "x")
+    rows = nodes.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("t"))
+    return cut(rows.select(*(F.col(f"t.{f}").alias(f) for f in fields[:4]), F.flatten("t.x").alias("flat")))
+
+
+def counts_in_tasks(tree_row: DataFrame, lambdas: Sequence[float], at_once: int = 500_000) -> dict[float, int]:
+    """As ``cluster_counts``: the tree goes to each task, and only counts come back."""
+    spark = tree_row.sparkSession
+    values = sorted({float(v) for v in lambdas})
+    tasks = min(len(values), 4 * spark.sparkContext.defaultParallelism)
+    deals = spark.createDataFrame([(k, values[k::tasks]) for k in range(tasks)], "k int, lambdas array<double>").repartitionByRange(tasks, "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in pa.Table.from_batches([batch]).to_batches(max_chunksize=1):
+                table = pa.table({c: row.column(c).flatten() for c in ("node_id", "parent_id", "edge_weight", "node_weight")})
+                tree, ids = fusion.tree_of(table)
+                x = row.column("flat").flatten().to_numpy().reshape(len(ids), -1)
+                mine, p, found = row.column("lambdas").flatten().to_numpy(), x.shape[1], []
+                several = max(1, at_once // max(x.size, 1))
+                for i in range(0, len(mine), several):
+                    part = mine[i : i + several]
+                    theta = tree.solve(np.tile(x, (1, len(part))), np.repeat(part, p))[0]
+                    for k in range(len(part)):
+                        apart = np.unique(theta[:, k * p : (k + 1) * p], axis=0)
+                        found.append(len(np.unique(to_nine(apart), axis=0)))
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(found, pa.int64())], names=["lambda", "n"])
+
+    rows = deals.join(F.broadcast(tree_row)).mapInArrow(run, "lambda double, n bigint").collect()
+    return {r["lambda"]: r["n"] for r in rows}
+
+
 def cluster_counts(nodes: DataFrame, lambdas: Sequence[float]) -> dict[float, int]:
     """Clusters that each penalty leaves of one data set."""
     solved = fusion.solve_each(nodes, lambdas)
@@ -220,12 +266,13 @@ def _ahead(at: tuple[float, float, bool], ceiling: float, finest: float, width:
 
 
 @tidy
-def search_lambda(samples: DataFrame, step: float = 1000.0, least_step: float = 50.0, stop_below: float = float("-inf"), ceiling: float | None = None, width: int = 8, **options) -> tuple[float, list[tuple[float, int]]]:
+def search_lambda(samples: DataFrame, step: float = 1000.0, least_step: float = 50.0, stop_below: float = float("-inf"), ceiling: float | None = None, width: int = 8, task_cells: int = TASK_CELLS, **options) -> tuple[float, list[tuple[float, int]]]:
     """The smallest penalty on a halving grid that leaves one cluster, plus the last step, and the (penalty,
     clusters) that were tried. One data set (one g). The default ceiling is half the sum of squares.
 
     ``width`` penalties that may be asked for next are solved in one round, as copies of the tree; what is tried does not
-    depend on it. The published search ends at a penalty that leaves one cluster, once its step is below ``least_step``;
+    depend on it. A tree of at most ``task_cells`` cells goes to tasks as a whole, each with some penalties, and on the way
+    up a round has twice as many of them as the one before (with a width of 1 always one). The published search ends at a penalty that leaves one cluster, once its step is below ``least_step``;
     where the first such penalty is the smallest of all, it would go on for ever. Here a millionth of ``least_step``
     ends it, at the smallest penalty tried that leaves one cluster."""
     if step <= 0 or least_step <= 0:
@@ -235,13 +282,17 @@ def search_lambda(samples: DataFrame, step: float = 1000.0, least_step: float =
         ceiling = samples.agg(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)) / 2).first()[0] or 0.0
     known: dict[float, int] = {}
     tried: list[tuple[float, int]] = []
-    at, finest = (step, step, False), least_step * 1e-6
+    at, finest, most = (step, step, False), least_step * 1e-6, width
+    size = nodes.agg(F.sum(F.greatest(F.size("x"), F.lit(1)))).first()[0] or 0
+    tree = packed(nodes) if 0 < size <= task_cells else None
     while at[0] < ceiling:
         if at[1] < finest:
             return min(lam for lam, n in tried if n == 1), tried
         lam = at[0]
         if lam not in known:
-            known |= cluster_counts(nodes, _ahead(at, ceiling, finest, width))
+            ahead = _ahead(at, ceiling, finest, most if tree is not None else width)
+            known |= cluster_counts(nodes, ahead) if tree is None else counts_in_tasks(tree, ahead)
+            most = min(2 * most, ROUND) if 1 < width and not at[2] else width
         n = known[lam]
         tried.append((lam, n))
         if n < stop_below:
